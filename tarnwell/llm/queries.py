@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.llm import lookalike
+from pyspark.sql import functions as F
+
+from tarnwell.llm import lookalike, ranking, split
 from tarnwell.llm.texts import EVIDENCE, PAGES, items
+from tarnwell.sources import table
+
+#: problem 3: the scores and their weights
+SCORES = {"tfidf": 1.0, "dense": 1.0, "pack": 1.0}
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.oversized(items(spark, d, PAGES, EVIDENCE))
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_oversized(items(spark, d, PAGES, EVIDENCE))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +34,23 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(texts, lookalike.rules_for(texts)).select("src", "id", "canonical")
 
 
+def _median_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks over all chunks that index_score lists; the pack's scores are another signal of them."""
+    listed = table(spark, d, "index_score", "query_id", "chunk_id", "tfidf", "dense")
+    pack = table(spark, d, EVIDENCE).select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("pack"))
+    null = F.lit(None).cast("double")
+    rows = listed.withColumn("pack", null).unionByName(pack.select("query_id", "chunk_id", null.alias("tfidf"), null.alias("dense"), "pack"))
+    return ranking.median_ranks(rows, "query_id", "chunk_id", SCORES)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.first_of(_median_ranks(spark, d), "query_id", "chunk_id", len(SCORES))
+
+
+def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.ordered(_median_ranks(spark, d), "query_id", "chunk_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
