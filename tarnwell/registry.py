@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tarnwell.operators import units
+from tarnwell.sources import table
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.same_bounds(table(spark, d, "claim"))
+
+
+def p6_common(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_claims(table(spark, d, "claim")).select("claim_id", "direction", "common_value", "common_high", "common_unit", "unit_source")
+
 
 def queries() -> dict:
-    return {}
+    return {"p6_found": p6_found, "p6_common": p6_common}
 
 
 def oracle_sql() -> dict:
