@@ -34,13 +34,13 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(texts, lookalike.rules_for(texts)).select("src", "id", "canonical")
 
 
-def _median_ranks(spark: SparkSession, d: str) -> DataFrame:
+def _median_ranks(spark: SparkSession, d: str, positions: bool = False) -> DataFrame:
     """Ranks over all chunks that index_score lists; the pack's scores are another signal of them."""
     listed = table(spark, d, "index_score", "query_id", "chunk_id", "tfidf", "dense")
     pack = table(spark, d, EVIDENCE).select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("pack"))
     null = F.lit(None).cast("double")
     rows = listed.withColumn("pack", null).unionByName(pack.select("query_id", "chunk_id", null.alias("tfidf"), null.alias("dense"), "pack"))
-    return ranking.median_ranks(rows, "query_id", "chunk_id", SCORES)
+    return ranking.median_ranks(rows, "query_id", "chunk_id", SCORES, positions)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ordered(_median_ranks(spark, d), "query_id", "chunk_id")
+    return _median_ranks(spark, d, positions=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

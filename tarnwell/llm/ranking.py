@@ -5,9 +5,10 @@ rank).  Items that lack a score stand behind all that have it.  Items are ordere
 median of their ranks, then by their mean rank, then by identifier.  Only ranks enter, so neither
 range nor distribution of a score matters.
 
-Ranks are counted without putting a group into one task: per group and score, approximate quantiles
-part the *distinct* scores into buckets, ranks are counted inside the buckets and shifted by the sizes
-of the buckets above.  The result is exact; the quantiles only balance the work.
+Groups are counted first.  Those of usual size are ranked by windows behind one shuffle.  A group above
+``HOT_ROWS`` never meets one task: per group and score, approximate quantiles part the *distinct* scores
+into buckets, ranks are counted inside the buckets and shifted by the sizes of the buckets above.  Both
+ways are exact and give the same ranks; the quantiles only balance the work.
 
 Defined cases: a null or NaN score is a missing one; rows loaded twice count once, the largest score
 of an item counts; items without any score come last; an empty table gives an empty one.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 64
+HOT_ROWS = 200_000
 
 
 def ranks(long: DataFrame, by: list[str], score: str = "score", item: str = "item", buckets: int = BUCKETS) -> DataFrame:
@@ -52,38 +54,70 @@ def _weighted_median(pairs: Column) -> Column:
     return F.aggregate(pairs, start, step)["at"]
 
 
-def median_ranks(scores: DataFrame, group: str, item: str, weights: dict[str, float]) -> DataFrame:
-    """(group, item, median_rank, mean_rank, n_scores) for the score columns named in ``weights``."""
-    names = list(weights)
-    once = scores.groupBy(F.col(group).alias("g"), F.col(item).alias("item")).agg(*[F.max(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(f"s{k}") for k, c in enumerate(names)])
-    long = once.select("g", "item", F.posexplode(F.array(*[f"s{k}" for k in range(len(names))])).alias("signal", "score"))
+def median_ranks(scores: DataFrame, group: str, item: str, weights: dict[str, float], positions: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(group, item, median_rank, mean_rank, n_scores) for the score columns named in ``weights``; with
+    ``positions`` also each item's ``position`` 1.. by median rank, mean rank and item."""
+    score = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"s{k}") for k, c in enumerate(weights)]
+    rows = scores.select(F.col(group).alias("g"), F.col(item).alias("item"), *score)
+    hot = _hot_groups(rows, hot_rows)
+    if not hot:
+        out = _by_windows(rows, list(weights.values()), positions)
+    else:
+        is_hot = F.coalesce(F.col("g").isin(hot), F.lit(False))
+        hot_part = _by_buckets(rows.where(is_hot), list(weights.values()))
+        if positions:
+            hot_part = _positions_by_buckets(hot_part)
+        out = _by_windows(rows.where(~is_hot), list(weights.values()), positions).unionByName(hot_part)
+    return out.withColumnsRenamed({"g": group, "item": item})
+
+
+def _hot_groups(rows: DataFrame, hot_rows: int) -> list:
+    """Groups above the limit.  The limit grows with the table so that there are 10,000 at most."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    big = sizes.where(F.col("n") > hot_rows)  # the window below sees these only
+    return [r.g for r in big.withColumn("total", total).where("n * 10000 > total").select("g").collect() if r.g is not None]
+
+
+def _by_windows(rows: DataFrame, weights: list[float], positions: bool) -> DataFrame:
+    names = [f"s{k}" for k in range(len(weights))]
+    once = rows.repartition("g").groupBy("g", "item").agg(*[F.max(n).alias(n) for n in names])
+    group = Window.partitionBy("g")
+    rank = [
+        F.when(F.col(n).isNotNull(), F.rank().over(group.orderBy(F.desc_nulls_last(n)))).otherwise(F.count(n).over(group) + 1).cast("long").alias(f"r{k}")
+        for k, n in enumerate(names)
+    ]
+    ranked = once.select("g", "item", sum(F.col(n).isNotNull().cast("long") for n in names).alias("n_scores"), *rank)
+    pairs = F.array_sort(F.array(*[F.struct(F.col(f"r{k}").alias("rank"), F.lit(float(w)).alias("weight")) for k, w in enumerate(weights)]))
+    mean = sum(F.col(f"r{k}") for k in range(len(weights))) / len(weights)
+    out = ranked.select("g", "item", _weighted_median(pairs).alias("median_rank"), mean.alias("mean_rank"), "n_scores")
+    return out.withColumn("position", F.row_number().over(group.orderBy("median_rank", "mean_rank", "item")).cast("long")) if positions else out
+
+
+def _by_buckets(rows: DataFrame, weights: list[float]) -> DataFrame:
+    names = [f"s{k}" for k in range(len(weights))]
+    once = rows.groupBy("g", "item").agg(*[F.max(n).alias(n) for n in names])
+    long = once.select("g", "item", F.posexplode(F.array(*names)).alias("signal", "score"))
     present = ranks(long, ["g", "signal"])
     counts = present.groupBy("g", "signal").agg(F.count("*").alias("present"))
-    signals = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.lit(float(w)).alias("weight")) for k, w in enumerate(weights.values())]))
+    signals = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.lit(float(w)).alias("weight")) for k, w in enumerate(weights)]))
     all_of = once.select("g", "item", signals.alias("x")).select("g", "item", "x.signal", "x.weight")
     filled = (
         all_of.join(present, ["g", "signal", "item"], "left").join(counts, ["g", "signal"], "left")
         .select("g", "item", "weight", F.coalesce("rank", F.coalesce("present", F.lit(0)) + 1).alias("rank"), F.col("rank").isNotNull().alias("has"))
     )
     each = filled.groupBy("g", "item").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "weight"))).alias("pairs"),
+        F.array_sort(F.collect_list(F.struct("rank", "weight"))).alias("pairs"),  # one entry per score
         F.avg("rank").alias("mean_rank"),
-        F.sum(F.col("has").cast("int")).alias("n_scores"),
+        F.sum(F.col("has").cast("long")).alias("n_scores"),
     )
-    return each.select(F.col("g").alias(group), F.col("item").alias(item), _weighted_median(F.col("pairs")).alias("median_rank"), "mean_rank", "n_scores")
+    return each.select("g", "item", _weighted_median(F.col("pairs")).alias("median_rank"), "mean_rank", "n_scores")
 
 
-def ordered(ranked: DataFrame, group: str, item: str) -> DataFrame:
-    """``ranked`` with ``position`` 1.. in its group, by median rank, mean rank and item."""
-    by = ["g"]
-    r = ranked.select(F.col(group).alias("g"), F.col(item).alias("item"), "median_rank", "mean_rank", "n_scores")
-    steps = r.select("g", "item", (-F.col("median_rank")).alias("score"))
-    coarse = ranks(steps, by)  # items of one median share a rank and are few: at most a handful per score and rank
+def _positions_by_buckets(r: DataFrame) -> DataFrame:
+    coarse = ranks(r.select("g", "item", (-F.col("median_rank")).alias("score")), ["g"])  # items of one median share a rank
     w = Window.partitionBy("g", "rank").orderBy("mean_rank", "item")
-    return r.join(coarse, ["g", "item"]).select(
-        F.col("g").alias(group), F.col("item").alias(item), "median_rank", "mean_rank", "n_scores",
-        (F.col("rank") - 1 + F.row_number().over(w)).alias("position"),
-    )
+    return r.join(coarse, ["g", "item"]).select("g", "item", "median_rank", "mean_rank", "n_scores", (F.col("rank") - 1 + F.row_number().over(w)).alias("position"))
 
 
 def first_of(ranked: DataFrame, group: str, item: str, all_scores: int) -> DataFrame:
