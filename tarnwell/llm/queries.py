@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarnwell.llm import lookalike, ranking, split
+from tarnwell.llm import lookalike, packing, ranking, split, tokens
 from tarnwell.llm.texts import EVIDENCE, PAGES, items
 from tarnwell.sources import table
 
@@ -51,6 +51,14 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _median_ranks(spark, d, positions=True)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokens.lengths(table(spark, d, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
