@@ -20,8 +20,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+
+from tarnwell.runtime import cut
 
 # Cyrillic and Greek letters and signs that show like the letter below them.
 LOOKS = {
@@ -184,12 +188,8 @@ def digest(text: str) -> bytes:
 def canonical(texts: DataFrame, rules: dict[str, str], col: str = "text", out: str = "canonical") -> DataFrame:
     """``texts`` with the consistent form of ``col`` in the new column ``out`` (an existing column of
     that name is replaced)."""
-    from pyspark.sql.pandas.functions import pandas_udf
-
     @pandas_udf("string")
-    def rewrite(it: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def rewrite(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = Rewriter(rules)
         for s in it:
             yield pd.Series([None if x is None else w(x) for x in s], dtype="object")
@@ -215,8 +215,6 @@ def show_alike(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"src": src, "id": pa.array(ids, pa.int64()), "raw": pa.array(raw, pa.binary()), "shown": pa.array(shown, pa.binary())})
 
     rows = texts.select("src", "id", "text").mapInArrow(digests, "src string, id bigint, raw binary, shown binary")
-    from tarnwell.runtime import cut
-
     rows = cut(rows)  # read twice more; the rewriting is the dear part
     variants = rows.groupBy("src", "shown", "raw").agg(F.lit(1).alias("one")).drop("one")
     classes = variants.groupBy("src", "shown").agg(F.count("*").alias("n")).where("n > 1")
@@ -228,3 +226,28 @@ def show_alike(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
         pairs.join(a, ["src", "shown", "raw_a"]).join(b, ["src", "shown", "raw_b"])
         .select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
+
+
+def usual_counts(alphabet: set[str]) -> dict[str, int]:
+    """Counts that stand in for a corpus: the earlier a code point in Unicode, the more frequent."""
+    return {c: 0x110000 - ord(c) for c in alphabet}
+
+
+class LazyRewriter:
+    """A rewriter without a pass over the corpus: rules are made for the code points as they turn up.
+
+    Representatives follow ``usual_counts``, so every process makes the same ones.  For comparing
+    texts; where the form itself is the result, take the corpus's own counts."""
+
+    def __init__(self) -> None:
+        self.alphabet = {chr(c) for c in range(128)} | {chr(c) for c in range(0xC0, 0x180)}
+        self.inner = Rewriter(build_rules(usual_counts(self.alphabet)))
+
+    def meet(self, texts: list[str]) -> None:
+        new = set().union(*map(set, texts)) - self.alphabet if texts else set()
+        if new:
+            self.alphabet |= new | {c for x in new for c in unicodedata.normalize("NFD", x)}
+            self.inner = Rewriter(build_rules(usual_counts(self.alphabet)))
+
+    def __call__(self, text: str) -> str:
+        return self.inner(text)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarnwell.llm import lookalike, packing, ranking, split, tokens
-from tarnwell.llm.texts import EVIDENCE, PAGES, items
+from tarnwell.llm import lookalike, neardup, packing, ranking, split, tokens
+from tarnwell.llm.texts import EVIDENCE, PAGES, QUESTIONS, items
 from tarnwell.sources import table
 
 #: problem 3: the scores and their weights
@@ -51,6 +51,10 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _median_ranks(spark, d, positions=True)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(items(spark, d, EVIDENCE, QUESTIONS), words=1, threshold=0.7, weights="unit")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
