@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarnwell.llm import lookalike, neardup, packing, ranking, split, tokens
+from tarnwell.llm import lookalike, neardup, overlap, packing, ranking, split, tokens
 from tarnwell.llm.texts import EVIDENCE, PAGES, QUESTIONS, items
 from tarnwell.sources import table
 
@@ -51,6 +51,24 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return _median_ranks(spark, d, positions=True)
 
 
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    """Queries by split: `dev` trains; `test` of the main table and all held-out rows evaluate."""
+    own = F.regexp_replace(F.lower("slice"), r"(?U)^\s+|\s+$", "")
+    gold, held = "ckd_gold_eval", "heldout_chunkfirst"
+    a = table(spark, d, gold).select(own.alias("slice"), F.lit(gold).alias("source"), F.col("case_key").alias("key"), F.col("query").alias("text"))
+    b = table(spark, d, held).select(F.lit("heldout").alias("slice"), F.lit(held).alias("source"), F.col("case_key").alias("key"), F.col("query").alias("text"))
+    return a.where(F.col("slice").isin("dev", "test")).unionByName(b)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.overlaps(_splits(spark, d))
+    return pairs.select("slice", F.least("eval_key", "train_key").alias("key_a"), F.greatest("eval_key", "train_key").alias("key_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(_splits(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(items(spark, d, EVIDENCE, QUESTIONS), words=1, threshold=0.7, weights="unit")
 
