@@ -15,6 +15,7 @@ accents are kept: they show.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ LOOKS = {
 #: General categories whose members print nothing, except white space and combining marks.
 INVISIBLE = {"Cf"}
 #: Control characters that lay text out; they show.
-LAYOUT = set("\t\n\r\x0b\x0c\x85  ")
+LAYOUT = set("\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029")
 _SHOWN_APART = {"super", "sub", "fraction", "circle", "square", "font"}
 
 
@@ -72,7 +73,7 @@ class Classes:
         groups: dict[str, list[str]] = {}
         for s in self.parent:
             groups.setdefault(self.find(s), []).append(s)
-        best = {r: min(ms, key=lambda m: (-self.frequency(m), len(m), m)) for r, ms in groups.items()}
+        best = {r: min(ms, key=lambda m: (-self.frequency(m), len(m) == 1 and len(_plain(m) or "") > 1, len(m), m)) for r, ms in groups.items()}
         return {s: best[self.find(s)] for s in self.parent}
 
 
@@ -88,6 +89,8 @@ def _plain(c: str) -> str | None:
 
 def build_rules(counts: dict[str, int]) -> dict[str, str]:
     """Rewrite rules (pattern -> representative) for a corpus with these counts of code points."""
+    # a ligature never stands for its letters
+    counts = {c: n for c, n in counts.items() if len(_plain(c) or "") < 2} | {c: 0 for c in counts if len(_plain(c) or "") > 1}
     looks = {a: b for one, other in LOOKS.items() for a, b in zip(one, other, strict=True)}
     alphabet = set(counts) | set(looks) | set(looks.values()) | {" "}
     singles = Classes(counts)
@@ -132,7 +135,11 @@ def build_rules(counts: dict[str, int]) -> dict[str, str]:
 
 
 class Rewriter:
-    """Greedy leftmost-longest rewriting by an Aho-Corasick automaton."""
+    """Greedy leftmost-longest rewriting by an Aho-Corasick automaton.
+
+    Every pattern is one code point, or a letter with a combining accent.  A compiled character class
+    finds the stretches of code points that patterns can end in, with the letter before; the automaton
+    runs over those only."""
 
     def __init__(self, rules: dict[str, str]):
         self.rules = rules
@@ -140,24 +147,29 @@ class Rewriter:
         for s, r in rules.items():
             self.automaton.add_word(s, (len(s), r))
         self.ready = bool(rules)
+        self.ascii_safe = all(not s.isascii() for s in rules)
         if self.ready:
             self.automaton.make_automaton()
-        self.ascii_safe = all(not s.isascii() for s in rules)
+            ends = "".join(sorted({re.escape(s[-1]) for s in rules}))
+            self.stretch = re.compile(f".?[{ends}]+", re.S)
+
+    def _rewritten(self, m: re.Match) -> str:
+        text, parts, at = m[0], [], 0
+        for end, (n, r) in self.automaton.iter_long(text):
+            parts += (text[at : end + 1 - n], r)
+            at = end + 1
+        parts.append(text[at:])
+        return "".join(parts)
 
     def __call__(self, text: str) -> str:
         if self.ascii_safe and text.isascii():
             return text
         text = unicodedata.normalize("NFC", text)
-        for _ in range(8):  # a text of n accents on one letter needs n rounds; more than 8 don't show
-            parts, at = [], 0
-            if self.ready:
-                for end, (n, r) in self.automaton.iter_long(text):
-                    parts += (text[at : end + 1 - n], r)
-                    at = end + 1
-            if not parts:
+        for _ in range(8 if self.ready else 0):  # a letter with n accents needs n rounds; more than 8 don't show
+            new = self.stretch.sub(self._rewritten, text)
+            if new == text:
                 break
-            parts.append(text[at:])
-            text = unicodedata.normalize("NFC", "".join(parts))
+            text = unicodedata.normalize("NFC", new)
         return text
 
 

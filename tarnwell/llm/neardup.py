@@ -22,9 +22,7 @@ Defined cases: null texts and texts without words are left out; equal texts coun
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,56 +33,61 @@ from pyspark.sql.functions import pandas_udf
 
 from tarnwell.llm.lookalike import LazyRewriter
 from tarnwell.llm.texts import WORD
+from tarnwell.runtime import cut
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 BUCKET = 64
 COUNTERS = 1 << 18
+#: hashes, and rows of samples, that a process keeps
+KEPT = 400_000
+SAMPLED = 60_000
 
 
-@lru_cache(maxsize=1 << 17)
-def _hash(s: str) -> int:
-    return xxhash.xxh32_intdigest(s) - (1 << 31)
+class Hashes(dict):
+    """32-bit hashes of strings, kept up to a bound."""
 
+    def __missing__(self, s: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        h = self[s] = xxhash.xxh32_intdigest(s)
+        return h
 
-def shingles(text: str, words: int) -> Counter:
-    """Hashed shingles of a text in its consistent form; a text of fewer words is one shingle."""
-    w = WORD.findall(text.lower())
-    if words == 1:
-        return Counter(map(_hash, w))
-    if not w:
-        return Counter()
-    return Counter(_hash(" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1)))
+
+def shingles(text: str, words: int) -> list[str]:
+    """Shingles of a text in its consistent form, in lower case; a shorter text is one shingle."""
+    w = WORD.findall(text)
+    if words == 1 or not w:
+        return w
+    return [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))]
 
 
 def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(src, id, u, digest, words, tfs) of every text with words; ``u`` numbers rows over both sources."""
+    """(src, id, digest, words, tfs) of every text with words: sorted hashes of its shingles and how often
+    each occurs (up to 127)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = LazyRewriter()
+        form, hashed = LazyRewriter(), Hashes()
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
-                texts_ = b.column(2).to_pylist()
-                form.meet([t for t in texts_ if t])
-                src, ids, dig, ws, fs = [], [], [], [], []
-                for s, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_, strict=True):
-                    if not t or not (c := shingles(form(t), words)):
-                        continue
-                    x = np.fromiter(c, dtype=np.int32, count=len(c))
-                    order = np.argsort(x)
-                    x = x[order]
-                    src.append(s), ids.append(i), ws.append(x)
-                    fs.append(np.minimum(np.fromiter(c.values(), dtype=np.int64, count=len(c))[order], 127).astype(np.int8))
-                    dig.append(xxhash.xxh3_128_digest(x.tobytes()))
-                off = np.zeros(len(ws) + 1, dtype=np.int32)
-                np.cumsum([len(x) for x in ws], out=off[1:])
-                flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                texts_ = [t or "" for t in b.column(2).to_pylist()]
+                form.meet(texts_)
+                lists = [shingles(form(t).lower(), words) for t in texts_]
+                n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+                flat = np.fromiter((hashed[x] for one in lists for x in one), dtype=np.uint64, count=int(n.sum()))
+                both, tf = np.unique(np.repeat(np.arange(len(lists), dtype=np.uint64), n) << np.uint64(32) | flat, return_counts=True)
+                x = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                ends = np.searchsorted(both, np.arange(1, len(lists) + 1, dtype=np.uint64) << np.uint64(32))
+                some = np.flatnonzero(n)
+                off = np.append(0, ends[some]).astype(np.int32)
+                dig = [xxhash.xxh3_128_digest(x[i:j].data) for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                own = b.take(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(src, pa.string()), pa.array(ids, pa.int64()), pa.array(dig, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(off), pa.array(flat(ws, np.int32))),
-                        pa.ListArray.from_arrays(pa.array(off), pa.array(flat(fs, np.int8))),
+                        own.column(0), own.column(1), pa.array(dig, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(off), pa.array(x.view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(off), pa.array(np.minimum(tf, 127).astype(np.int8))),
                     ],
                     names=["src", "id", "digest", "words", "tfs"],
                 )
@@ -120,16 +123,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _log_samples(word: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """ln a of improved consistent weighted sampling for each (word, weight) and each of k samples: r and
     c are Gamma(2, 1), beta uniform, all drawn from a hash of word and sample."""
-    seed = _mix(word.astype(np.uint64)[:, None] * np.uint64(0x100000001B3) + np.arange(1, k + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1))
+    draw = _mix(word.astype(np.uint64)[:, None] * np.uint64(0x100000001B3) + np.arange(1, k + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1))
     u = []
-    for _ in range(3):  # two 32-bit uniforms from each 64-bit draw
-        seed = _mix(seed)
-        u += [((seed >> np.uint64(32)).astype(np.float32) + 0.5) / np.float32(2**32), ((seed & np.uint64(0xFFFFFFFF)).astype(np.float32) + 0.5) / np.float32(2**32)]
-    tiny = np.float32(1e-30)
-    r = -(np.log(u[0] + tiny) + np.log(u[1] + tiny))
-    c = np.log(-(np.log(u[2] + tiny) + np.log(u[3] + tiny)) + tiny)
-    t = np.floor(np.log(weight)[:, None].astype(np.float32) / r + u[4])
-    return (c - r * (t - u[4]) - r).astype(np.float32)
+    for part in range(2):  # three uniforms of 21 bits from each draw
+        if part:
+            draw = _mix(draw)
+        u += [(((draw >> np.uint64(21 * j)).astype(np.uint32) & np.uint32(0x1FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-21) for j in range(3)]
+    r = -np.log(u[0] * u[1])
+    c = np.log(-np.log(u[2] * u[3]))
+    t = np.floor(np.log(weight).astype(np.float32)[:, None] / r + u[4])
+    return c - r * (t - u[4] + np.float32(1.0))
+
+
+class Samples:
+    """Rows of samples of (word, tf), drawn at first use and kept up to a bound."""
+
+    def __init__(self, idf: np.ndarray, k: int):
+        self.idf, self.k = idf, k
+        self.table = np.empty((0, k), dtype=np.float32)
+        self.keys = np.empty(0, dtype=np.uint64)  # sorted
+        self.places = np.empty(0, dtype=np.int64)
+
+    def rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table and the rows of ``keys`` (word << 8 | tf) in it."""
+        distinct, where = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        have = np.zeros(len(distinct), dtype=bool)
+        if len(self.keys):
+            have = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
+        new = distinct[~have]
+        if len(self.keys) + len(new) > SAMPLED and len(self.keys):
+            self.__init__(self.idf, self.k)
+            return self.rows(keys)
+        if len(new):
+            word, tf = new >> np.uint64(8), (new & np.uint64(255)).astype(np.float64)
+            weight = (1.0 + np.log(tf)) * self.idf[(word & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            start = len(self.keys)
+            if start + len(new) > len(self.table):
+                grown = np.empty((max(start + len(new), 2 * len(self.table)), self.k), dtype=np.float32)
+                grown[:start] = self.table[:start]
+                self.table = grown
+            for i in range(0, len(new), 256):  # small enough for the processor's cache
+                self.table[start + i : start + i + 256][: len(new) - i] = _log_samples(word[i : i + 256], weight[i : i + 256], self.k)
+            keys_, places = np.concatenate([self.keys, new]), np.concatenate([self.places, np.arange(start, start + len(new))])
+            order = np.argsort(keys_, kind="stable")
+            self.keys, self.places = keys_[order], places[order]
+            at = np.searchsorted(self.keys, distinct)
+        return self.table, self.places[at][where]
 
 
 def band_keys(reps: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -137,23 +177,30 @@ def band_keys(reps: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
     k_all = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = Samples(idf, k_all)
         for whole in batches:
-            for k in range(0, whole.num_rows, 400):
-                b = whole.slice(k, 400)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                first = np.unique(b.column(0).to_numpy(), return_index=True)[1]
+                if len(first) < b.num_rows:  # copies of one set are sampled once
+                    b = b.take(pa.array(np.sort(first)))
                 u = b.column(0).to_numpy()
-                lists = b.column(1)
-                off = np.asarray(lists.offsets)
-                words = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint32)
-                tfs = b.column(2).values.to_numpy()[np.asarray(b.column(2).offsets)[0] : np.asarray(b.column(2).offsets)[-1]]
-                both, where = np.unique(words.astype(np.uint64) << np.uint64(8) | tfs.astype(np.uint64), return_inverse=True)
-                word, tf = both >> np.uint64(8), (both & np.uint64(255)).astype(np.float64)
-                weight = (1.0 + np.log(tf)) * idf[(word & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                drawn = _log_samples(word, weight, k_all)
+                off = np.asarray(b.column(1).offsets).astype(np.int64)
+                words = b.column(1).values.to_numpy()[off[0] : off[-1]].view(np.uint32).astype(np.uint64)
+                tf_off = np.asarray(b.column(2).offsets)
+                tfs = b.column(2).values.to_numpy()[tf_off[0] : tf_off[-1]].astype(np.uint64)
+                table, where = samples.rows(words << np.uint64(8) | tfs)
+                off -= off[0]
+                least = np.empty((len(u), k_all), dtype=np.float32)
+                for i in range(0, len(u), 64):
+                    j = min(i + 64, len(u))
+                    least[i:j] = np.minimum.reduceat(table[where[off[i] : off[j]]], off[i:j] - off[i], axis=0)
                 # equal samples have equal values, bit for bit: the least value names the sample
-                least = np.minimum.reduceat(drawn[where], off[:-1] - off[0], axis=0).view(np.uint32).reshape(len(u), bands, rows)
-                key = np.broadcast_to(_mix((b.column(3).to_numpy().astype(np.uint64))[:, None] * np.uint64(bands) + np.arange(bands, dtype=np.uint64)[None, :]), (len(u), bands)).copy()
+                named = least.view(np.uint32).reshape(len(u), bands, rows)
+                code = b.column(3).to_numpy().astype(np.uint64)
+                key = _mix(code[:, None] * np.uint64(bands) + np.arange(bands, dtype=np.uint64)[None, :])
                 for j in range(rows):
-                    key = _mix(key ^ least[:, :, j].astype(np.uint64))
+                    key = _mix(key ^ named[:, :, j].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(u, bands))], names=["k", "u"])
 
     return reps.select("u", "words", "tfs", F.col("code").cast("long")).mapInArrow(run, "k bigint, u bigint")
@@ -178,19 +225,70 @@ def _rarest_first(reps: DataFrame, df: np.ndarray, threshold: float) -> DataFram
     return reps.select("u", "words").mapInArrow(run, "u bigint, w int")
 
 
+def _meet(keys: DataFrame, bucket: int) -> DataFrame:
+    """(hot, a, b): from rows sorted by key, each pair a < b of a bucket; of a bucket above the limit its
+    rows instead, as (true, key, set).  Buckets are streamed: at most ``bucket`` rows are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[int] = []  # the bucket that the last batch ended in
+        kept_key, crowded = None, False
+
+        def close(us: list[int], out: list[list[int]]) -> None:
+            for i, x in enumerate(us):
+                for y in us[i + 1 :]:
+                    out[0].append(False), out[1].append(min(x, y)), out[2].append(max(x, y))
+
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            k, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(k):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            stops = np.append(starts[1:], len(k))
+            last = len(starts) - 1
+            some = stops - starts > 1
+            some[0] = some[last] = True
+            for j in np.flatnonzero(some):
+                key, us = int(k[starts[j]]), np.unique(u[starts[j] : stops[j]]).tolist()
+                if key != kept_key:
+                    close(kept, out)
+                    kept, kept_key, crowded = [], key, False
+                elif kept and us[0] == kept[-1]:
+                    us = us[1:]
+                if not crowded and len(kept) + len(us) <= bucket:
+                    kept += us
+                else:
+                    us, kept, crowded = kept + us, [], True
+                    out[0] += [True] * len(us)
+                    out[1] += [key] * len(us)
+                    out[2] += us
+                if j < last:
+                    close(kept, out)
+                    kept, kept_key, crowded = [], None, False
+            yield _met(out)
+        out = [[], [], []]
+        close(kept, out)
+        yield _met(out)
+
+    return keys.repartition("k").sortWithinPartitions("k", "u").mapInArrow(run, "hot boolean, a bigint, b bigint")
+
+
+def _met(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["hot", "a", "b"])
+
+
 def candidates(reps: DataFrame, df: np.ndarray, n: int, threshold: float, bands: int, rows: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): pairs of sets, a < b, that share a band."""
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    keys = band_keys(reps, idf, bands, rows).repartition("k")
-    sizes = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(sizes, "k")  # of the same partitioning: one shuffle in all
-    some = met.where(F.col("n") <= bucket).groupBy("k").agg(F.collect_list("u").alias("us"))
-    pairs = some.select(F.explode(F.expr("flatten(transform(us, x -> transform(filter(us, y -> y > x), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    hot = met.where(F.col("n") > bucket).select("k", "u")
-    rare = _rarest_first(reps.join(hot.select("u").distinct(), "u", "left_semi"), df, threshold)
-    split = hot.join(rare, "u")
-    crowded = split.alias("x").join(split.alias("y"), ["k", "w"]).where("x.u < y.u").select(F.col("x.u").alias("a"), F.col("y.u").alias("b"))
-    return pairs.unionByName(crowded).distinct()
+    met = cut(_meet(band_keys(reps, idf, bands, rows), bucket))
+    pairs = met.where("not hot").select("a", "b")
+    hot = met.where("hot").select(F.col("a").alias("k"), F.col("b").alias("u"))
+    if not hot.isEmpty():
+        rare = _rarest_first(reps.join(hot.select("u").distinct(), "u", "left_semi"), df, threshold).distinct()
+        split = hot.distinct().join(rare, "u")
+        crowded = split.alias("x").join(split.alias("y"), ["k", "w"]).where("x.u < y.u")
+        pairs = pairs.unionByName(crowded.select(F.col("x.u").alias("a"), F.col("y.u").alias("b")))
+    return pairs.distinct()
 
 
 def _similarity(weights: str, df: np.ndarray, n: int):
@@ -217,12 +315,10 @@ def near_classes(texts: DataFrame, words: int = WORDS, threshold: float = THRESH
     (a, b) between classes of one source whose similarity reaches the threshold."""
     every = sets(texts, words).withColumn("u", F.xxhash64("src", "digest")).persist()
     df, n = document_frequencies(every)
+    all_sets = every.select("u", F.pmod(F.xxhash64("src"), F.lit(1 << 20)).alias("code"), "words", "tfs")
+    pairs = candidates(all_sets, df, n, threshold, bands, rows)
     # Any member stands for its class: the words are the same, and the counts of one are taken.
-    firsts = every.groupBy("u").agg(F.min("id").alias("id"))
-    reps = every.join(firsts, ["u", "id"], "left_semi")
-    reps = reps.select("u", F.pmod(F.xxhash64("src"), F.lit(1 << 20)).alias("code"), "words", "tfs")
-    pairs = candidates(reps, df, n, threshold, bands, rows)
-    side = reps.select("u", "words", "tfs") if weights == "tfidf" else reps.select("u", "words")
+    side = (all_sets.select("u", "words", "tfs") if weights == "tfidf" else all_sets.select("u", "words")).dropDuplicates(["u"])
     as_ = lambda x: side.withColumnsRenamed({"u": x, "words": f"words_{x}", "tfs": f"tfs_{x}"})
     similar = _similarity(weights, df, n)()
     links = pairs.join(as_("a"), "a").join(as_("b"), "b").where(similar >= threshold).select("a", "b")

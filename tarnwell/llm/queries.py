@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarnwell.llm import lookalike, neardup, overlap, packing, ranking, split, tokens
+from tarnwell.llm import lookalike, neardup, overlap, packing, pages, ranking, split, tokens
 from tarnwell.llm.texts import EVIDENCE, PAGES, QUESTIONS, items
 from tarnwell.sources import table
 
@@ -73,6 +73,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(items(spark, d, EVIDENCE, QUESTIONS), words=1, threshold=0.7, weights="unit")
 
 
+_FIELDS = ["text", "pymupdf_text", "pdfplumber_text"]
+
+
+def _page_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str, int], frozenset[str]]:
+    rows = table(spark, d, PAGES, "row_id", "title", "page", *_FIELDS)
+    # publisher_ref doesn't grow; it names the publishers that running lines show
+    names = frozenset(r.publisher_name.strip().casefold() for r in table(spark, d, "publisher_ref").collect() if r.publisher_name)
+    return rows, _FIELDS, pages.count_words(rows, _FIELDS), names
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.notes(*_page_tables(spark, d))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return pages.repair(*_page_tables(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
