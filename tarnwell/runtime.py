@@ -8,6 +8,7 @@ it is.  ``cut`` ends a lineage by a reliable checkpoint in the folder that the c
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tarnwell-package-")
+    made = shutil.make_archive(os.path.join(folder, "tarnwell"), "zip", root, "tarnwell")
+    sc.addPyFile(made)
+    _shipped.add(sc.applicationId)
