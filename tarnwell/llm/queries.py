@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tarnwell.llm import lookalike, neardup, overlap, packing, pages, ranking, split, tokens
+from tarnwell.llm import lookalike, neardup, overlap, packing, pages, ranking, sentences, split, tokens
 from tarnwell.llm.texts import EVIDENCE, PAGES, QUESTIONS, items
 from tarnwell.sources import table
 
@@ -99,6 +99,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.lengths(table(spark, d, "documents")))
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return sentences.split(docs, sentences.learn(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("doc_id", "end_pos")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
