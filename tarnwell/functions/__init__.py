@@ -1 +1 @@
-
+"""Column functions and domain lexicons."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.operators import units
 from tarnwell.sources import table
 
+PLANS = ("text", "retrieval", "evaluation", "relational")
+
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return units.same_bounds(table(spark, d, "claim"))
@@ -16,9 +20,13 @@ def p6_common(spark: SparkSession, d: str) -> DataFrame:
     return units.common_claims(table(spark, d, "claim")).select("claim_id", "direction", "common_value", "common_high", "common_unit", "unit_source")
 
 
+def _plans() -> list:
+    return [import_module(f"tarnwell.plans.{p}") for p in PLANS]
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_common": p6_common}
+    return {name: f for plan in _plans() for name, f in plan.Q.items()} | {"p6_found": p6_found, "p6_common": p6_common}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for plan in _plans() for name, sql in plan.SQL.items()}
