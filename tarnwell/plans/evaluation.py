@@ -1,2 +1,493 @@
-Q={}
-SQL={}
+"""Queries of gates, answers, claims, verification, evaluation and experiments."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Window, functions as F
+
+from tarnwell.functions import lexicon as L, text as T
+from tarnwell.operators import fusion, metrics
+from tarnwell.plans import retrieval as R
+from tarnwell.plans.text import SQUEEZE
+from tarnwell.sources import table
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+PACK = "pregnancy_scope_evidence_pack"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def gold(spark, d):
+    return table(spark, d, "ckd_gold_eval").where("query is not null")
+
+
+_CONTENT = R._CONTENT
+
+
+@query(f"SELECT case_key, len(list_filter({_CONTENT.format('query')}, lambda w: NOT regexp_matches(w, '^[0-9.]+$'))) > 0 AS askable FROM ckd_gold_eval WHERE query IS NOT NULL")
+def askable(spark, d):
+    return gold(spark, d).select("case_key", F.exists(T.content_terms(F.col("query")), lambda w: ~w.rlike("^[0-9.]+$")).alias("askable"))
+
+
+@query("SELECT case_key, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{n}'" for n, p in L.GENRES.items()) + " ELSE 'question' END AS genre FROM ckd_gold_eval WHERE query IS NOT NULL")
+def question_genre(spark, d):
+    low, c = F.lower("query"), F.lit("question")
+    for n, p in reversed(list(L.GENRES.items())):
+        c = F.when(low.rlike(p), n).otherwise(c)
+    return gold(spark, d).select("case_key", c.alias("genre"))
+
+
+_SCOPED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(query), '{p}') THEN '{n}' END" for n, p in L.SCOPES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT case_key, len({_SCOPED}) > 0 AS scoped, array_to_string({_SCOPED}, ',') AS matched, regexp_matches(lower(query), '{L.DOMAIN}') AS in_domain FROM ckd_gold_eval WHERE query IS NOT NULL")
+def scope_gate(spark, d):
+    low = F.lower("query")
+    found = F.filter(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in L.SCOPES.items()]), lambda x: x.isNotNull())
+    return gold(spark, d).select("case_key", (F.size(found) > 0).alias("scoped"), F.array_join(found, ",").alias("matched"), low.rlike(L.DOMAIN).alias("in_domain"))
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}', 0)) AS w FROM question_sample2),
+q AS (SELECT DISTINCT case_key, unnest(regexp_extract_all(lower(query), '[a-z]{{5,}}', 0)) AS w FROM ckd_gold_eval)
+SELECT case_key, array_to_string(list_sort(list(w)), ' ') AS unknown FROM q ANTI JOIN v USING (w) GROUP BY case_key""")
+def unknown_concepts(spark, d):
+    def words(c):
+        return F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")
+
+    v = table(spark, d, "question_sample2").select(words("text")).distinct()
+    q = table(spark, d, "ckd_gold_eval").select("case_key", words("query")).distinct()
+    return q.join(v, "w", "left_anti").groupBy("case_key").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("unknown"))  # words of one query
+
+
+@query("""WITH p AS (SELECT claim_id, chunk_id, quantity, value FROM claim WHERE value IS NOT NULL AND comparator = '='), b AS (SELECT DISTINCT quantity, document_id, value AS lo, value_high AS hi FROM claim WHERE value_high IS NOT NULL AND value IS NOT NULL)
+SELECT claim_id FROM p WHERE EXISTS (SELECT 1 FROM b JOIN claim c ON c.claim_id = p.claim_id AND c.document_id = b.document_id WHERE b.quantity = p.quantity AND p.value BETWEEN b.lo AND b.hi)""")
+def premise_supported(spark, d):
+    """Claims of a single value that lie in a closed band which the same document states."""
+    c = table(spark, d, "claim", "claim_id", "quantity", "document_id", "comparator", "value", "value_high").where("value is not null")
+    b = c.where("value_high is not null").select("quantity", "document_id", F.col("value").alias("lo"), F.col("value_high").alias("hi")).distinct()
+    p = c.where("comparator = '='")
+    on = [p.quantity == b.quantity, p.document_id == b.document_id, p.value.between(b.lo, b.hi)]
+    return p.join(b, on, "left_semi").select("claim_id")
+
+
+@query(f"""WITH t AS (SELECT query_id, max(score) AS best, count(*) AS n, any_value(query) AS query FROM {PACK} GROUP BY query_id)
+SELECT query_id, CASE WHEN len({_CONTENT.format('query')}) = 0 THEN 'no_question' WHEN NOT regexp_matches(lower(query), '{L.DOMAIN}') THEN 'out_of_domain' WHEN n < 2 THEN 'insufficient_evidence' ELSE 'answered' END AS status FROM t""")
+def answer_status(spark, d):
+    t = table(spark, d, PACK).groupBy("query_id").agg(F.count("*").alias("n"), F.min("query").alias("query"))
+    status = F.when(F.size(T.content_terms(F.col("query"))) == 0, "no_question").when(~F.lower("query").rlike(L.DOMAIN), "out_of_domain").when(F.col("n") < 2, "insufficient_evidence").otherwise("answered")
+    return t.select("query_id", status.alias("status"))
+
+
+SQL["answer_status"] = SQL["answer_status"].replace("any_value(query)", "min(query)")
+
+
+@query(f"""WITH r AS (SELECT query_id, id, rank, document_id, unnest(list_distinct(regexp_extract_all(raw_text, 'eGFR|ferritin|haemoglobin', 0))) AS ref FROM {PACK}), t AS (SELECT DISTINCT document_id, quantity, chunk_id FROM claim),
+k AS (SELECT query_id, id, ref, chunk_id, row_number() OVER (PARTITION BY query_id, id, ref ORDER BY chunk_id) AS sub FROM r JOIN t USING (document_id) WHERE lower(ref) = quantity)
+SELECT query_id, id, ref, chunk_id, CAST(sub AS INT) AS sub FROM k WHERE sub <= 2""")
+def resolve_refs(spark, d):
+    e = table(spark, d, PACK, "query_id", "id", "document_id", "raw_text")
+    r = e.select("query_id", "id", "document_id", F.explode(F.array_distinct(F.regexp_extract_all("raw_text", F.lit("eGFR|ferritin|haemoglobin"), F.lit(0)))).alias("ref"))
+    t = table(spark, d, "claim", "document_id", "quantity", "chunk_id").distinct()
+    j = r.join(t, (r.document_id == t.document_id) & (F.lower("ref") == t.quantity))
+    w = Window.partitionBy("query_id", "id", "ref").orderBy("chunk_id")
+    return j.withColumn("sub", F.row_number().over(w)).where("sub <= 2").select("query_id", "id", "ref", "chunk_id", "sub")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 50 = 0), r AS (SELECT r_regionkey * 80000.0 AS lo, r_regionkey * 80000.0 + 120000 AS hi, r_regionkey AS pos FROM region),
+k AS (SELECT o_orderkey, pos, row_number() OVER (PARTITION BY o_orderkey ORDER BY hi - lo, pos) AS rn FROM b JOIN r ON o_totalprice BETWEEN lo AND hi) SELECT o_orderkey, pos FROM k WHERE rn = 1""")
+def band_lookup(spark, d):
+    """Narrowest band that contains a value; the bands are five rows that don't grow."""
+    lo = F.col("r_regionkey") * 80000.0
+    r = table(spark, d, "region").select(lo.alias("lo"), (lo + 120000).alias("hi"), F.col("r_regionkey").alias("pos"))
+    b = table(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_orderkey % 50 = 0")
+    j = b.join(F.broadcast(r), F.col("o_totalprice").between(F.col("lo"), F.col("hi")))
+    return j.groupBy("o_orderkey").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "pos")).alias("m")).select("o_orderkey", "m.pos")
+
+
+@query("""WITH n AS (SELECT document_id, page, row_id, md5(text) AS own, lag(md5(text)) OVER w AS before, lead(md5(text)) OVER w AS after, lag(page) OVER w AS p0, lead(page) OVER w AS p1 FROM page_record WINDOW w AS (PARTITION BY document_id ORDER BY page, row_id))
+SELECT row_id, CASE WHEN p0 >= page - 1 THEN before END AS before, CASE WHEN p1 <= page + 1 THEN after END AS after FROM n""")
+def neighbour_context(spark, d):
+    w = Window.partitionBy("document_id").orderBy("page", "row_id")
+    n = table(spark, d, "page_record", "document_id", "page", "row_id", "text").withColumn("h", F.md5("text"))
+    n = n.select("row_id", "page", F.lag("h").over(w).alias("b"), F.lead("h").over(w).alias("a"), F.lag("page").over(w).alias("p0"), F.lead("page").over(w).alias("p1"))
+    return n.select("row_id", F.when(F.col("p0") >= F.col("page") - 1, F.col("b")).alias("before"), F.when(F.col("p1") <= F.col("page") + 1, F.col("a")).alias("after"))
+
+
+@query(f"""SELECT query_id, string_agg('[' || rank || '] ' || coalesce(citation, 'no source') || ': ' || substr({SQUEEZE.format('raw_text')}, 1, 80), E'\\n' ORDER BY rank, id) AS prompt FROM {PACK} GROUP BY query_id""")
+def prompt_builder(spark, d):
+    e = table(spark, d, PACK, "query_id", "rank", "id", "citation", "raw_text")
+    item = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce("citation", F.lit("no source")), F.lit(": "), T.snippet(F.col("raw_text"), 80))
+    g = e.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", item.alias("item")))).alias("x"))  # a pack is cut to its ranks
+    return g.select("query_id", F.array_join(F.transform("x", lambda s: s["item"]), "\n").alias("prompt"))
+
+
+# Claims and verification
+
+
+@query("""SELECT claim_id, CASE WHEN c IN ('<', '<=', '≤', 'less than', 'lower than', 'below', 'under') THEN CAST(0 AS DOUBLE) ELSE value END AS low,
+ CASE WHEN c IN ('>', '>=', '≥', 'greater than', 'more than', 'above', 'over', 'at least') THEN CAST('Infinity' AS DOUBLE) WHEN c = 'between' THEN value_high ELSE value END AS high FROM (SELECT *, lower(comparator) AS c FROM claim) WHERE value IS NOT NULL AND c IS NOT NULL""")
+def claim_bounds(spark, d):
+    return _bounds(spark, d).select("claim_id", "low", "high")
+
+
+_BELOW, _ABOVE = ["<", "<=", "≤", "less than", "lower than", "below", "under"], [">", ">=", "≥", "greater than", "more than", "above", "over", "at least"]
+
+
+def _bounds(spark, d):
+    c = F.lower("comparator")
+    low = F.when(c.isin(*_BELOW), 0.0).otherwise(F.col("value"))
+    high = F.when(c.isin(*_ABOVE), float("inf")).when(c == "between", F.col("value_high")).otherwise(F.col("value"))
+    return table(spark, d, "claim").where("value is not null and comparator is not null").withColumn("low", low).withColumn("high", high)
+
+
+@query("""WITH b AS (SELECT document_id, quantity, claim_id, row_number() OVER (PARTITION BY document_id, quantity ORDER BY CASE WHEN lower(comparator) IN ('<', '<=', '≤', 'between', '=', 'less than', 'lower than', 'below', 'under') THEN 0 ELSE 1 END, claim_id) AS rn FROM claim WHERE value IS NOT NULL AND comparator IS NOT NULL)
+SELECT document_id, quantity, claim_id FROM b WHERE rn = 1""")
+def headline_claim(spark, d):
+    b = _bounds(spark, d)
+    order = F.struct((F.lower("comparator").isin(*_ABOVE)).cast("int").alias("open"), "claim_id")
+    return b.groupBy("document_id", "quantity").agg(F.min(order).alias("m")).select("document_id", "quantity", "m.claim_id")
+
+
+@query("""WITH b AS (SELECT quantity, unit, population, publisher, CASE WHEN c IN ('<', '<=', '≤', 'less than', 'lower than', 'below', 'under') THEN CAST(0 AS DOUBLE) ELSE value END AS low,
+ CASE WHEN c IN ('>', '>=', '≥', 'greater than', 'more than', 'above', 'over', 'at least') THEN CAST('Infinity' AS DOUBLE) WHEN c = 'between' THEN value_high ELSE value END AS high FROM (SELECT *, lower(comparator) AS c FROM claim) WHERE value IS NOT NULL AND c IS NOT NULL),
+g AS (SELECT quantity, unit, population, count(DISTINCT publisher) AS sources, max(low) AS ml, min(high) AS mh, count(DISTINCT CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN (low, high) END) AS n FROM b GROUP BY ALL)
+SELECT quantity, unit, population, sources, CASE WHEN ml > mh THEN 'incompatible' WHEN n > 1 THEN 'differs' ELSE 'agree' END AS status FROM g WHERE sources >= 2""")
+def claim_agreement(spark, d):
+    return metrics.agreement(_bounds(spark, d), ["quantity", "unit", "population"], "publisher", "low", "high")
+
+
+_CLAIM = re.compile(r"(?:(less than|lower than|below|under|more than|greater than|above|over|at least|exceeds|falls below|[<>≤≥]=?)\s)?(?:between\s(\d+(?:\.\d+)?)\sand\s)?(\d+(?:\.\d+)?)\s?(mL/min/1\.73 m²|mg/mmol|mmol/L|µmol/L|mg/g|mmHg|g/L|%)")
+
+
+@query()
+def claims(spark, d):
+    """Numeric claims of the evidence texts: comparator, value or range, unit, and who it is about."""
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for i, t in zip(pdf["ev_id"], pdf["raw_text"], strict=True):
+                for n, m in enumerate(_CLAIM.finditer(t or "")):
+                    around = t[max(0, m.start() - 120) : m.end() + 40].lower()
+                    who = next((p for p in ("pregnan", "child", "adolescent", "transplant", "dialysis") if p in around), None)
+                    lo, hi = (float(m[2]), float(m[3])) if m[2] else (float(m[3]), None)
+                    rows.append((i, n, "between" if m[2] else m[1] or "=", lo, hi, m[4], who))
+            yield pd.DataFrame(rows, columns=["ev_id", "claim_no", "comparator", "value", "value_high", "unit", "population"])
+
+    return table(spark, d, PACK, "ev_id", "raw_text").mapInPandas(run, "ev_id bigint, claim_no int, comparator string, value double, value_high double, unit string, population string")
+
+
+@query(f"""WITH a AS (SELECT query_id, string_agg(substr(raw_text, 1, 200) || ' [' || (rank + CASE WHEN rank % 3 = 0 THEN 90 ELSE 0 END) || ']', ' ' ORDER BY rank, id) AS answer, count(*) AS n FROM {PACK} GROUP BY query_id),
+c AS (SELECT query_id, n, list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INT)) AS c FROM a)
+SELECT query_id, CAST(len(list_filter(c, lambda x: x BETWEEN 1 AND n)) AS BIGINT) AS valid, CAST(len(c) AS BIGINT) AS cited FROM c""")
+def citation_check(spark, d):
+    e = table(spark, d, PACK, "query_id", "rank", "id", "raw_text")
+    mark = F.col("rank") + F.when(F.col("rank") % 3 == 0, 90).otherwise(0)
+    piece = F.concat(F.substring("raw_text", 1, 200), F.lit(" ["), mark.cast("string"), F.lit("]"))
+    g = e.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", piece.alias("t")))).alias("x"), F.count("*").alias("n"))
+    answer = F.array_join(F.transform("x", lambda s: s["t"]), " ")
+    cited = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    c = g.select("query_id", "n", cited.alias("c"))
+    return c.select("query_id", F.size(F.filter("c", lambda x: x.between(1, F.col("n")))).cast("bigint").alias("valid"), F.size("c").cast("bigint").alias("cited"))
+
+
+@query("""SELECT claim_id, contains(lower(regexp_replace(span, '\\s+', '', 'g')), lower(regexp_replace(printf('%g', value) || unit, '\\s+', '', 'g'))) AS supported FROM claim WHERE value IS NOT NULL AND unit IS NOT NULL AND span IS NOT NULL AND value = floor(value) AND value < 100000""")
+def value_support(spark, d):
+    c = table(spark, d, "claim").where("value is not null and unit is not null and span is not null and value = floor(value) and value < 100000")
+    need = metrics.squeezed(F.concat(F.col("value").cast("bigint").cast("string"), "unit"))
+    return c.select("claim_id", metrics.squeezed(F.col("span")).contains(need).alias("supported"))
+
+
+@query()
+def verify(spark, d):
+    """Answers made of the first evidence's first sentence, checked against the pack's evidence."""
+    e = table(spark, d, PACK, "query_id", "rank", "id", "raw_text")
+    g = e.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "raw_text"))).alias("x"))
+    a = g.select("query_id", F.transform("x", lambda s: s["raw_text"]).alias("evidence"))
+    a = a.withColumn("answer", F.concat(F.substring_index(F.col("evidence")[0], ". ", 1), F.lit(" [1]")))
+    return metrics.verify(a, "query_id", "answer", "evidence")
+
+
+# Triggers over events
+
+
+@query("""SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event, arg_min(value, (ts, event_id)) AS first_value FROM events GROUP BY user_id, event_type""")
+def first_fact_per_user(spark, d):
+    e = table(spark, d, "events", "user_id", "event_type", "ts", "event_id", "value")
+    return e.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id", "value")).alias("m")).select("user_id", "event_type", F.col("m.event_id").alias("first_event"), F.col("m.value").alias("first_value"))
+
+
+@query("""WITH f AS (SELECT user_id, max(value) FILTER (event_type = 'error') AS e, avg(value) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id)
+SELECT user_id, coalesce(e > 50, false) AS high_error, coalesce(p > 20, false) AS high_spend, c >= 10 AND coalesce(p, 0) = 0 AS browsing FROM f""")
+def triggers(spark, d):
+    def of(kind):
+        return F.col("event_type") == kind
+
+    f = table(spark, d, "events", "user_id", "event_type", "value").groupBy("user_id").agg(
+        F.max(F.when(of("error"), F.col("value"))).alias("e"), F.avg(F.when(of("purchase"), F.col("value"))).alias("p"), F.count_if(of("click")).alias("c")
+    )
+    return f.select("user_id", F.coalesce(F.col("e") > 50, F.lit(False)).alias("high_error"), F.coalesce(F.col("p") > 20, F.lit(False)).alias("high_spend"), ((F.col("c") >= 10) & (F.coalesce("p", F.lit(0.0)) == 0)).alias("browsing"))
+
+
+@query(r"""WITH l AS (SELECT sample_id, string_split(regexp_replace(text, '\. ', E'\n', 'g'), E'\n') AS ls FROM question_sample2 WHERE text IS NOT NULL), n AS (SELECT sample_id, unnest(list_transform(range(1, len(ls) + 1), lambda i: i || '|' || ls[i])) AS line FROM l)
+SELECT sample_id, CAST(regexp_extract(line, '^([0-9]+)\|(.+)$', 1) AS INT) AS n, trim(regexp_extract(line, '^([0-9]+)\|(.+)$', 2)) AS question FROM n WHERE regexp_matches(line, '^[0-9]+\|.+$')""")
+def parse_numbered_lines(spark, d):
+    q = table(spark, d, "question_sample2").where("text is not null").select("sample_id", F.posexplode(F.split(F.regexp_replace("text", r"\. ", "\n"), "\n")).alias("p", "l"))
+    line = q.select("sample_id", F.concat_ws("|", (F.col("p") + 1).cast("string"), "l").alias("line")).where(F.col("line").rlike(r"^[0-9]+\|.+$"))
+    return line.select("sample_id", F.regexp_extract("line", r"^([0-9]+)\|(.+)$", 1).cast("int").alias("n"), F.trim(F.regexp_extract("line", r"^([0-9]+)\|(.+)$", 2)).alias("question"))
+
+
+@query("""WITH t AS (SELECT sample_id FROM question_sample2 q WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(map_keys(relevance)) AS id FROM ckd_gold_eval) g WHERE g.id = q.id))
+SELECT sample_id, CAST((row_number() OVER (PARTITION BY sample_id % 16 ORDER BY sample_id) - 1) // 8 AS BIGINT) AS batch FROM t""")
+def batch_todo(spark, d):
+    """Items without questions yet, in batches of eight within sixteen lanes: no global order is needed."""
+    g = table(spark, d, "ckd_gold_eval").select(F.explode(F.map_keys("relevance")).alias("id"))
+    t = table(spark, d, "question_sample2", "sample_id", "id").join(g, "id", "left_anti")
+    w = Window.partitionBy(F.col("sample_id") % 16).orderBy("sample_id")
+    return t.select("sample_id", F.floor((F.row_number().over(w) - 1) / 8).alias("batch"))
+
+
+# Evaluation of the search
+
+
+JUDGED = f"judged AS (SELECT case_key AS qid, sample_id, CAST(max(grade) AS INT) AS grade FROM (SELECT case_key, unnest(map_keys(relevance)) AS id, unnest(map_values(relevance)) AS grade FROM (SELECT case_key, relevance FROM ckd_gold_eval UNION ALL SELECT case_key, relevance FROM heldout_chunkfirst) WHERE case_key % {R.EVERY} = 0) JOIN question_sample2 USING (id) GROUP BY ALL)"
+
+
+def judged(spark, d):
+    g = R.asked(spark, d).select("qid", F.explode("relevance").alias("id", "grade"))
+    return g.join(table(spark, d, "question_sample2", "id", "sample_id"), "id").groupBy("qid", "sample_id").agg(F.max("grade").alias("grade"))
+
+
+METRICS = f"""{R.HYBRID}, {JUDGED}, g AS (SELECT h.qid, rank, coalesce(grade, 0) AS grade FROM hybrid h LEFT JOIN judged j ON j.qid = h.qid AND j.sample_id = h.sample_id),
+per AS (SELECT qid, sum(grade / log2(rank + 1)) AS dcg, count(*) FILTER (grade > 0) AS found, count(*) FILTER (grade > 0 AND rank <= 5) AS found5, min(rank) FILTER (grade = 2) AS first2, min(rank) FILTER (grade > 0) AS first FROM g GROUP BY qid),
+ideal AS (SELECT qid, sum(CASE WHEN r <= 10 THEN grade / log2(r + 1) ELSE 0 END) AS ideal, count(*) FILTER (grade > 0) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, sample_id) AS r FROM judged) GROUP BY qid),
+m AS (SELECT i.qid, CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END AS ndcg, coalesce(found, 0) / CAST(relevant AS DOUBLE) AS recall, coalesce(found5, 0) / 5.0 AS p5, coalesce(1.0 / first2, 0) AS rr, first, relevant FROM ideal i LEFT JOIN per USING (qid) WHERE relevant > 0)"""
+
+
+def _metrics(spark, d):
+    return metrics.ir_metrics(R.hybrid_search(spark, d).select("qid", "sample_id", "rank"), judged(spark, d), "qid", "sample_id")
+
+
+@query(f"WITH {METRICS} SELECT qid, round(ndcg, 4) AS ndcg FROM m")
+def ndcg(spark, d):
+    return _metrics(spark, d).select("qid", F.round("ndcg", 4).alias("ndcg"))
+
+
+@query(f"WITH {METRICS} SELECT qid, round(recall, 4) AS recall, CAST(round(p5, 4) AS DOUBLE) AS p5, CAST(round(rr, 4) AS DOUBLE) AS rr, CAST(first AS INT) AS first, relevant FROM m")
+def ir_metrics(spark, d):
+    return _metrics(spark, d).select("qid", F.round("recall", 4).alias("recall"), F.round("p5", 4).alias("p5"), F.round("rr", 4).alias("rr"), "first", "relevant")
+
+
+@query(f"WITH {METRICS} SELECT CAST(k AS INT) AS k, round(CAST(count(*) FILTER (first <= k) AS DOUBLE) / count(*), 6) AS success FROM m, (VALUES (1), (3), (5), (10)) v(k) GROUP BY k")
+def success_at_k(spark, d):
+    m = _metrics(spark, d).select(F.explode(F.array(*map(F.lit, (1, 3, 5, 10)))).alias("k"), "first")
+    return m.groupBy("k").agg(F.round(F.count_if(F.col("first") <= F.col("k")) / F.count("*"), 6).alias("success"))
+
+
+@query(f"WITH {METRICS} SELECT round(avg(p5), 6) AS p5, round(avg(least(relevant, 5) / 5.0), 6) AS ceiling FROM m")
+def precision_ceiling(spark, d):
+    return _metrics(spark, d).agg(F.round(F.avg("p5"), 6).alias("p5"), F.round(F.avg(F.least("relevant", F.lit(5)) / 5.0), 6).alias("ceiling"))
+
+
+@query(f"""WITH {METRICS}, c AS (SELECT qid, lower(trim(slice)) AS slice, kind, category FROM (SELECT case_key AS qid, slice, kind, category FROM ckd_gold_eval UNION ALL SELECT case_key, slice, kind, category FROM heldout_chunkfirst))
+SELECT CAST(grouping(slice) AS INT) AS g1, CAST(grouping(kind) AS INT) AS g2, CAST(grouping(category) AS INT) AS g3, slice, kind, category, count(*) AS n, round(avg(round(ndcg, 4)), 6) AS ndcg, count(*) FILTER (round(ndcg, 4) = 0) AS missed FROM m JOIN c USING (qid) GROUP BY GROUPING SETS ((), (slice), (kind), (category))""")
+def metrics_grouping_sets(spark, d):
+    own = ["case_key", "slice", "kind", "category"]
+    c = table(spark, d, "ckd_gold_eval", *own).unionByName(table(spark, d, "heldout_chunkfirst", *own)).withColumnRenamed("case_key", "qid").withColumn("slice", F.lower(F.trim("slice")))
+    m = _metrics(spark, d).select("qid", F.round("ndcg", 4).alias("v")).join(c, "qid")
+    g = m.groupingSets([[], ["slice"], ["kind"], ["category"]], "slice", "kind", "category")
+    return g.agg(
+        F.grouping("slice").cast("int").alias("g1"), F.grouping("kind").cast("int").alias("g2"), F.grouping("category").cast("int").alias("g3"),
+        F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("ndcg"), F.count_if(F.col("v") == 0).alias("missed"),
+    )
+
+
+@query(f"WITH {METRICS} SELECT qid FROM m WHERE round(ndcg, 4) = 0")
+def total_miss(spark, d):
+    return _metrics(spark, d).where("round(ndcg, 4) = 0").select("qid")
+
+
+@query(f"""WITH {R.HYBRID}, {JUDGED} SELECT qid, array_to_string(list_sort(list(sample_id)), ',') AS missed FROM judged ANTI JOIN hybrid USING (qid, sample_id) WHERE grade > 0 GROUP BY qid""")
+def missed_list(spark, d):
+    m = judged(spark, d).where("grade > 0").join(R.hybrid_search(spark, d), ["qid", "sample_id"], "left_anti")
+    return m.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("missed"))  # the judgements of one query
+
+
+@query(f"""WITH {R.HYBRID}, {JUDGED}, f AS (SELECT sample_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS fp FROM chunks), jf AS (SELECT qid, fp, max(grade) AS grade FROM judged JOIN f USING (sample_id) GROUP BY ALL),
+r AS (SELECT qid, rank, fp, row_number() OVER (PARTITION BY qid, fp ORDER BY rank) AS rn FROM hybrid JOIN f USING (sample_id))
+SELECT r.qid, round(sum(CASE WHEN rn = 1 THEN coalesce(grade, 0) ELSE 0 END / log2(rank + 1)), 4) AS dcg FROM r LEFT JOIN jf ON jf.qid = r.qid AND jf.fp = r.fp GROUP BY r.qid""")
+def collapsed_metrics(spark, d):
+    """Gains over texts, not rows: repeats of a text keep their rank but gain nothing."""
+    f = R.chunks(spark, d).select("sample_id", T.fingerprint(F.col("text")).alias("fp"))
+    jf = judged(spark, d).join(f, "sample_id").groupBy("qid", "fp").agg(F.max("grade").alias("grade"))
+    w = Window.partitionBy("qid", "fp").orderBy("rank")
+    r = R.hybrid_search(spark, d).join(f, "sample_id").withColumn("rn", F.row_number().over(w))
+    gain = F.when(F.col("rn") == 1, F.coalesce("grade", F.lit(0))).otherwise(0)
+    return r.join(jf, ["qid", "fp"], "left").groupBy("qid").agg(F.round(F.sum(gain / F.log2(F.col("rank") + 1)), 4).alias("dcg"))
+
+
+@query("""SELECT should_abstain, count(*) AS n, round(avg(cardinality(relevance)), 6) AS mean_judged FROM ckd_gold_eval GROUP BY should_abstain""")
+def abstention_separation(spark, d):
+    return table(spark, d, "ckd_gold_eval").groupBy("should_abstain").agg(F.count("*").alias("n"), F.round(F.avg(F.size("relevance")), 6).alias("mean_judged"))
+
+
+_CONFIGS = [("even", 0.5, 0.5), ("usual", 0.42, 0.58), ("no_tfidf", 0.0, 1.0), ("no_dense", 1.0, 0.0)]
+
+
+@query(f"""WITH {R.SCALED}, c(name, wt, wd) AS (VALUES {", ".join(f"('{n}', {a}, {b})" for n, a, b in _CONFIGS)}), f AS (SELECT name, query_id, chunk_id, round((wt * tfidf + wd * dense) / (wt + wd), 9) AS fused FROM scaled, c),
+t AS (SELECT name, query_id, chunk_id, row_number() OVER (PARTITION BY name, query_id ORDER BY fused DESC, chunk_id) AS r FROM f), p AS (SELECT query_id, id AS chunk_id, rank FROM {PACK})
+SELECT name, round(avg(CASE WHEN p.rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS in_pack FROM t LEFT JOIN p USING (query_id, chunk_id) WHERE r <= 5 GROUP BY name""")
+def ablation(spark, d):
+    """Every variant of the fusion weights in one plan: a table of configurations joins the scaled scores."""
+    scaled = fusion.minmax(R.listed(spark, d), "query_id", ["tfidf", "dense"])
+    configs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("wt"), F.lit(b).alias("wd")) for n, a, b in _CONFIGS]))
+    f = scaled.select("query_id", "chunk_id", "tfidf", "dense", configs.alias("c"))
+    f = f.select("query_id", "chunk_id", "c.name", F.round((F.col("c.wt") * F.col("tfidf") + F.col("c.wd") * F.col("dense")) / (F.col("c.wt") + F.col("c.wd")), 9).alias("fused"))
+    t = f.withColumn("r", F.row_number().over(Window.partitionBy("name", "query_id").orderBy(F.desc("fused"), "chunk_id"))).where("r <= 5")
+    p = table(spark, d, PACK).select("query_id", F.col("id").alias("chunk_id"), F.lit(1).alias("hit"))
+    return t.join(p, ["query_id", "chunk_id"], "left").groupBy("name").agg(F.round(F.avg(F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)), 6).alias("in_pack"))
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return metrics.bootstrap(_metrics(spark, d).select("qid", "ndcg"), "qid", "ndcg")
+
+
+@query()
+def paired_bootstrap(spark, d):
+    """Interval of the difference between recall and precision at five per query."""
+    m = _metrics(spark, d).select("qid", (F.col("recall") - F.col("p5")).alias("gain"))
+    return metrics.bootstrap(m, "qid", "gain").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
+@query(f"""SELECT query_id, array_to_string(list_filter([CASE WHEN count(*) FILTER (citation IS NULL) > 0 THEN 'quote_without_citation' END, CASE WHEN max(score) < 0.2 THEN 'low_confidence' END,
+ CASE WHEN count(DISTINCT document_id) = 1 THEN 'single_source' END, CASE WHEN count(*) <> count(DISTINCT rank) THEN 'tied_ranks' END], lambda x: x IS NOT NULL), ',') AS flags FROM {PACK} GROUP BY query_id""")
+def audit_flags(spark, d):
+    g = table(spark, d, PACK).groupBy("query_id").agg(F.count_if(F.col("citation").isNull()).alias("c"), F.max("score").alias("s"), F.count_distinct("document_id").alias("d"), F.count("*").alias("n"), F.count_distinct("rank").alias("r"))
+    flags = F.array(F.when(F.col("c") > 0, "quote_without_citation"), F.when(F.col("s") < 0.2, "low_confidence"), F.when(F.col("d") == 1, "single_source"), F.when(F.col("n") != F.col("r"), "tied_ranks"))
+    return g.select("query_id", F.array_join(F.filter(flags, lambda x: x.isNotNull()), ",").alias("flags"))
+
+
+@query(f"""WITH t AS (SELECT query_id, arg_min(id, (rank, id)) AS id FROM {PACK} WHERE contains(id, '_table_row_') GROUP BY query_id), b AS (SELECT query_id, arg_max(chunk_id, (coalesce(tfidf, -1), chunk_id)) AS id FROM index_score GROUP BY query_id)
+SELECT CASE WHEN t.id = b.id THEN 'right' WHEN split_part(t.id, '_p', 1) = split_part(b.id, '_p', 1) THEN 'sibling' ELSE 'other' END AS verdict, count(*) AS n FROM t JOIN b USING (query_id) GROUP BY 1""")
+def row_precision(spark, d):
+    t = table(spark, d, PACK, "query_id", "rank", "id").where(F.col("id").contains("_table_row_")).groupBy("query_id").agg(F.min(F.struct("rank", "id"))["id"].alias("t"))
+    b = table(spark, d, "index_score", "query_id", "chunk_id", "tfidf").groupBy("query_id").agg(F.max(F.struct(F.coalesce("tfidf", F.lit(-1.0)), "chunk_id"))["chunk_id"].alias("b"))
+    doc = lambda c: F.split_part(c, F.lit("_p"), F.lit(1))
+    verdict = F.when(F.col("t") == F.col("b"), "right").when(doc(F.col("t")) == doc(F.col("b")), "sibling").otherwise("other")
+    return t.join(b, "query_id").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_RULES = [("stop", "pregnan.*stop|stopped"), ("monitor", "monitoring of [a-z ]+ every"), ("dose", "dosage of")]
+
+
+@query("SELECT rule, sample_id, CAST(CASE WHEN chunk_type = 'recommendation_atom' THEN 2 ELSE 1 END AS INT) AS grade FROM question_sample2, (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in _RULES) + ") r(rule, pattern) WHERE regexp_matches(lower(text), pattern)")
+def reannotate(spark, d):
+    """Concept rules give grades: the rules are constants, so each chunk is read once."""
+    q = table(spark, d, "question_sample2")
+    low = F.lower("text")
+    hits = F.filter(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in _RULES]), lambda x: x.isNotNull())
+    return q.select(F.explode(hits).alias("rule"), "sample_id", F.when(F.col("chunk_type") == "recommendation_atom", 2).otherwise(1).alias("grade"))
+
+
+
+@query("""SELECT sample_id, contains(lower(text), 'pregnan') OR contains(lower(text), 'breastfeed') AS any_of, contains(lower(text), 'women') AND contains(lower(text), 'mmol') AS all_of FROM question_sample2 WHERE text IS NOT NULL""")
+def annotate_candidates(spark, d):
+    low = F.lower("text")
+    any_of = F.exists(F.array(F.lit("pregnan"), F.lit("breastfeed")), lambda p: low.contains(p))
+    all_of = F.forall(F.array(F.lit("women"), F.lit("mmol")), lambda p: low.contains(p))
+    return table(spark, d, "question_sample2").where("text is not null").select("sample_id", any_of.alias("any_of"), all_of.alias("all_of"))
+
+
+@query("""WITH f AS (SELECT sample_id, id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS fp FROM question_sample2 WHERE text IS NOT NULL), g AS (SELECT DISTINCT unnest(map_keys(relevance)) AS id FROM ckd_gold_eval)
+SELECT DISTINCT f.sample_id FROM f JOIN (SELECT DISTINCT fp FROM f JOIN g USING (id)) p USING (fp) WHERE fp <> ''""")
+def pin_twins(spark, d):
+    f = table(spark, d, "question_sample2").where("text is not null").select("sample_id", "id", T.fingerprint(F.col("text")).alias("fp")).where("fp <> ''")
+    g = table(spark, d, "ckd_gold_eval").select(F.explode(F.map_keys("relevance")).alias("id")).distinct()
+    pinned = f.join(g, "id", "left_semi").select("fp").distinct()
+    return f.join(pinned, "fp", "left_semi").select("sample_id")
+
+
+@query("""WITH a AS (SELECT id, count(*) AS n FROM (SELECT unnest(map_keys(relevance)) AS id FROM ckd_gold_eval) GROUP BY id), r AS (SELECT a.id, n, count(q.id) AS matches FROM a LEFT JOIN question_sample2 q USING (id) GROUP BY a.id, n)
+SELECT CASE WHEN matches = 0 THEN 'unresolved' WHEN matches > 4 THEN 'ambiguous' ELSE 'resolved' END AS outcome, count(*) AS anchors FROM r GROUP BY 1""")
+def resolve_anchors(spark, d):
+    a = table(spark, d, "ckd_gold_eval").select(F.explode(F.map_keys("relevance")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    r = a.join(table(spark, d, "question_sample2").select("id", F.lit(1).alias("one")), "id", "left").groupBy("id").agg(F.count("one").alias("matches"))
+    return r.groupBy(F.when(F.col("matches") == 0, "unresolved").when(F.col("matches") > 4, "ambiguous").otherwise("resolved").alias("outcome")).agg(F.count("*").alias("anchors"))
+
+
+@query("""WITH m AS (SELECT query_id, chunk_id, max(tfidf) AS a, max(dense) AS b FROM index_score GROUP BY ALL), r AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY a DESC NULLS LAST) AS ra, rank() OVER (PARTITION BY query_id ORDER BY b DESC NULLS LAST) AS rb FROM m)
+SELECT query_id, round(avg(CAST(rb AS DOUBLE) - CAST(ra AS DOUBLE)), 6) AS shift, CAST(max(abs(rb - ra)) AS BIGINT) AS most FROM r GROUP BY query_id""")
+def run_comparison(spark, d):
+    l = R.listed(spark, d)  # noqa: E741
+    w = Window.partitionBy("query_id")
+    r = l.select("query_id", F.rank().over(w.orderBy(F.desc_nulls_last("tfidf"))).alias("ra"), F.rank().over(w.orderBy(F.desc_nulls_last("dense"))).alias("rb"))
+    return r.groupBy("query_id").agg(F.round(F.avg(F.col("rb").cast("double") - F.col("ra")), 6).alias("shift"), F.max(F.abs(F.col("rb") - F.col("ra"))).cast("bigint").alias("most"))
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, count(*) AS flagged FROM question_sample2 WHERE chunk_type = 'table_row'""")
+def backfill_invariant(spark, d):
+    """A flag is filled in, and the old columns are asserted to be the same both ways."""
+    q = table(spark, d, "question_sample2")
+    filled = q.withColumn("is_row", F.coalesce(F.col("chunk_type") == "table_row", F.lit(False)))
+    kept = filled.drop("is_row")
+    lost, added = q.exceptAll(kept).agg(F.count("*").alias("lost")), kept.exceptAll(q).agg(F.count("*").alias("added"))
+    return lost.crossJoin(added).crossJoin(filled.agg(F.count_if("is_row").alias("flagged")))  # one row each
+
+
+@query()
+def answer_correctness(spark, d):
+    """Share of the key values of a claim's evidence that a claim's own text repeats."""
+    c = table(spark, d, "claim", "claim_id", "chunk_id", "span").where("span is not null")
+    e = table(spark, d, PACK).select(F.col("id").alias("chunk_id"), T.stated_values(F.col("raw_text")).alias("need"))
+    j = c.join(e, "chunk_id", "left").select("claim_id", "need", T.stated_values(F.col("span")).alias("have"))
+    status = F.when(F.col("need").isNull() | (F.size("need") == 0), "skipped").when(F.size(F.array_except("need", "have")) == 0, "correct").when(F.size(F.array_intersect("need", "have")) > 0, "partial").otherwise("missing")
+    return j.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pack_passages(spark, d):
+    """Narrative lines packed into passages of about 900 characters per document, headings kept in front;
+    greedy with reset, hence one pass per document in Python."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, heading = [], None
+        for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+            held: list[str] = []
+            n = 0
+
+            def flush() -> None:
+                nonlocal held, n
+                body = " ".join(held)
+                if len(body) >= 90:
+                    rows.append((i, n, heading, len(body)))
+                    n += 1
+                held = []
+
+            heading = None
+            for line in (t or "").split("\n"):
+                s = line.strip()
+                if re.match(r"\d+\.\d+ ", s):
+                    flush()
+                    heading = s
+                elif s:
+                    held.append(s)
+                    if sum(map(len, held)) >= 900:
+                        flush()
+            flush()
+        return pd.DataFrame(rows, columns=["doc_id", "passage", "heading", "n_chars"])
+
+    return table(spark, d, "documents", "doc_id", "text").mapInPandas(lambda it: map(pack, it), "doc_id bigint, passage int, heading string, n_chars int")
+
+

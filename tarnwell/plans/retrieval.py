@@ -1,2 +1,403 @@
-Q={}
-SQL={}
+"""Queries of the lexical index, the signals, their fusion and the search path."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tarnwell.functions import lexicon as L, text as T
+from tarnwell.operators import fusion, index, signals
+from tarnwell.plans.text import quoted
+from tarnwell.sources import table
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+EVERY = 50  # queries of a search: every row whose key is divisible by this, against all chunks
+W = {"tfidf": 0.42, "dense": 0.58}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "question_sample2").where("text is not null and trim(text) <> ''")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, query, relevance): the stated query set of both gold tables."""
+    own = ["case_key", "query", "relevance"]
+    both = table(spark, d, "ckd_gold_eval", *own).unionByName(table(spark, d, "heldout_chunkfirst", *own))
+    return both.where((F.col("case_key") % EVERY == 0) & F.col("query").isNotNull()).withColumnRenamed("case_key", "qid")
+
+
+CHUNKS = "chunks AS (SELECT * FROM question_sample2 WHERE text IS NOT NULL AND trim(text) <> '')"
+ASKED = f"""asked AS (SELECT case_key AS qid, query, relevance FROM (SELECT case_key, query, relevance FROM ckd_gold_eval UNION ALL SELECT case_key, query, relevance FROM heldout_chunkfirst)
+  WHERE case_key % {EVERY} = 0 AND query IS NOT NULL)"""
+_TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_./<>-]*[\p{{L}}\p{{N}}_])?', 0)"
+
+
+def _grams(name: str, source: str, key: str, text: str) -> str:
+    return f"""{name}_t AS (SELECT {key}, {_TERMS.format(text)} AS w FROM {source}),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM {name}_t) GROUP BY {key}, term)"""
+
+
+VOCAB = "vocab AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM chunks)) / (1.0 + count(*))) + 1 AS idf FROM dc GROUP BY term)"
+
+
+def _weights(name: str, counts: str, key: str) -> str:
+    return f"""{name}_r AS (SELECT {key}, term, tf * idf AS raw FROM {counts} JOIN vocab USING (term)),
+{name} AS (SELECT {key}, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY {key})) AS w FROM {name}_r)"""
+
+
+LEXICAL = f"{CHUNKS}, {ASKED}, {_grams('dc', 'chunks', 'sample_id', 'text')}, {VOCAB}, {_weights('dw', 'dc', 'sample_id')}"
+SEARCH = f"{LEXICAL}, {_grams('qc', 'asked', 'qid', 'query')}, {_weights('qw', 'qc', 'qid')}, lex AS (SELECT qid, sample_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (term) GROUP BY qid, sample_id)"
+
+
+def lexical(spark: SparkSession, d: str):
+    """Postings and vocabulary of the chunks."""
+    docs = chunks(spark, d)
+    counts = index.term_counts(docs, "sample_id", "text")
+    vocab = index.vocabulary(counts, docs)
+    return counts, vocab, index.weigh(counts, vocab, "sample_id")
+
+
+def lexical_scores(spark: SparkSession, d: str, text=F.col("query")) -> DataFrame:
+    _, vocab, postings = lexical(spark, d)
+    q = index.term_counts(asked(spark, d).withColumn("q", text), "qid", "q")
+    return index.cosine(index.weigh(q, vocab, "qid"), postings, "qid", "sample_id")
+
+
+@query(f"WITH {LEXICAL} SELECT sample_id, term, round(w, 6) AS w FROM dw")
+def tfidf_weights(spark, d):
+    return lexical(spark, d)[2].select("sample_id", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM vocab WHERE df > 1")
+def vocabulary(spark, d):
+    return lexical(spark, d)[1].where("df > 1").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _top_sql(source: str, n: int = 10, key: str = "sample_id") -> str:
+    return f"SELECT qid, CAST(rank AS INT) AS rank, {key}, score FROM (SELECT qid, {key}, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS rank FROM (SELECT qid, {key}, round(score, 6) AS score FROM {source})) WHERE rank <= {n}"
+
+
+def _top(scored: DataFrame, n: int = 10, key: str = "sample_id") -> DataFrame:
+    return signals.top(scored.select("qid", key, F.round("score", 6).alias("score")), "qid", key, n).select("qid", "rank", key, "score")
+
+
+@query(f"WITH {SEARCH} {_top_sql('lex')}")
+def tfidf_search(spark, d):
+    return _top(lexical_scores(spark, d))
+
+
+_ADDED = "list_distinct(list_filter(list_concat(" + ", ".join(f"CASE WHEN contains(lower(query), '{t}') THEN [{quoted(ws)}] ELSE [] END" for t, ws in L.EXPANSIONS.items()) + "), lambda w: NOT contains(lower(query), w)))"
+
+
+@query(f"SELECT case_key, array_to_string(list_sort({_ADDED}), ' ') AS added FROM heldout_chunkfirst WHERE query IS NOT NULL")
+def expand_query(spark, d):
+    h = table(spark, d, "heldout_chunkfirst", "case_key", "query").where("query is not null")
+    return h.select("case_key", F.array_join(F.array_sort(signals.expand(F.col("query"), L.EXPANSIONS)), " ").alias("added"))
+
+
+@query(f"""WITH {SEARCH}, wider AS (SELECT qid, query || ' ' || array_to_string(list_sort({_ADDED}), ' ') AS query, len({_ADDED}) AS n FROM asked), {_grams('xc', 'wider', 'qid', 'query')}, {_weights('xw', 'xc', 'qid')},
+x AS (SELECT qid, sample_id, sum(xw.w * dw.w) AS score FROM xw JOIN dw USING (term) GROUP BY qid, sample_id),
+b AS (SELECT x.qid, x.sample_id, CASE WHEN n = 0 THEN coalesce(lex.score, 0) ELSE 0.7 * coalesce(lex.score, 0) + 0.3 * x.score END AS score FROM x JOIN wider USING (qid) LEFT JOIN lex USING (qid, sample_id))
+{_top_sql('b')}""")
+def blended_search(spark, d):
+    _, vocab, postings = lexical(spark, d)
+    q = asked(spark, d).withColumn("added", F.array_sort(signals.expand(F.col("query"), L.EXPANSIONS)))
+    q = q.withColumn("wide", F.concat_ws(" ", "query", F.array_join("added", " ")))
+    plain = index.cosine(index.weigh(index.term_counts(q, "qid", "query"), vocab, "qid"), postings, "qid", "sample_id")
+    wide = index.cosine(index.weigh(index.term_counts(q, "qid", "wide"), vocab, "qid"), postings, "qid", "sample_id").withColumnRenamed("score", "wide")
+    both = wide.join(plain, ["qid", "sample_id"], "left").join(q.select("qid", F.size("added").alias("n")), "qid")
+    own = F.coalesce("score", F.lit(0.0))
+    return _top(both.select("qid", "sample_id", F.when(F.col("n") == 0, own).otherwise(0.7 * own + 0.3 * F.col("wide")).alias("score")))
+
+
+@query(f"""WITH {CHUNKS}, {ASKED}, t AS (SELECT sample_id, unnest({_TERMS.format('text')}) AS term FROM chunks), c AS (SELECT sample_id, term, count(*) AS tf FROM t GROUP BY ALL),
+l AS (SELECT sample_id, sum(tf) AS dl FROM c GROUP BY 1), a AS (SELECT avg(dl) AS avgdl, count(*) AS n FROM l), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+q AS (SELECT DISTINCT qid, unnest({_TERMS.format('query')}) AS term FROM asked),
+s AS (SELECT qid, sample_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN c USING (term) JOIN v USING (term) JOIN l USING (sample_id), a GROUP BY qid, sample_id)
+{_top_sql('s')}""")
+def bm25(spark, d):
+    docs = chunks(spark, d)
+    counts = docs.select("sample_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("tf"))
+    q = asked(spark, d).select("qid", F.explode(T.terms(F.col("query"))).alias("term"))
+    return _top(index.bm25(counts, docs, q, "sample_id", "qid"))
+
+
+_EXPANSION = "array_to_string(list_filter([label, text2], lambda x: x IS NOT NULL), ' ')"
+
+
+@query(f"""WITH {CHUNKS}, e AS (SELECT id AS cid, string_agg(query, ' ' ORDER BY case_key) AS text FROM (SELECT case_key, query, unnest(map_keys(relevance)) AS id FROM ckd_gold_eval WHERE query IS NOT NULL) GROUP BY id),
+{_grams('xd', 'e', 'cid', 'text')}, v AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM e)) / (1.0 + count(*))) + 1 AS idf FROM xd GROUP BY term)
+SELECT cid, count(*) AS n_terms, round(sum(tf * idf), 4) AS mass FROM xd JOIN v USING (term) GROUP BY cid""")
+def expansion_tfidf(spark, d):
+    """A second index over the questions that chunks answer."""
+    g = table(spark, d, "ckd_gold_eval", "case_key", "query", "relevance").where("query is not null")
+    pairs = g.select("case_key", "query", F.explode(F.map_keys("relevance")).alias("cid"))
+    texts = pairs.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_key", "query"))), lambda x: x["query"]), " ").alias("text"))
+    counts = index.term_counts(texts, "cid", "text")
+    vocab = index.vocabulary(counts, texts)
+    return counts.join(vocab, "term").groupBy("cid").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("mass"))
+
+
+@query("""SELECT e.ev_id, concat_ws(' | ', p.publisher_name, replace(regexp_extract(e.id, '_p[0-9]+_([a-z_]+?)_', 1), '_', ' ')) AS header, length(concat_ws(E'\\n', p.publisher_name, e.raw_text)) AS n_chars
+FROM pregnancy_scope_evidence_pack e LEFT JOIN publisher_ref p ON p.publisher = upper(substr(e.document_id, 1, 3))""")
+def indexed_text(spark, d):
+    e = table(spark, d, "pregnancy_scope_evidence_pack", "ev_id", "id", "document_id", "raw_text")
+    p = F.broadcast(table(spark, d, "publisher_ref"))  # twenty rows that don't grow
+    j = e.join(p, p.publisher == F.upper(F.substring(e.document_id, 1, 3)), "left")
+    kind = F.replace(F.regexp_extract("id", "_p[0-9]+_([a-z_]+?)_", 1), F.lit("_"), F.lit(" "))
+    return j.select("ev_id", F.concat_ws(" | ", "publisher_name", kind).alias("header"), F.length(F.concat_ws("\n", "publisher_name", "raw_text")).cast("bigint").alias("n_chars"))
+
+
+# Vectors
+
+
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+_VQ = f"q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % {EVERY} = 0)"
+
+
+def vectors(spark: SparkSession, d: str):
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return e, q
+
+
+@query(f"WITH {_VQ}, s AS (SELECT qid, vec_id, {_DOT.format('qv', 'embedding')} AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
+def dense_topk(spark, d):
+    e, q = vectors(spark, d)
+    return _top(e.crossJoin(q).select("qid", "vec_id", signals.dot(F.col("qv"), F.col("embedding")).alias("score")), 10, "vec_id")
+
+
+_HYDE = f"""q AS (SELECT a.vec_id AS qid, a.embedding AS qv, b.embedding AS hv FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % {EVERY} = 0)"""
+
+
+def _hyde(spark, d):
+    e, q = vectors(spark, d)
+    h = e.select((F.col("vec_id") - 1).alias("qid"), F.col("embedding").alias("hv"))
+    return e, q.join(h, "qid")
+
+
+@query(f"WITH {_HYDE}, s AS (SELECT qid, vec_id, greatest({_DOT.format('qv', 'embedding')}, {_DOT.format('hv', 'embedding')}) AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
+def hyde_max(spark, d):
+    e, q = _hyde(spark, d)
+    return _top(e.crossJoin(q).select("qid", "vec_id", F.greatest(signals.dot(F.col("qv"), F.col("embedding")), signals.dot(F.col("hv"), F.col("embedding"))).alias("score")), 10, "vec_id")
+
+
+@query(f"""WITH {_HYDE}, m AS (SELECT qid, list_transform(range(1, len(qv) + 1), lambda i: 0.7 * CAST(qv[i] AS DOUBLE) + 0.3 * CAST(hv[i] AS DOUBLE)) AS mv FROM q),
+s AS (SELECT qid, vec_id, {_DOT.format('mv', 'embedding')} / sqrt({_DOT.format('mv', 'mv')}) AS score FROM m, embeddings) {_top_sql('s', 10, 'vec_id')}""")
+def hyde_blend(spark, d):
+    e, q = _hyde(spark, d)
+    m = q.select("qid", F.zip_with("qv", "hv", lambda a, b: 0.7 * a.cast("double") + 0.3 * b.cast("double")).alias("mv"))
+    m = m.withColumn("norm", F.sqrt(signals.dot(F.col("mv"), F.col("mv"))))
+    return _top(e.crossJoin(m).select("qid", "vec_id", (signals.dot(F.col("mv"), F.col("embedding")) / F.col("norm")).alias("score")), 10, "vec_id")
+
+
+@query(f"""WITH q AS (SELECT vec_id // {EVERY * 4} AS q, vec_id AS qt, embedding AS v FROM embeddings WHERE vec_id % {EVERY} = 0),
+b AS (SELECT q, label AS d, qt, max({_DOT.format('v', 'embedding')}) AS best FROM q, embeddings GROUP BY q, label, qt)
+SELECT q, d, round(sum(best), 6) AS score FROM b GROUP BY q, d""")
+def maxsim(spark, d):
+    e, q = vectors(spark, d)
+    tokens = q.select(F.expr(f"qid div {EVERY * 4}").alias("q"), F.col("qid").alias("qt"), F.col("qv").alias("v"))
+    return signals.maxsim(tokens, e.select(F.col("label").alias("d"), F.col("embedding").alias("v"))).select("q", "d", F.round("score", 6).alias("score"))
+
+
+# Query understanding
+
+
+_QUANTITY = [("egfr", "egfr|filtration"), ("acr", "albumin-to-creatinine|\\bacr\\b"), ("pressure", "blood pressure"), ("potassium", "potassium"), ("haemoglobin", "haemoglobin")]
+
+
+@query("SELECT case_key, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{n}'" for n, p in _QUANTITY) + " ELSE 'none' END AS quantity FROM ckd_gold_eval WHERE query IS NOT NULL")
+def query_quantity(spark, d):
+    low = F.lower("query")
+    c = F.lit("none")
+    for n, p in reversed(_QUANTITY):
+        c = F.when(low.rlike(p), n).otherwise(c)
+    return table(spark, d, "ckd_gold_eval").where("query is not null").select("case_key", c.alias("quantity"))
+
+
+_CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+(?:\.[a-z0-9]+)?|[<>]=?', 0), lambda w: length(w) > 2 AND w NOT IN (" + quoted(T.STOPWORDS) + ")))"
+_NUMBERS = r"list_transform(regexp_extract_all({0}, '[0-9]+(?:\.[0-9]+)?', 0), lambda x: CAST(x AS DOUBLE))"
+_STATED = rf"list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)? ?(?:{T.UNITS})', 0), lambda x: lower(replace(x, ' ', ''))))"
+POOL = f"pool AS (SELECT qid, sample_id, score FROM ({_top_sql('lex', 40)}))"
+META = f"""meta AS (SELECT qid, sample_id,
+ 0.40 * (CASE WHEN len({_CONTENT.format('query')}) = 0 THEN 0.0 ELSE CAST(len(list_filter({_CONTENT.format('query')}, lambda w: contains(lower(text), w))) AS DOUBLE) / len({_CONTENT.format('query')}) END)
+   * (CASE WHEN length(text) > 600 THEN sqrt(600.0 / length(text)) ELSE 1.0 END)
+ + 0.15 * least(CAST(len(list_filter({_STATED}, lambda v: contains(lower(replace(query, ' ', '')), v))) AS DOUBLE) / 3.0, 1.0)
+ + 0.10 * (CASE WHEN len({_NUMBERS.format('query')}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({_NUMBERS.format('query')}, {_NUMBERS.format('text')})) AS DOUBLE) / len(list_distinct({_NUMBERS.format('query')})) END) AS meta
+ FROM pool JOIN asked USING (qid) JOIN chunks USING (sample_id))"""
+
+
+@query(f"WITH {SEARCH}, {POOL}, {META} SELECT qid, sample_id, round(meta, 6) AS meta FROM meta")
+def metadata_signal(spark, d):
+    return _meta(spark, d).select("qid", "sample_id", F.round("meta", 6).alias("meta"))
+
+
+def _pool(spark, d) -> DataFrame:
+    return _top(lexical_scores(spark, d), 40).select("qid", "sample_id", "score")
+
+
+def _meta(spark, d) -> DataFrame:
+    p = _pool(spark, d).join(asked(spark, d).select("qid", "query"), "qid").join(chunks(spark, d).select("sample_id", "id", "text", "chunk_type"), "sample_id")
+    return p.withColumn("meta", signals.metadata(F.col("query"), F.col("text")))
+
+
+_BANDS = """list_concat(list_transform(range(1, len(r1) + 1), lambda i: {{'lo': r1[i], 'hi': r2[i]}}), list_concat(list_transform(lo, lambda z: {{'lo': CAST(0 AS DOUBLE), 'hi': z}}), list_transform(hi, lambda z: {{'lo': z, 'hi': CAST('Infinity' AS DOUBLE)}})))""".replace("{{", "{").replace("}}", "}")
+
+
+def _ext(p: str, g: int) -> str:
+    return f"list_transform(regexp_extract_all(lower(text), '{p}', {g}), lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"""WITH {SEARCH}, {POOL}, x AS (SELECT qid, sample_id, {_NUMBERS.format('query')} AS vs, {_ext(signals.RANGE, 1)} AS r1, {_ext(signals.RANGE, 2)} AS r2, {_ext(signals.LOWER, 1)} AS lo, {_ext(signals.UPPER, 1)} AS hi
+ FROM pool JOIN asked USING (qid) JOIN chunks USING (sample_id)), b AS (SELECT qid, sample_id, vs, {_BANDS} AS bands FROM x),
+v AS (SELECT qid, sample_id, len(vs) AS n, bands, unnest(vs) AS v FROM b WHERE len(bands) > 0),
+s AS (SELECT qid, sample_id, n, CASE WHEN len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) > 0 THEN 0.5 + 0.5 * len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) / len(bands) ELSE 0 END AS one FROM v)
+SELECT qid, sample_id, round(least(sum(one) / any_value(n), 1.0), 6) AS band FROM s GROUP BY qid, sample_id HAVING round(least(sum(one) / any_value(n), 1.0), 6) > 0""")
+def numeric_band(spark, d):
+    p = _pool(spark, d).join(asked(spark, d).select("qid", "query"), "qid").join(chunks(spark, d).select("sample_id", "text"), "sample_id")
+    b = p.select("qid", "sample_id", T.numbers(F.col("query")).alias("vs"), signals.bands(F.col("text")).alias("bands"))
+    return b.select("qid", "sample_id", F.round(signals.band_signal(F.col("vs"), F.col("bands")), 6).alias("band")).where("band > 0")
+
+
+# Fusion over the listed scores
+
+
+def listed(spark, d) -> DataFrame:
+    """One row per query and chunk of index_score; rows loaded twice hold the same scores."""
+    return table(spark, d, "index_score").groupBy("query_id", "chunk_id").agg(F.max("tfidf").alias("tfidf"), F.max("dense").alias("dense"), F.max("document_id").alias("document_id"))
+
+
+LISTED = "listed AS (SELECT query_id, chunk_id, max(tfidf) AS tfidf, max(dense) AS dense, max(document_id) AS document_id FROM index_score GROUP BY query_id, chunk_id)"
+
+
+def _mm(c: str, over: str = "PARTITION BY query_id") -> str:
+    return f"CASE WHEN max({c}) OVER ({over}) - min({c}) OVER ({over}) > 1e-12 THEN coalesce(({c} - min({c}) OVER ({over})) / (max({c}) OVER ({over}) - min({c}) OVER ({over})), 0) ELSE 0 END"
+
+
+SCALED = f"{LISTED}, scaled AS (SELECT query_id, chunk_id, document_id, {_mm('tfidf')} AS tfidf, {_mm('dense')} AS dense, dense AS raw_dense, count(tfidf) OVER (PARTITION BY query_id) > 0 AS on_t, count(dense) OVER (PARTITION BY query_id) > 0 AS on_d FROM listed)"
+FUSED = f"{SCALED}, fused AS (SELECT query_id, chunk_id, document_id, raw_dense, ({W['tfidf']} * tfidf * on_t::INT + {W['dense']} * dense * on_d::INT) / ({W['tfidf']} * on_t::INT + {W['dense']} * on_d::INT) AS fused FROM scaled)"
+
+
+@query(f"WITH {SCALED} SELECT query_id, chunk_id, round(tfidf, 6) AS tfidf, round(dense, 6) AS dense FROM scaled")
+def minmax_per_query(spark, d):
+    return fusion.minmax(listed(spark, d), "query_id", ["tfidf", "dense"]).select("query_id", "chunk_id", F.round("tfidf", 6).alias("tfidf"), F.round("dense", 6).alias("dense"))
+
+
+SQL["minmax_per_query"] = f"WITH {SCALED} SELECT query_id, chunk_id, CAST(round(tfidf, 6) AS DOUBLE) AS tfidf, CAST(round(dense, 6) AS DOUBLE) AS dense FROM scaled"
+
+
+@query(f"WITH {FUSED} SELECT query_id, chunk_id, round(fused, 6) AS fused FROM fused")
+def convex_fusion(spark, d):
+    return fusion.convex(listed(spark, d), "query_id", W).select("query_id", "chunk_id", F.round("fused", 6).alias("fused"))
+
+
+@query(f"""WITH {LISTED}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, chunk_id) AS r FROM listed WHERE tfidf IS NOT NULL
+ UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) FROM listed WHERE dense IS NOT NULL),
+s AS (SELECT query_id, chunk_id, sum(1.0 / (60 + r)) AS raw FROM r WHERE r <= 120 GROUP BY ALL) SELECT query_id, chunk_id, round(CAST(raw AS DOUBLE) / max(raw) OVER (PARTITION BY query_id), 6) AS rrf FROM s""")
+def rrf_fusion(spark, d):
+    return fusion.reciprocal_rank(listed(spark, d), "query_id", "chunk_id", ["tfidf", "dense"]).select("query_id", "chunk_id", F.round("rrf", 6).alias("rrf"))
+
+
+def _fused(spark, d) -> DataFrame:
+    scores = listed(spark, d)
+    raw = scores.select("query_id", "chunk_id", F.col("dense").alias("raw_dense"))
+    return fusion.convex(scores, "query_id", W).withColumn("fused", F.round("fused", 9)).join(raw, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "document_id", "raw_dense", "fused")
+
+
+_F9 = FUSED.replace("AS fused FROM scaled", "AS f0 FROM scaled").replace("fused AS (SELECT query_id, chunk_id, document_id, raw_dense, (", "fused AS (SELECT query_id, chunk_id, document_id, raw_dense, round((", 1).replace("AS f0 FROM scaled)", ", 9) AS fused FROM scaled)")
+
+
+@query(f"""WITH {_F9}, p AS (SELECT query_id, chunk_id, fused * coalesce((CASE regexp_extract(chunk_id, '_p[0-9]+_(recommendation_atom|practice_point|table_row|section_passage|figure_caption|appendix_passage)_', 1)
+ {" ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_PRIOR.items())} END), 1.0) AS scored FROM fused) SELECT query_id, chunk_id, round(scored, 6) AS scored FROM p""")
+def type_prior(spark, d):
+    kind = F.regexp_extract("chunk_id", "_p[0-9]+_(recommendation_atom|practice_point|table_row|section_passage|figure_caption|appendix_passage)_", 1)
+    prior = F.create_map(*[F.lit(x) for kv in L.TYPE_PRIOR.items() for x in kv])[kind]
+    return _fused(spark, d).select("query_id", "chunk_id", F.round(fusion.fold_priors(F.col("fused"), [F.coalesce(prior, F.lit(1.0))]), 6).alias("scored"))
+
+
+@query(f"""WITH {_F9}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM fused),
+h AS (SELECT query_id, chunk_id, rank, (fused + {_mm('raw_dense')}) / 2 AS final FROM r WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, rank, fused / 2 FROM r WHERE rank > 30)
+SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, round(final, 6) AS final FROM h""")
+def rerank_blend(spark, d):
+    """The stand-in for a cross-encoder's score is the dense one."""
+    return fusion.rerank_blend(_fused(spark, d), "query_id", "chunk_id", "raw_dense").select("query_id", "chunk_id", "rank", F.round("final", 6).alias("final"))
+
+
+@query(f"""WITH {_F9}, s AS (SELECT query_id, chunk_id, fused * pow(0.8, row_number() OVER (PARTITION BY query_id, document_id ORDER BY fused DESC, chunk_id) - 1) AS diverse FROM fused),
+r AS (SELECT query_id, chunk_id, round(diverse, 6) AS diverse, row_number() OVER (PARTITION BY query_id ORDER BY round(diverse, 6) DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, diverse, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def diversify_static(spark, d):
+    s = fusion.static_diversify(_fused(spark, d), "query_id", "chunk_id", "document_id", "fused").select("query_id", "chunk_id", F.round("diverse", 6).alias("diverse"))
+    return signals.top(s, "query_id", "chunk_id", 10, "diverse")
+
+
+@query()
+def diversify(spark, d):
+    """Greedy diversification with the exemption for new values, over the evidence packs."""
+    e = table(spark, d, "pregnancy_scope_evidence_pack", "query_id", "id", "document_id", "score", "raw_text")
+    pool = signals.top(e, "query_id", "id", 120).select("query_id", "id", "document_id", "score", T.stated_values(F.col("raw_text")).alias("stated"))
+    return fusion.diversify(pool, "query_id", "id", "document_id", "score", "stated")
+
+
+@query("""WITH f AS (SELECT query_id, id, rank, substr(regexp_replace(lower(raw_text), '[^a-z0-9]', '', 'g'), 1, 160) AS fp FROM pregnancy_scope_evidence_pack),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, fp ORDER BY rank, id) AS rn FROM f) SELECT query_id, id, rank FROM k WHERE rn = 1""")
+def dedupe_topk(spark, d):
+    f = table(spark, d, "pregnancy_scope_evidence_pack").select("query_id", "id", "rank", T.fingerprint(F.col("raw_text"), 160).alias("fp"))
+    return f.groupBy("query_id", "fp").agg(F.min(F.struct("rank", "id")).alias("m")).select("query_id", "m.id", "m.rank")
+
+
+@query("""WITH f AS (SELECT row_id, page, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 160) AS fp FROM page_record WHERE text IS NOT NULL)
+SELECT min(row_id) AS first_row, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, count(*) AS n FROM f WHERE fp <> '' GROUP BY fp""")
+def collapse_dups(spark, d):
+    f = table(spark, d, "page_record").where("text is not null").select("row_id", "page", T.fingerprint(F.col("text"), 160).alias("fp")).where("fp <> ''")
+    g = f.groupBy("fp").agg(F.min("row_id").alias("first_row"), F.array_sort(F.collect_set("page")).alias("pages"), F.count("*").alias("n"))  # pages of a text: a bounded set of numbers
+    return g.select("first_row", F.array_join("pages", ",").alias("pages"), "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderdate, o_totalprice FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 45")
+def parent_lookup(spark, d):
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity >= 45").drop("l_quantity")
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_totalprice")
+    return li.join(o, li.l_orderkey == o.o_orderkey, "left").drop("o_orderkey")
+
+
+@query("""SELECT query_id, signal, chunk_id, CAST(rank AS INT) AS rank FROM (SELECT query_id, 'tfidf' AS signal, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, max(tfidf) AS tfidf FROM index_score GROUP BY ALL) WHERE tfidf IS NOT NULL
+UNION ALL SELECT query_id, 'dense', chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) FROM (SELECT query_id, chunk_id, max(dense) AS dense FROM index_score GROUP BY ALL) WHERE dense IS NOT NULL) WHERE rank <= 5""")
+def topn_per_query(spark, d):
+    long = listed(spark, d).unpivot(["query_id", "chunk_id"], ["tfidf", "dense"], "signal", "score").where("score is not null")
+    w = Window.partitionBy("query_id", "signal").orderBy(F.desc("score"), "chunk_id")
+    return long.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "signal", "chunk_id", "rank")
+
+
+@query(f"""WITH {LISTED}, t AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, chunk_id) AS r FROM listed WHERE tfidf IS NOT NULL) WHERE r <= 5),
+e AS (SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS r FROM listed WHERE dense IS NOT NULL) WHERE r <= 5)
+SELECT query_id, count(*) AS n FROM (FROM t UNION FROM e) GROUP BY query_id""")
+def candidate_pool(spark, d):
+    return topn_per_query(spark, d).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+# The search path: lexical pool, metadata, fusion, priors, top ten
+
+
+HYBRID = f"""{SEARCH}, {POOL}, {META}, hs AS (SELECT qid, sample_id, pool.score AS lex, round(meta, 9) AS meta FROM pool JOIN meta USING (qid, sample_id)),
+hn AS (SELECT qid, sample_id, {_mm('lex', 'PARTITION BY qid')} AS lex, {_mm('meta', 'PARTITION BY qid')} AS meta FROM hs),
+hf AS (SELECT qid, sample_id, (0.6 * lex + 0.4 * meta) * coalesce(CASE chunk_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_PRIOR.items())} END, 1.0) AS score FROM hn JOIN chunks USING (sample_id)),
+hybrid AS ({_top_sql('hf')})"""
+
+
+@query(f"WITH {HYBRID} SELECT * FROM hybrid")
+def hybrid_search(spark, d):
+    m = _meta(spark, d).select("qid", "sample_id", F.col("score").alias("lex"), F.round("meta", 9).alias("meta"), "chunk_type")
+    scaled = fusion.minmax(m, "qid", ["lex", "meta"])
+    prior = F.create_map(*[F.lit(x) for kv in L.TYPE_PRIOR.items() for x in kv])[F.coalesce("chunk_type", F.lit("none"))]
+    score = fusion.fold_priors(0.6 * F.col("lex") + 0.4 * F.col("meta"), [F.coalesce(prior, F.lit(1.0))])
+    return _top(scaled.select("qid", "sample_id", score.alias("score")))
