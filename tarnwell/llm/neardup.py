@@ -335,3 +335,36 @@ def near_pairs(texts: DataFrame, **options) -> DataFrame:
         links.unionByName(own).join(x, "a").join(y, "b").where("a <> b or x < y")
         .select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )
+
+
+def near_groups(texts: DataFrame, **options) -> DataFrame:
+    """(src, id, class_id, links): one row per row with words; ``class_id`` is the least class of equal
+    sets in its connected component, ``links`` the number of other rows it is a near-duplicate of."""
+    member, links = near_classes(texts, **options)
+    links = cut(links)
+    sizes = member.groupBy("u").agg(F.count("*").alias("n"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.join(sizes.withColumnRenamed("u", "b"), "b").groupBy(F.col("a").alias("u")).agg(F.sum("n").alias("beside"))
+    labels = components(both)
+    every = member.join(sizes, "u").join(degree, "u", "left").join(labels, "u", "left")
+    return every.select("src", "id", F.coalesce("label", "u").alias("class_id"), (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("links"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(u, label): connected components of symmetric links (a, b) by alternating large-star and
+    small-star steps, which need O(log n) rounds; lineage is cut in the shared folder each round."""
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
+    while True:
+        # large star: every larger neighbour is linked to the least neighbour or the node itself
+        near = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = near.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        # small star: every smaller neighbour, and the node, is linked to the least of them
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct()
+        new = cut(small.where("x <> y"))
+        if new.count() == edges.count() and new.join(edges, ["x", "y"], "left_anti").isEmpty():
+            break
+        edges = new
+    roots = edges.select(F.col("y").alias("u")).distinct()
+    return edges.select(F.col("x").alias("u"), F.col("y").alias("label")).unionByName(roots.select("u", F.col("u").alias("label")))

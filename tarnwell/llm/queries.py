@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _median_ranks(spark, d, positions=True)
+    return _median_ranks(spark, d, positions=True).withColumn("mean_rank", F.round("mean_rank", 6))
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +91,11 @@ def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return pages.repair(*_page_tables(spark, d))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: its class of near-duplicates and the number of its links."""
+    return neardup.near_groups(items(spark, d, EVIDENCE, QUESTIONS), words=1, threshold=0.7, weights="unit")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -116,5 +121,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
 
+_SPACES = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+_P1 = f"""WITH t AS (SELECT 'page_record' AS src, row_id, text FROM page_record UNION ALL SELECT 'pregnancy_scope_evidence_pack', ev_id, raw_text FROM pregnancy_scope_evidence_pack)
+SELECT src, row_id, CASE WHEN list_max(list_transform(string_split_regex(text, '[{_SPACES}.!?。！？]'), lambda x: length(x))) > 2000 THEN 'forced' ELSE 'boundary' END AS kind FROM t WHERE length(text) > 2000"""
+
+_P3 = """WITH a AS (SELECT query_id, chunk_id, tfidf, dense, CAST(NULL AS DOUBLE) AS pack FROM index_score UNION ALL SELECT query_id, id, NULL, NULL, score FROM pregnancy_scope_evidence_pack),
+o AS (SELECT query_id, chunk_id, max(tfidf) AS s0, max(dense) AS s1, max(pack) AS s2 FROM a GROUP BY ALL),
+r AS (SELECT query_id, chunk_id, (s0 IS NOT NULL)::INT + (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT AS n, CASE WHEN s0 IS NULL THEN count(s0) OVER g + 1 ELSE rank() OVER (PARTITION BY query_id ORDER BY s0 DESC NULLS LAST) END AS r0,
+ CASE WHEN s1 IS NULL THEN count(s1) OVER g + 1 ELSE rank() OVER (PARTITION BY query_id ORDER BY s1 DESC NULLS LAST) END AS r1, CASE WHEN s2 IS NULL THEN count(s2) OVER g + 1 ELSE rank() OVER (PARTITION BY query_id ORDER BY s2 DESC NULLS LAST) END AS r2 FROM o WINDOW g AS (PARTITION BY query_id)),
+m AS (SELECT query_id, chunk_id, n, CAST(list_sort([r0, r1, r2])[2] AS DOUBLE) AS median_rank, (r0 + r1 + r2) / 3.0 AS mean_rank FROM r)"""
+
+_P4 = """WITH w AS (SELECT case_key AS k, regexp_replace(lower(slice), '^\\s+|\\s+$', '', 'g') AS slice, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+', 0)) AS w FROM ckd_gold_eval WHERE query IS NOT NULL
+ UNION ALL SELECT case_key, 'heldout', list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+', 0)) FROM heldout_chunkfirst WHERE query IS NOT NULL),
+p AS (SELECT e.slice, e.k AS ek, t.k AS tk, len(list_intersect(e.w, t.w)) AS i, len(e.w) + len(t.w) AS n FROM w e JOIN w t ON t.slice = 'dev' AND e.slice IN ('test', 'heldout') AND len(e.w) > 0 AND len(t.w) > 0)
+SELECT slice, least(ek, tk) AS key_a, greatest(ek, tk) AS key_b FROM p WHERE i >= 0.7 * (n - i) - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    best = _P3 + " SELECT query_id, arg_min(chunk_id, (median_rank, mean_rank, chunk_id)) AS chunk_id FROM m WHERE n = 3 GROUP BY query_id"
+    ranking = _P3 + """ SELECT query_id, chunk_id, median_rank, round(mean_rank, 6) AS mean_rank, CAST(n AS BIGINT) AS n_scores, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) AS position FROM m"""
+    return {"p1_found": _P1, "p3_found": best, "p3_ranking": ranking, "p4_found": _P4}
