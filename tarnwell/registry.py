@@ -20,6 +20,31 @@ def p6_common(spark: SparkSession, d: str) -> DataFrame:
     return units.common_claims(table(spark, d, "claim")).select("claim_id", "direction", "common_value", "common_high", "common_unit", "unit_source")
 
 
+def _spelled(unit: str) -> str:
+    """The unit key of ``units.unit_key`` in SQL."""
+    u = f"lower(trim({unit}))"
+    for pattern, to in units.SPELLINGS:
+        u = f"regexp_replace({u}, '{pattern}', '{to}', 'g')"
+    return f"nullif(nullif({u}, ''), '-')"
+
+
+def _claims_sql() -> str:
+    factors = ", ".join(f"('{q}', '{u}', {f})" for q, (_, us) in units.COMMON.items() for u, f in us.items())
+    ways = ", ".join(f"('{w}', '{name}')" for name, words in units.DIRECTIONS.items() for w in words)
+    said = _spelled(f"regexp_replace(regexp_extract(span, '{units._STATED}', 1), '(?: \\(| for [a-z]).*$|\\.\\s*$', '')")
+    return f"""WITH f(q, u, f) AS (VALUES {factors}), w(c, direction) AS (VALUES {ways}),
+k AS (SELECT *, {_spelled("unit")} AS given, {said} AS said FROM claim),
+c AS (SELECT k.claim_id, k.chunk_id, k.quantity, w.direction, k.value, k.value_high, coalesce(g.f, s.f) AS f FROM k LEFT JOIN f g ON g.q = quantity AND g.u = given LEFT JOIN f s ON s.q = quantity AND s.u = said
+  LEFT JOIN w ON w.c = lower(trim(comparator)))"""
+
+
+def _p6_sql() -> str:
+    """Pairs within a chunk and quantity; claims without any unit take no part in this form."""
+    return _claims_sql() + """ SELECT a.claim_id AS id_a, b.claim_id AS id_b FROM c a JOIN c b ON a.chunk_id = b.chunk_id AND a.quantity = b.quantity AND a.direction = b.direction AND a.claim_id < b.claim_id
+WHERE abs(a.value * a.f - b.value * b.f) <= 0.01 * greatest(a.value * a.f, b.value * b.f) + 1e-12 AND abs(a.value - b.value) > 0.01 * greatest(a.value, b.value)
+ AND ((a.value_high IS NULL AND b.value_high IS NULL) OR abs(a.value_high * a.f - b.value_high * b.f) <= 0.01 * greatest(a.value_high * a.f, b.value_high * b.f) + 1e-12)"""
+
+
 def _plans() -> list:
     return [import_module(f"tarnwell.plans.{p}") for p in PLANS]
 
@@ -29,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for plan in _plans() for name, sql in plan.SQL.items()}
+    return {name: sql for plan in _plans() for name, sql in plan.SQL.items()} | {"p6_found": _p6_sql()}
