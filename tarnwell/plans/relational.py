@@ -29,7 +29,8 @@ def of(*names: str):
     return lambda spark, d: tuple(table(spark, d, n) for n in names)
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 49 AND l_discount >= 0.09""")
@@ -41,8 +42,8 @@ def scan_filter_project(spark, d):
  round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark, d):
     return table(spark, d, "lineitem").where("l_shipdate <= date '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(REVENUE), 2).alias("sum_disc"),
-        F.round(F.sum(REVENUE * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.sum(revenue()), 2).alias("sum_disc"),
+        F.round(F.sum(revenue() * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"),
     )
 
 
@@ -52,14 +53,14 @@ def top_orders(spark, d):
     c, o, li = of("customer", "orders", "lineitem")(spark, d)
     j = c.where("c_mktsegment = 'BUILDING'").join(o.where("o_orderdate < date '1995-03-15'"), F.col("c_custkey") == F.col("o_custkey"))
     j = j.join(li.where("l_shipdate > date '1995-03-15'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(REVENUE), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
+    return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(revenue()), 2).alias("revenue")).orderBy(F.desc("revenue"), "l_orderkey").limit(10)
 
 
 @query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name""")
 def local_suppliers(spark, d):
     c, o, li, s, n, r = of("customer", "orders", "lineitem", "supplier", "nation", "region")(spark, d)
     j = c.join(o, c.c_custkey == o.o_custkey).join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, (F.col("l_suppkey") == s.s_suppkey) & (c.c_nationkey == s.s_nationkey))
-    return j.join(n, F.col("s_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("n_name").agg(F.round(F.sum(REVENUE), 2).alias("revenue"))
+    return j.join(n, F.col("s_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("n_name").agg(F.round(F.sum(revenue()), 2).alias("revenue"))
 
 
 @query("""SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")

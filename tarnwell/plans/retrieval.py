@@ -67,9 +67,9 @@ def lexical(spark: SparkSession, d: str):
     return counts, vocab, index.weigh(counts, vocab, "sample_id")
 
 
-def lexical_scores(spark: SparkSession, d: str, text=F.col("query")) -> DataFrame:
+def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     _, vocab, postings = lexical(spark, d)
-    q = index.term_counts(asked(spark, d).withColumn("q", text), "qid", "q")
+    q = index.term_counts(asked(spark, d), "qid", "query")
     return index.cosine(index.weigh(q, vocab, "qid"), postings, "qid", "sample_id")
 
 
