@@ -34,8 +34,9 @@ def vocabulary(counts: DataFrame, docs: DataFrame) -> DataFrame:
 def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, w): weights of length one per key; terms outside the vocabulary drop out."""
     raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+    # a document's terms are gathered once for its norm and its weights: bounded by its text
+    whole = raw.groupBy(key).agg(F.collect_list(F.struct("term", "raw")).alias("x"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return whole.select(key, "norm", F.inline("x")).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def cosine(queries: DataFrame, postings: DataFrame, qkey: str, key: str) -> DataFrame:

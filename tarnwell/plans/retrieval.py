@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tarnwell.functions import lexicon as L, text as T
 from tarnwell.operators import fusion, index, signals
 from tarnwell.plans.text import quoted
+from tarnwell.runtime import cut
 from tarnwell.sources import table
 
 Q: dict = {}
@@ -243,7 +244,8 @@ def metadata_signal(spark, d):
 
 
 def _pool(spark, d) -> DataFrame:
-    return _top(lexical_scores(spark, d), 40).select("qid", "sample_id", "score")
+    """Forty candidates a query; cut, since normalisation reads them twice."""
+    return cut(_top(lexical_scores(spark, d), 40).select("qid", "sample_id", "score"))
 
 
 def _meta(spark, d) -> DataFrame:
