@@ -11,7 +11,7 @@ fit about as well make it non-unique, which is flagged and leaves the claim with
 volume), it chooses the combination of units with the least median log residual.
 
 Defined cases: null values stay null; unknown units and quantities give null common values; zero and
-negative values are converted but take no part in inference; repeated rows are kept.
+negative values are converted but take no part in inference and pairs; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -79,12 +79,13 @@ _NUMBER = r"\d[\d.,]*(?:e[+-]?\d+)?"
 _STATED = rf"(?i)(?:<=|>=|[<>≤≥=]|than|over|under|above|below|at least|at most|between {_NUMBER} and)\s*{_NUMBER}\s*(.*)$"
 
 
-def unit_key(unit: Column) -> Column:
-    """A unit's spelling in its one short form; null for missing ones (null, blank, ``-``)."""
-    u = F.lower(F.trim(unit))
+def unit_keys(*units: Column) -> Column:
+    """Spellings of units in their one short form, as an array; null for missing ones (null, blank,
+    ``-``).  The patterns run once over all of them, parted by a character that none matches."""
+    u = F.lower(F.concat_ws("\u0001", *[F.coalesce(F.trim(x), F.lit("")) for x in units]))
     for pattern, to in SPELLINGS:
         u = F.regexp_replace(u, pattern, to)
-    return F.when(u.isin("", "-"), None).otherwise(u)
+    return F.transform(F.split(u, "\u0001"), lambda k: F.when(~k.isin("", "-"), k))
 
 
 def span_unit(span: Column) -> Column:
@@ -121,14 +122,17 @@ def _bucket(v: Column, tolerance: float = TOLERANCE) -> Column:
 def common_claims(claims: DataFrame) -> DataFrame:
     """Every claim with ``direction``, ``unit_key``, ``common_value``, ``common_high``, ``common_unit``
     and ``unit_source``: column, span, inferred, ambiguous or unknown."""
-    given, said = unit_key(F.col("unit")), unit_key(span_unit(F.col("span")))
-    known_given, known_said = factor(F.col("quantity"), given), factor(F.col("quantity"), said)
-    base = claims.select(
+    parsed = claims.select(
         "claim_id", "quantity", "comparator", "value", "value_high", "unit", "document_id", "chunk_id",
-        direction(F.col("comparator")).alias("direction"),
-        F.when(known_given.isNotNull(), given).when(known_said.isNotNull(), said).alias("unit_key"),
-        F.coalesce(known_given, known_said).alias("factor"),
-        F.when(known_given.isNotNull(), "column").when(known_said.isNotNull(), "span").otherwise("unknown").alias("unit_source"),
+        direction(F.col("comparator")).alias("direction"), unit_keys(F.col("unit"), span_unit(F.coalesce("span", F.lit("")))).alias("keys"),
+    )
+    looked = parsed.withColumn("factors", F.transform("keys", lambda k: factor(F.col("quantity"), k)))
+    given, said = F.col("factors")[0].isNotNull(), F.col("factors")[1].isNotNull()
+    base = looked.select(
+        *parsed.drop("keys").columns,
+        F.when(given, F.col("keys")[0]).when(said, F.col("keys")[1]).alias("unit_key"),
+        F.coalesce(F.col("factors")[0], F.col("factors")[1]).alias("factor"),
+        F.when(given, "column").when(said, "span").otherwise("unknown").alias("unit_source"),
     )
     base = cut(base)  # read four times below, parsed once
     known = base.where("factor is not null")
@@ -189,27 +193,30 @@ def _inferred(lost: DataFrame, known: DataFrame) -> DataFrame:
 def same_bounds(claims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(id_a, id_b): claims of one chunk and quantity that state the same bound in different numbers.
 
-    Claims are reduced to distinct statements first; statements meet by steps of the logarithm of the
-    common value, never all pairs of a chunk.  Only pairs of different statements are expanded."""
-    c = common_claims(claims).where("value is not null and direction is not null and common_value is not null and chunk_id is not null")
+    Claims are reduced to distinct statements.  The same bound in different numbers takes two units, so
+    statements meet by the logarithm of their common value in steps of the tolerance *and* by the other
+    unit's factor: pairs of one unit are never formed, and only pairs of statements that hold are
+    expanded to rows."""
+    c = common_claims(claims).where("value is not null and direction is not null and common_value > 0 and value > 0 and chunk_id is not null")
     bound = ["chunk_id", "quantity", "direction"]
-    stated = [*bound, "value", "value_high", "common_value", "common_high"]
-    d = c.groupBy(*stated).agg(F.collect_list("claim_id").alias("ids"))
-    d = d.withColumn("b", F.when(F.col("common_value") > 0, _bucket(F.col("common_value"), tolerance)).otherwise(F.lit(-(10**9))))
+    c = c.withColumn("sid", F.xxhash64("quantity", "direction", "value", "value_high", "common_value", "common_high"))
+    factor_ = F.round(F.col("common_value") / F.col("value"), 9)
+    d = c.select(*bound, "sid", "value", "value_high", "common_value", "common_high", factor_.alias("f"), _bucket(F.col("common_value"), tolerance).alias("b")).dropDuplicates(["chunk_id", "sid"])
+    others = F.create_map(*[x for q, units in _factors().items() for x in (F.lit(q), F.array(*[F.lit(round(f, 9)) for f in sorted(set(units.values()))]))])
+    fields = ["sid", "value", "common_value", "common_high"]
     # the b side meets its own step and both neighbours: within 1 % is at most one step away
-    a = d.select(*bound, *[F.col(x).alias(f"{x}_a") for x in ("value", "value_high", "common_value", "common_high", "ids")], F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    b = d.select(*bound, *[F.col(x).alias(f"{x}_b") for x in ("value", "value_high", "common_value", "common_high", "ids")], "b")
+    a = d.select(*bound, *[F.col(x).alias(f"{x}_a") for x in fields], F.explode(F.filter(others[F.col("quantity")], lambda f: f > F.col("f"))).alias("f"), "b")
+    a = a.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    b = d.select(*bound, *[F.col(x).alias(f"{x}_b") for x in fields], "f", "b")
 
     def close(x: str, y: str) -> Column:
         return F.abs(F.col(x) - F.col(y)) <= (F.lit(tolerance) * F.greatest(F.abs(x), F.abs(y)) + 1e-12)
 
     both_high = (F.col("common_high_a").isNull() & F.col("common_high_b").isNull()) | (F.col("common_high_a").isNotNull() & F.col("common_high_b").isNotNull() & close("common_high_a", "common_high_b"))
-    pairs = (
-        a.join(b, [*bound, "b"])
-        .where((F.col("value_a") < F.col("value_b")) & close("common_value_a", "common_value_b") & ~close("value_a", "value_b") & both_high)
-        .select("ids_a", F.explode("ids_b").alias("y")).select(F.explode("ids_a").alias("x"), "y")
-    )
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    pairs = a.join(b, [*bound, "f", "b"]).where(close("common_value_a", "common_value_b") & ~close("value_a", "value_b") & both_high).select("chunk_id", "sid_a", "sid_b")
+    x = c.select("chunk_id", F.col("sid").alias("sid_a"), F.col("claim_id").alias("x"))
+    y = c.select("chunk_id", F.col("sid").alias("sid_b"), F.col("claim_id").alias("y"))
+    return pairs.join(x, ["chunk_id", "sid_a"]).join(y, ["chunk_id", "sid_b"]).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def identity_units(df: DataFrame, by: list[str], columns: dict[str, tuple[float, dict[str, float]]], apart: float = 0.02) -> DataFrame:
