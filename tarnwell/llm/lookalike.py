@@ -214,7 +214,7 @@ def show_alike(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
 
     Rows are first reduced to 128-bit digests of both forms.  Pairs are made between *distinct* stored
     variants of a class and only then expanded to rows, so a third of all rows being copies of one
-    text costs nothing but its own result.  Null and blank texts are left out."""
+    text costs nothing but its own result.  Null and blank texts and rows without a key are left out."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Rewriter(rules)
@@ -226,7 +226,7 @@ def show_alike(texts: DataFrame, rules: dict[str, str]) -> DataFrame:
                 src.append(s), ids.append(i), raw.append(digest(t)), shown.append(digest(c))
             yield pa.RecordBatch.from_pydict({"src": src, "id": pa.array(ids, pa.int64()), "raw": pa.array(raw, pa.binary()), "shown": pa.array(shown, pa.binary())})
 
-    rows = texts.select("src", "id", "text").mapInArrow(digests, "src string, id bigint, raw binary, shown binary")
+    rows = texts.select("src", "id", "text").where("id is not null").mapInArrow(digests, "src string, id bigint, raw binary, shown binary")
     rows = cut(rows)  # read twice more; the rewriting is the dear part
     variants = rows.groupBy("src", "shown", "raw").agg(F.lit(1).alias("one")).drop("one")
     classes = variants.groupBy("src", "shown").agg(F.count("*").alias("n")).where("n > 1")

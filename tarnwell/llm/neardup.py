@@ -16,7 +16,7 @@ one (prefix filter), so nothing is dropped.
 Shingles are kept as 32-bit hashes.  With 40 bands of 6 a pair of weighted similarity 0.8 is missed
 with probability 5e-6, one of 0.75 with 4e-4, one of 0.7 with 0.7 %.
 
-Defined cases: null texts and texts without words are left out; equal texts count as near-duplicates.
+Defined cases: null texts, texts without words and rows without a key are left out; equal texts count as near-duplicates.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
                     names=["src", "id", "digest", "words", "tfs"],
                 )
 
-    return texts.select("src", "id", "text").mapInArrow(run, "src string, id bigint, digest binary, words array<int>, tfs array<tinyint>")
+    return texts.select("src", "id", "text").where("id is not null").mapInArrow(run, "src string, id bigint, digest binary, words array<int>, tfs array<tinyint>")
 
 
 def document_frequencies(sets_: DataFrame) -> tuple[np.ndarray, int]:

@@ -12,7 +12,7 @@ it that the training split covers.
 Shards and blocks have a fixed size, so memory is bounded; evaluation sets are small beside training
 sets, and the training texts are shuffled once per shard.
 
-Defined cases: null queries and queries without words take no part; null slices of the main table take
+Defined cases: null queries, queries without words and records without a key take no part; null slices of the main table take
 no part; records of other slices than the training and evaluation ones take no part.
 """
 
@@ -43,7 +43,7 @@ def word_list(texts: pd.Series) -> pd.Series:
 
 def _records(rows: DataFrame) -> DataFrame:
     """(slice, source, key, words, cls): rows with words and their class of equal word sets."""
-    worded = rows.select("slice", "source", "key", word_list("text").alias("words")).where(F.size("words") > 0)
+    worded = rows.select("slice", "source", "key", word_list("text").alias("words")).where((F.size("words") > 0) & F.col("key").isNotNull())
     return worded.withColumn("cls", F.sha2(F.array_join(F.array_sort(F.array_distinct("words")), " "), 256))
 
 

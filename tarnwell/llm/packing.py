@@ -21,7 +21,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 TOKENS = 2_048
@@ -79,20 +80,21 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", tokens:
     rows = cut(rows)  # the tokenizer's pass is not repeated for the count
     blocks = max(1, math.ceil(rows.count() / block_items))
 
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "key", "part_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        some = pdf["n"].to_numpy() > 0
-        sizes = pdf["n"].to_numpy()[some]
-        number = np.full(len(pdf), -1, dtype=np.int64)
-        if len(sizes):
-            number[some] = best_fit(sizes, tokens, documents, attention, norm=norm)
-        block = int(pdf["block"].iloc[0])
-        pdf["container"] = [None if c < 0 else f"{block}-{c}" for c in number]
-        return pdf[["key", "part_no", "first_token", "n", "container"]]
+    def per_block(block: pa.Table) -> pa.Table:
+        # ties by key and part, rows without a key last
+        t = block.take(pc.sort_indices(block, sort_keys=[("n", "descending"), ("key", "ascending"), ("part_no", "ascending")]))
+        sizes = t["n"].to_numpy()
+        some = sizes > 0
+        number = np.full(len(sizes), -1, dtype=np.int64)
+        if some.any():
+            number[some] = best_fit(sizes[some], tokens, documents, attention, norm=norm)
+        name = t["block"][0].as_py()
+        container = pa.array([None if c < 0 else f"{name}-{c}" for c in number.tolist()], pa.string())
+        return t.select(["key", "part_no", "first_token", "n"]).append_column("container", container)
 
     kind = dict(rows.dtypes)["key"]
     placed = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    packed = placed.groupBy("block").applyInPandas(per_block, f"key {kind}, part_no int, first_token bigint, n bigint, container string")
+    packed = placed.groupBy("block").applyInArrow(per_block, f"key {kind}, part_no int, first_token bigint, n bigint, container string")
     return packed.select(F.col("key").alias(key), "part_no", "first_token", F.col("n").alias("n_tokens"), "container")
 
 

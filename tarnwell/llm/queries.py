@@ -104,6 +104,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokens.lengths(table(spark, d, "documents")))
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p9_containers(spark, d))
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text")
     return sentences.split(docs, sentences.learn(docs))

@@ -11,7 +11,7 @@ into buckets, ranks are counted inside the buckets and shifted by the sizes of t
 ways are exact and give the same ranks; the quantiles only balance the work.
 
 Defined cases: a null or NaN score is a missing one; rows loaded twice count once, the largest score
-of an item counts; items without any score come last; an empty table gives an empty one.
+of an item counts; items without any score come last; rows without an item take no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def median_ranks(scores: DataFrame, group: str, item: str, weights: dict[str, fl
     """(group, item, median_rank, mean_rank, n_scores) for the score columns named in ``weights``; with
     ``positions`` also each item's ``position`` 1.. by median rank, mean rank and item."""
     score = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"s{k}") for k, c in enumerate(weights)]
-    rows = scores.select(F.col(group).alias("g"), F.col(item).alias("item"), *score)
+    rows = scores.select(F.col(group).alias("g"), F.col(item).alias("item"), *score).where("item is not null")
     hot = _hot_groups(rows, hot_rows)
     if not hot:
         out = _by_windows(rows, list(weights.values()), positions)

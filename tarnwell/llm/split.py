@@ -7,7 +7,8 @@ are too large are descended into.  A run without any natural boundary longer tha
 force.  Each piece starts with up to ``overlap`` last characters of the one before, from a word start.
 
 Defined cases: null, empty and short texts (at most ``limit`` characters) come out whole as one piece,
-null ones as none; positions are code points of the text as stored, and the bodies of the pieces
+null ones as none; rows without a key
+are kept, those of one source as one in ``oversized``; positions are code points of the text as stored, and the bodies of the pieces
 (``start`` to ``stop``) part the text without a gap.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT, OVERLAP = 2_000, 200
@@ -157,16 +158,19 @@ def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     """One row per piece of every text of (src, id, text) above ``limit``: (src, id, piece_no, head,
     start, stop, ends_with, piece).  Without ``bodies`` the pieces' characters are left out."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for src, i, text in zip(pdf["src"], pdf["id"], pdf["text"], strict=True):
-                for n, (h, a, b, k) in enumerate(pieces(text, limit, overlap)):
-                    rows.append((src, i, n, h, a, b, k, text[h:b] if bodies else None))
-            yield pd.DataFrame(rows, columns=["src", "id", "piece_no", "head", "start", "stop", "ends_with", "piece"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (src, i, n, h, x, y, k, text[h:y] if bodies else None)
+                for src, i, text in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)
+                for n, (h, x, y, k) in enumerate(pieces(text, limit, overlap))
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["src", "id", "piece_no", "head", "start", "stop", "ends_with", "piece"])
 
     schema = "src string, id bigint, piece_no int, head int, start int, stop int, ends_with string, piece string"
-    return texts.select("src", "id", "text").where(F.length("text") > limit).mapInPandas(run, schema)
+    return texts.select("src", "id", "text").where(F.length("text") > limit).mapInArrow(run, schema)
 
 
 def oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

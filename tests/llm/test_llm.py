@@ -29,6 +29,32 @@ def test_runs_on_all_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() >= 0
 
 
+NULLS = [None, "", " ", "a b c", "a b c"]
+
+
+def test_nulls_in_any_column(spark):
+    """Keys, groups and texts may be null in every operator."""
+    t = spark.createDataFrame([(s, i, x) for s in (None, "s") for i in (None, 2**60 + 1) for x in [*NULLS, "word " * 600]], "src string, id long, text string")
+    assert {r.id for r in split.split_oversized(t).collect()} == {None, 2**60 + 1}
+    rules = lookalike.rules_for(t)
+    assert lookalike.canonical(t, rules).count() == t.count()
+    assert lookalike.show_alike(t, rules).count() == 0
+    assert all(r.id_a is not None for r in neardup.near_pairs(t).collect())
+    q = spark.createDataFrame([(g, i, v, v) for g in (None, "q") for i in (None, "i") for v in (None, 1.0)], "q string, i string, a double, b double")
+    assert ranking.median_ranks(q, "q", "i", {"a": 1.0, "b": 1.0}, positions=True).count() == 2
+    o = spark.createDataFrame([(s, None, k, x) for s in (None, "dev", "test") for k in (None, 1) for x in NULLS], "slice string, source string, key long, text string")
+    assert {(r.train_key, r.eval_key) for r in overlap.overlaps(o).collect()} == {(1, 1)}
+    p = spark.createDataFrame([(i, None, g, x, x, None) for i in (None, 2**60 + 1) for g in (None, 3) for x in [*NULLS, PAGE]], "row_id long, title string, page int, text string, pymupdf_text string, pdfplumber_text string")
+    fields = ["text", "pymupdf_text", "pdfplumber_text"]
+    assert {r.row_id for r in pages.notes(p, fields, {"people": 9}, frozenset()).collect()} == {None, 2**60 + 1}
+    assert pages.repair(p, fields, {}, frozenset()).count() == 3 * p.count()
+    d = spark.createDataFrame([(i, x) for i in (None, 2**60 + 1) for x in NULLS], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.ids) for r in tokens.encode(d).collect())[-1][0] == 2**60 + 1
+    packed = packing.pack(tokens.lengths(d)).collect()
+    assert len(packed) == d.count() and {r.doc_id for r in packed} == {None, 2**60 + 1}
+    assert {r.doc_id for r in sentences.split(d, sentences.learn(d)).collect()} == {None, 2**60 + 1}
+
+
 # 1
 
 
