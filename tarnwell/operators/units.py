@@ -197,7 +197,7 @@ def same_bounds(claims: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     statements meet by the logarithm of their common value in steps of the tolerance *and* by the other
     unit's factor: pairs of one unit are never formed, and only pairs of statements that hold are
     expanded to rows."""
-    c = common_claims(claims).where("value is not null and direction is not null and common_value > 0 and value > 0 and chunk_id is not null")
+    c = common_claims(claims).where("value is not null and direction is not null and common_value > 0 and value > 0 and chunk_id is not null and claim_id is not null")
     bound = ["chunk_id", "quantity", "direction"]
     c = c.withColumn("sid", F.xxhash64("quantity", "direction", "value", "value_high", "common_value", "common_high"))
     factor_ = F.round(F.col("common_value") / F.col("value"), 9)

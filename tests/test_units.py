@@ -68,6 +68,17 @@ def test_same_bounds(spark):
     assert {tuple(r) for r in got.collect()} == {(0, 1), (1, 4), (7, 8)}
 
 
+def test_one_hot_chunk_against_brute_force(spark):
+    rows = [("acr", "<", round(8.84 * v, 4) if k % 3 else v, None, "mg/g" if k % 3 else "mg/mmol", "hot", None) for k, v in enumerate([10.0 + (k % 37) * 0.013 for k in range(240)])]
+    got = {tuple(r) for r in units.same_bounds(claims(spark, *rows)).collect()}
+    common_ = [r[2] * (1.0 if r[4] == "mg/g" else 8.84) for r in rows]
+    want = {
+        (i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))
+        if abs(common_[i] - common_[j]) <= 0.01 * max(common_[i], common_[j]) + 1e-12 and abs(rows[i][2] - rows[j][2]) > 0.01 * max(rows[i][2], rows[j][2])
+    }
+    assert got == want and want
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert units.same_bounds(empty).count() == 0 and units.common_claims(empty).count() == 0
