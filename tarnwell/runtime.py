@@ -39,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tarnwell-checkpoint-")
     sc.setCheckpointDir(named)
