@@ -286,3 +286,66 @@ def stream_cards(spark, d):
 
 
 SQL["stream_cards"] = "SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'Check the error' ELSE 'Thank the buyer' END AS card FROM events WHERE value > 40 AND event_type IN ('error', 'purchase')"
+
+
+# Caches, upserts and slots
+
+
+@query(r"""WITH v AS (SELECT DISTINCT doc_id, lower(replace(x, ' ', '')) AS k, x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)', 0)) AS x FROM documents WHERE lang = 'en'))
+SELECT doc_id, k AS key, min(x) AS spelling FROM v GROUP BY doc_id, k""")
+def key_values(spark, d):
+    """Values and ranges with units per document, one spelling of each."""
+    pattern = r"[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)"
+    v = table(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("x"))
+    return v.groupBy("doc_id", F.lower(F.replace("x", F.lit(" "), F.lit(""))).alias("key")).agg(F.min("x").alias("spelling"))
+
+
+@query(f"""WITH c AS (SELECT substr(sha1(lower({SQUEEZE.format('query')})), 1, 16) AS qkey, min(id) AS cached FROM ckd_gold_eval WHERE query IS NOT NULL GROUP BY 1)
+SELECT h.case_key, c.cached, c.cached IS NOT NULL AS hit FROM (SELECT case_key, substr(sha1(lower({SQUEEZE.format('query')})), 1, 16) AS qkey FROM heldout_chunkfirst WHERE query IS NOT NULL) h LEFT JOIN c USING (qkey)""")
+def cache_lookup(spark, d):
+    """Queries looked up by key in a cache of earlier ones; a miss stays null."""
+    c = table(spark, d, "ckd_gold_eval").where("query is not null").groupBy(T.query_key(F.col("query")).alias("qkey")).agg(F.min("id").alias("cached"))
+    h = table(spark, d, "heldout_chunkfirst").where("query is not null").select("case_key", T.query_key(F.col("query")).alias("qkey"))
+    return h.join(c, "qkey", "left").select("case_key", "cached", F.col("cached").isNotNull().alias("hit"))
+
+
+@query("""WITH u AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS run FROM customer UNION ALL SELECT o_custkey, max(o_totalprice), 1 FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) SELECT k, arg_max(v, run) AS v, CAST(max(run) AS INT) AS run FROM u GROUP BY k""")
+def upsert(spark, d):
+    """A new run's rows replace those of the same key, all others stay."""
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).alias("run"))
+    new = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v")).withColumn("run", F.lit(1))
+    return old.unionByName(new).groupBy("k").agg(F.max(F.struct("run", "v")).alias("m")).select("k", "m.v", "m.run")
+
+
+@query(f"""WITH r AS (SELECT query_id, id, rank, contains(id, '_table_row_') AS tab FROM {PACK}), f AS (SELECT query_id, min(rank) AS first FROM r WHERE tab GROUP BY query_id),
+s AS (SELECT r.query_id, r.id, CASE WHEN tab AND r.rank = first AND r.rank > 3 THEN 2.5 WHEN r.rank <= 3 OR NOT tab OR r.rank <> first THEN CAST(r.rank AS DOUBLE) ELSE r.rank END AS place FROM r LEFT JOIN f USING (query_id))
+SELECT query_id, id, CAST(slot AS INT) AS slot FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS slot FROM s) WHERE slot <= 3""")
+def reserved_slot(spark, d):
+    """The first table row of a pack is kept in its first three, at the last place, if it ranks below."""
+    r = table(spark, d, PACK).select("query_id", "id", "rank", F.col("id").contains("_table_row_").alias("tab"))
+    f = r.where("tab").groupBy("query_id").agg(F.min("rank").alias("first"))
+    place = F.when(F.col("tab") & (F.col("rank") == F.col("first")) & (F.col("rank") > 3), 2.5).otherwise(F.col("rank").cast("double"))
+    w = Window.partitionBy("query_id").orderBy("place", "id")
+    return r.join(f, "query_id", "left").select("query_id", "id", place.alias("place")).withColumn("slot", F.row_number().over(w)).where("slot <= 3").select("query_id", "id", "slot")
+
+
+_OUTSIDE = [("contents", "table of contents"), ("references", "doi:"), ("rights", "all rights reserved")]
+
+
+@query("SELECT row_id FROM page_record p WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (VALUES " + ", ".join(f"('{n}', '{p}')" for n, p in _OUTSIDE) + ") o(name, pattern) WHERE contains(lower(p.text), o.pattern))")
+def inside_guidance(spark, d):
+    """Pages that match none of a denylist of sections; the list is constants, so no join is needed."""
+    low = F.lower("text")
+    bad = F.lit(False)
+    for _, p in _OUTSIDE:
+        bad = bad | low.contains(p)
+    return pages(spark, d).where(F.col("text").isNotNull() & ~bad).select("row_id")
+
+
+@query("""WITH o AS (SELECT user_id, event_type AS code, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, code, value FROM o WHERE rn = 1 AND code IN ('purchase', 'error')""")
+def read_facts(spark, d):
+    """Nested bundles of observations per user: exploded, filtered by code, the first value of a code wins."""
+    e = table(spark, d, "events").select("user_id", F.to_json(F.struct(F.col("event_type").alias("code"), "value", F.col("ts").cast("string").alias("at"), F.col("event_id").alias("no"))).alias("entry"))
+    entry = e.select("user_id", F.from_json("entry", "code string, value double, at string, no bigint").alias("x")).where("x.code in ('purchase', 'error')")
+    first = entry.groupBy("user_id", "x.code").agg(F.min(F.struct(F.col("x.at").cast("timestamp_ntz").alias("at"), F.col("x.no").alias("no"), F.col("x.value").alias("value"))).alias("m"))
+    return first.select("user_id", "code", "m.value")

@@ -5,6 +5,7 @@ from tarnwell.sources.tables import (  # noqa: F401
     read_json_array,
     read_jsonl,
     table,
+    write_index,
     write_jsonl,
     write_report,
 )

@@ -35,6 +35,11 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_index(df: DataFrame, path: str, experiment: bool = False) -> None:
+    """An index table; an experiment never replaces one that is there."""
+    df.write.mode("errorifexists" if experiment else "overwrite").parquet(path)
+
+
 def latest_by_key(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
     """Append-only log to current state: the last non-empty value of a key wins, an empty one only if
     there is no other.  One aggregate with map-side combine, so a hot key costs no sort."""
