@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tarnwell.llm.lookalike import LazyRewriter
-from tarnwell.llm.texts import WORD
+from tarnwell.llm.texts import WORD, slices
 from tarnwell.runtime import cut
 
 WORDS, THRESHOLD = 5, 0.8
@@ -69,8 +69,7 @@ def sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form, hashed = LazyRewriter(), Hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for b in slices(whole, [2]):
                 texts_ = [t or "" for t in b.column(2).to_pylist()]
                 form.meet(texts_)
                 lists = [shingles(form(t).lower(), words) for t in texts_]
@@ -179,8 +178,7 @@ def band_keys(reps: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = Samples(idf, k_all)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for b in slices(whole, [1], 2000, 400_000):
                 first = np.unique(b.column(0).to_numpy(), return_index=True)[1]
                 if len(first) < b.num_rows:  # copies of one set are sampled once
                     b = b.take(pa.array(np.sort(first)))

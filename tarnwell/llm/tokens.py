@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarnwell.llm.texts import slices
+
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: the pattern that splits text before the merges of the rank files (the tokenizer's own)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -209,8 +211,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for b in slices(whole, [1]):
                 ids = [a.encode(t) if t else [] for t in b.column(1).to_pylist()]
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])

@@ -417,5 +417,17 @@ def test_split_rows(spark, model):
     assert sentences.split(empty, sentences.learn(empty)).count() == 0
 
 
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from tarnwell.llm.texts import slices
+
+    b = pa.RecordBatch.from_pydict({"k": list(range(9)), "t": ["a" * n for n in (5, 5, 50, 0, 1, 9, 9, 9, 9)]})
+    got = list(slices(b, [1], rows=4, size=20))
+    assert [r for s in got for r in s.column(0).to_pylist()] == list(range(9))
+    assert all(s.num_rows <= 4 and (s.num_rows == 1 or sum(map(len, s.column(1).to_pylist())) <= 20) for s in got)
+    assert list(slices(b.slice(0, 0), [1])) == []
+
+
 def test_items_keep_all_rows(spark):
     assert items(spark, SF, "page_record", "question_sample2").count() == spark.read.parquet(f"{SF}/page_record.parquet").count() + spark.read.parquet(f"{SF}/question_sample2.parquet").count()
