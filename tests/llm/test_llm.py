@@ -263,6 +263,17 @@ def test_page_notes(spark):
     assert pages.notes(rows.limit(0), fields, lexicon, names).count() == 0
 
 
+def test_misreadings_do_not_depend_on_size(spark):
+    fields = ["text", "pymupdf_text", "pdfplumber_text"]
+    rows = page_rows(spark, "Most pe0ple were seen.\nOther people were not.\nSome peop1e left theirpeople there.")
+    lexicon = {"people": 32_338, "pe0ple": 157, "peop1e": 146, "most": 9_000, "were": 90_000, "seen": 2_000, "other": 9_000, "not": 50_000, "some": 9_000, "left": 2_000, "their": 20_000, "there": 5_000}
+    for scale in (1, 10, 1000):
+        larger = {w: n * scale for w, n in lexicon.items()}
+        got = {(r.line_no, r.kind) for r in pages.notes(rows, fields, larger, frozenset()).where("fld = 'text'").collect()}
+        assert got == {(1, "misread"), (3, "misread")}
+        assert pages.repair(rows, fields, larger, frozenset()).where("fld = 'text'").first().repaired == "Most people were seen. Other people were not. Some people left their people there."
+
+
 def test_count_words(spark):
     got = pages.count_words(page_rows(spark, PAGE, PAGE, None, ""), ["text", "pymupdf_text", "pdfplumber_text"])
     assert got["people"] == 2 and "com" not in got and "mittee" not in got and got["the"] == 8
