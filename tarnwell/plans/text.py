@@ -89,7 +89,7 @@ def fingerprint_dups(spark, d):
 @query("""WITH p AS (SELECT row_id, text AS a, pymupdf_text AS b FROM page_record WHERE text IS NOT NULL AND pymupdf_text IS NOT NULL)
 SELECT row_id, CAST(coalesce(list_max(list_filter(range(1, least(least(length(a), length(b)), 65535) + 1), lambda k: substr(a, 1, k) = substr(b, 1, k))), 0) AS BIGINT) AS prefix FROM p WHERE length(a) < 1200""")
 def common_prefix(spark, d):
-    p = pages(spark, d).where("text is not null and pymupdf_text is not null").where(F.length("text") < 1200)
+    p = pages(spark, d).where("text is not null and pymupdf_text is not null")
     return p.select("row_id", T.common_prefix(F.col("text"), F.col("pymupdf_text")).cast("bigint").alias("prefix"))
 
 
