@@ -64,7 +64,7 @@ def best_prefix_match(spark, d):
     """The other parse of a page that shares the longest beginning, if it is long enough and unique."""
     p = pages(spark, d).where("text is not null and text <> ''").select("row_id", "document_id", "page", "text")
     o = p.select("document_id", "page", F.col("row_id").alias("other"), F.col("text").alias("t2"))
-    j = p.where(F.length("text") < 900).join(o, ["document_id", "page"]).where("row_id <> other")
+    j = p.join(o, ["document_id", "page"]).where("row_id <> other")
     j = j.select("row_id", "other", F.least(F.length("text"), F.length("t2")).alias("shorter"), T.common_prefix(F.col("text"), F.col("t2")).cast("bigint").alias("prefix")).where("prefix >= 30")
     k = j.withColumn("r", F.rank().over(Window.partitionBy("row_id").orderBy(F.desc("prefix")))).withColumn("ties", F.count("*").over(Window.partitionBy("row_id", "prefix")))
     return k.where("r = 1 and ties = 1 and prefix >= 0.5 * shorter").select("row_id", "other", "prefix")

@@ -18,3 +18,12 @@ def test_common_prefix_of_all_lengths(spark, con):  # noqa: F811
     pages = con.sql("select row_id, text, pymupdf_text from page_record where text is not null and pymupdf_text is not null").fetchall()
     assert max(len(a) for _, a, _ in pages) >= 1200
     assert sorted(rows(spark, "common_prefix")) == sorted((i, len(os.path.commonprefix([a, b]))) for i, a, b in pages)
+
+
+def test_best_prefix_match_of_all_lengths(spark, tmp_path):
+    long, short = "A long beginning of a page. " * 60, "Another beginning that two parses share. "
+    texts = [(1, 1, long + "one"), (2, 1, long + "two"), (3, 1, "Nothing shared. " * 90), (4, 2, short + "a"), (5, 2, short + "b"), (6, 2, "x" * 2000), (7, 3, long), (8, 4, long), (9, 5, None), (10, 5, "")]
+    page_record = spark.createDataFrame([(i, "d", page, t) for i, page, t in texts], "row_id long, document_id string, page int, text string")
+    page_record.write.parquet(str(tmp_path / "page_record.parquet"))
+    got = {tuple(r) for r in registry.queries()["best_prefix_match"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, len(long)), (2, 1, len(long)), (4, 5, len(short)), (5, 4, len(short))}
