@@ -122,6 +122,12 @@ def numbers(t: Column) -> Column:
     return F.transform(F.regexp_extract_all(t, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
 
 
+def plain_number(v: Column) -> Column:
+    """A double in its shortest decimal form, without an exponent or trailing zeros: ``5.5``, ``60``."""
+    exact = v.try_cast("decimal(38,15)")
+    return F.when(v == 0, "0").when(exact == v, F.regexp_replace(exact.cast("string"), r"\.?0+$", "")).otherwise(v.cast("string"))
+
+
 def spelled_numbers(t: Column) -> Column:
     """Values of spelled numbers such as ``sixty-five`` or ``eleven``, in order."""
     tens, ones = [w for w, v in SPELLED.items() if v >= 20], [w for w, v in SPELLED.items() if v < 20]

@@ -204,8 +204,8 @@ def citation_check(spark, d):
 
 @query("""SELECT claim_id, contains(lower(regexp_replace(span, '\\s+', '', 'g')), lower(regexp_replace(printf('%g', value) || unit, '\\s+', '', 'g'))) AS supported FROM claim WHERE value IS NOT NULL AND unit IS NOT NULL AND span IS NOT NULL AND value = floor(value) AND value < 100000""")
 def value_support(spark, d):
-    c = table(spark, d, "claim").where("value is not null and unit is not null and span is not null and value = floor(value) and value < 100000")
-    need = metrics.squeezed(F.concat(F.col("value").cast("bigint").cast("string"), "unit"))
+    c = table(spark, d, "claim").where("value is not null and unit is not null and span is not null")
+    need = metrics.squeezed(F.concat(T.plain_number(F.col("value")), "unit"))
     return c.select("claim_id", metrics.squeezed(F.col("span")).contains(need).alias("supported"))
 
 

@@ -27,3 +27,20 @@ def test_best_prefix_match_of_all_lengths(spark, tmp_path):
     page_record.write.parquet(str(tmp_path / "page_record.parquet"))
     got = {tuple(r) for r in registry.queries()["best_prefix_match"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2, len(long)), (2, 1, len(long)), (4, 5, len(short)), (5, 4, len(short))}
+
+
+def test_plain_number(spark):
+    values = {5.5: "5.5", 60.0: "60", 100.0: "100", 0.0: "0", 0.000401: "0.000401", 1e-7: "0.0000001", 2360000.0: "2360000", 12345.67: "12345.67", 1e15: "1000000000000000", 0.1 + 0.2: "0.300000000000000" + "04", -2.50: "-2.5", 1e300: "1.0E300"}
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert {r.v: r.s for r in df.select("v", T.plain_number(df.v).alias("s")).collect()} == values
+
+
+def test_value_support_of_all_values(spark, con):  # noqa: F811
+    claims = con.sql("select claim_id, value, unit, span from claim where value is not null and unit is not null and span is not null").fetchall()
+    assert any(v != int(v) for _, v, _, _ in claims)
+
+    def squeezed(t):
+        return re.sub(r"[ \t\n\x0b\f\r]+", "", t).lower()
+
+    expected = sorted((i, squeezed(f"{Decimal(repr(v)).normalize():f}{u}") in squeezed(s)) for i, v, u, s in claims)
+    assert sorted(rows(spark, "value_support")) == expected
