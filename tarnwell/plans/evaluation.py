@@ -110,7 +110,7 @@ def band_lookup(spark, d):
     """Narrowest band that contains a value; the bands are five rows that don't grow."""
     lo = F.col("r_regionkey") * 80000.0
     r = table(spark, d, "region").select(lo.alias("lo"), (lo + 120000).alias("hi"), F.col("r_regionkey").alias("pos"))
-    b = table(spark, d, "orders", "o_orderkey", "o_totalprice").where("o_orderkey % 50 = 0")
+    b = table(spark, d, "orders", "o_orderkey", "o_totalprice")
     j = b.join(F.broadcast(r), F.col("o_totalprice").between(F.col("lo"), F.col("hi")))
     return j.groupBy("o_orderkey").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "pos")).alias("m")).select("o_orderkey", "m.pos")
 

@@ -44,3 +44,13 @@ def test_value_support_of_all_values(spark, con):  # noqa: F811
 
     expected = sorted((i, squeezed(f"{Decimal(repr(v)).normalize():f}{u}") in squeezed(s)) for i, v, u, s in claims)
     assert sorted(rows(spark, "value_support")) == expected
+
+
+def test_band_lookup_of_all_orders(spark, con):  # noqa: F811
+    regions = [r for r, in con.sql("select r_regionkey from region").fetchall()]
+    expected = []
+    for key, price in con.sql("select o_orderkey, o_totalprice from orders").fetchall():
+        # bands are equally wide, so the first that holds the value is taken
+        held = [r for r in sorted(regions) if r * 80000.0 <= price <= r * 80000.0 + 120000]
+        expected += [(key, held[0])] if held else []
+    assert sorted(rows(spark, "band_lookup")) == sorted(expected)
