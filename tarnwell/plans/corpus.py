@@ -296,7 +296,7 @@ SELECT doc_id, k AS key, min(x) AS spelling FROM v GROUP BY doc_id, k""")
 def key_values(spark, d):
     """Values and ranges with units per document, one spelling of each."""
     pattern = r"[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)"
-    v = table(spark, d, "documents", "doc_id", "text", "lang").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("x"))
+    v = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("x"))
     return v.groupBy("doc_id", F.lower(F.replace("x", F.lit(" "), F.lit(""))).alias("key")).agg(F.min("x").alias("spelling"))
 
 

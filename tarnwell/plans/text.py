@@ -61,7 +61,7 @@ _SCORE = "len(list_filter(regexp_extract_all(lower({0}), '[a-z]{{3,}}', 0), lamb
   AND regexp_matches(text, '^[ -~\\n\\t]*$'))
 SELECT doc_id, md5(CASE WHEN length(t) >= 12 AND {_SCORE.format('reverse(t)')} > {_SCORE.format('t')} THEN reverse(t) ELSE t END) AS repaired_md5 FROM d""")
 def mirror_repair(spark, d):
-    t = docs(spark, d).where("text is not null and lang = 'en'").where(F.col("text").rlike(r"^[ -~\n\t]*$"))
+    t = docs(spark, d).where("text is not null")
     t = t.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("t"))
     return t.select("doc_id", F.md5(T.mirror_repair(F.col("t"), L.COMMON_WORDS)).alias("repaired_md5"))
 

@@ -54,3 +54,27 @@ def test_band_lookup_of_all_orders(spark, con):  # noqa: F811
         held = [r for r in sorted(regions) if r * 80000.0 <= price <= r * 80000.0 + 120000]
         expected += [(key, held[0])] if held else []
     assert sorted(rows(spark, "band_lookup")) == sorted(expected)
+
+
+def test_mirror_repair_of_all_documents(spark, con):  # noqa: F811
+    docs = con.sql("select doc_id, text, lang from documents where text is not null").fetchall()
+    assert any(not t.isascii() for _, t, _ in docs) and any(lang != "en" for _, _, lang in docs)
+
+    def score(t):
+        return sum(w in L.COMMON_WORDS for w in re.findall("[a-z]{3,}", t.lower()))
+
+    expected = []
+    for i, t, _ in docs:
+        t = t[::-1] if i % 2 == 0 else t
+        expected.append((i, hashlib.md5((t[::-1] if len(t) >= 12 and score(t[::-1]) > score(t) else t).encode()).hexdigest()))
+    assert sorted(rows(spark, "mirror_repair")) == sorted(expected)
+
+
+def test_key_values_of_all_languages(spark, con):  # noqa: F811
+    pattern = r"[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)"
+    expected = {}
+    for i, t, _ in con.sql("select doc_id, text, lang from documents where text is not null").fetchall():
+        for x in re.findall(pattern, t):
+            at = (i, x.replace(" ", "").lower())
+            expected[at] = min(x, expected.get(at, x))
+    assert sorted(rows(spark, "key_values")) == sorted((i, k, x) for (i, k), x in expected.items())
