@@ -4,6 +4,7 @@ import itertools
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -208,14 +209,40 @@ def test_near_pairs_edges(spark):
 
 
 def test_crowded_bucket_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET", 4)
     base = [f"word{k}" for k in range(60)]
     values = [" ".join(base[:k] + [f"odd{k}"] + base[k + 1 :]) for k in range(25)]
     t = texts(spark, *values)
-    every = neardup.sets(t, 1).selectExpr("id as u", "0 as code", "words", "tfs")
-    df, n = neardup.document_frequencies(every)
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in neardup.candidates(every, df, n, 0.7, 20, 2, bucket=4).collect()}
-    assert got >= brute(values, 0.7)
+    every = neardup.sets(t, 1).selectExpr("id as num", "u", "code", "words", "tfs")
+    df, n = neardup.document_frequencies(neardup.sets(t, 1))
+    for weights in ("unit", "tfidf"):
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in neardup.candidates(every, df, n, 0.7, 20, 2, weights, bucket=4, salt=3).collect()}
+        assert got >= brute(values, 0.7)
+
+
+def test_meeting_keeps_all_when_it_passes_on(spark, monkeypatch):
+    base = [f"word{k}" for k in range(60)]
+    values = [" ".join(base[:k] + [f"odd{k}"] + base[k + 1 :]) for k in range(25)] + [" ".join(f"other{j}x{k}" for j in range(30)) for k in range(10)] * 2
+    monkeypatch.setattr(neardup, "MET", 50)
+    monkeypatch.setattr(neardup, "PACKED", 7)
+    got = {(r.id_a, r.id_b) for r in neardup.near_pairs(texts(spark, *values), words=1, threshold=0.7, weights="unit", bands=20, rows=2).collect()}
+    assert got == brute(values, 0.7)
+
+
+def test_packed_hashes():
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 48, 300).astype(np.uint64))
+    assert (neardup.unpacked(neardup.packed(x)) == x).all() and len(neardup.unpacked(b"")) == 0
+
+
+def test_byte_bound_never_drops_a_pair(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(300):
+        a = set(rng.integers(0, 1 << 48, 40).tolist())
+        b = set(list(a)[: int(rng.integers(20, 40))]) | set(rng.integers(0, 1 << 48, int(rng.integers(0, 12))).tolist())
+        rows.append((k, -k, bytearray(x & 255 for x in a), bytearray(x & 255 for x in b), len(a & b) / len(a | b)))
+    df = spark.createDataFrame(rows, "a long, b long, bytes_a binary, bytes_b binary, j double")
+    kept = {r.a for r in neardup._bounded(df, 0.7).collect()}
+    assert kept >= {r[0] for r in rows if r[4] >= 0.7} and len(kept) < 300
 
 
 def test_near_groups(spark):
