@@ -41,7 +41,7 @@ from tarnwell.llm.texts import WORD, slices
 from tarnwell.runtime import cut
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 32, 5
 #: classes of a bucket that are paired up directly; larger buckets go by their rarest shingles
 BUCKET = 64
 #: classes of a bucket that share a rare shingle and are paired in one task
