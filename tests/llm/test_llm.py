@@ -180,10 +180,13 @@ def test_overlap_against_brute_force(spark):
     base = "at what level should the guideline stop drug alpha and offer drug beta instead".split()
     rows = [("dev", " ".join(base)), ("test", " ".join(base)), ("test", " ".join(base[::-1])), ("heldout", " ".join(base[:10])), ("heldout", " ".join(base[:6])), ("dev", None), ("test", None), ("test", ""), ("dev", "!!"), ("dev", " ".join(base + ["now"])), ("test", "other words only")]
     rows += [("dev", " ".join(base))] * 3
-    got = {(r.train_key, r.eval_key) for r in overlap.overlaps(splits(spark, *rows)).collect()}
     sets = [set(WORD.findall((t or "").lower())) for _, t in rows]
-    want = {(i, j) for i, j in itertools.product(range(len(rows)), repeat=2) if rows[i][0] == "dev" and rows[j][0] != "dev" and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
-    assert got == want
+    for block in (5_000, 2):  # with and without words split into blocks
+        found = overlap.overlaps(splits(spark, *rows), block=block).collect()
+        got = {(r.train_key, r.eval_key) for r in found}
+        assert len(found) == len(got) and {(r.train_key, r.eval_key): r.coverage for r in found}[0, 1] == 1.0
+        want = {(i, j) for i, j in itertools.product(range(len(rows)), repeat=2) if rows[i][0] == "dev" and rows[j][0] != "dev" and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+        assert got == want
     rep = {(r.slice): r for r in overlap.report(splits(spark, *rows)).collect()}
     assert rep["test"].records == 3 and rep["test"].overlapping == 2 and rep["test"].exact == 2 and 0 < rep["test"].mean_coverage < 1
     assert overlap.overlaps(splits(spark, ("test", "a b"))).count() == 0
