@@ -221,14 +221,20 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 SQL["jsonl_round_trip"] = "SELECT sample_id, id, chunk_type, text FROM question_sample2"
 
 
-@query()
+@query(SQL["tumbling_windows"])
 def stream_windows(spark, d):
-    return jobs.run_to_end(jobs.windowed_counts(jobs.events(spark, d)))
+    return jobs.run_closed(spark, d, jobs.windowed_counts).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL '2 hours', ts) - k * INTERVAL '2 hours' AS start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL")
+def stream_sliding(spark, d):
+    return jobs.run_closed(spark, d, jobs.sliding_counts).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(SQL["session_windows"])
 def stream_sessions(spark, d):
-    return jobs.run_to_end(jobs.sessions(jobs.events(spark, d)))
+    s = jobs.run_closed(spark, d, jobs.sessions)
+    return s.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
