@@ -1,22 +1,31 @@
 """Sentence boundaries across languages and scripts (problem 10): a hidden-event n-gram model.
 
-Between any two words the event "a sentence ends here" is hidden.  Blank lines, headings and list items
-end sentences for certain; a mark with a lower-case word behind it ends none; what lies inside quotation
-marks or brackets is part of its sentence.  All other marks are uncertain.  The model weighs them by the
-word before (is it an abbreviation, an initial, a number?) and the word behind (does it begin
-sentences?), both with counts over the whole corpus: an abbreviation is never seen at the end of a
-block, a word that ends sentences as often as any other is; a word that begins sentences is seen at the
-start of blocks.  Words outside the tables count by their shape.  Forward-backward over the uncertain
-marks of a block, with a price for very short sentences, gives posteriors; a boundary is put where its
-posterior is above one half.  Scripts without case or spaces use the same events: the ideographic full
-stop, the danda and the Arabic question mark end a sentence wherever they stand outside quotations, and
-text without any mark ends with its block.
-
-Counts are gathered over all texts; the ``TYPES`` most frequent words before and behind go to the tasks,
-so their size is fixed.
+Between any two words the event "a sentence ends here" is hidden.  Marks, blank lines, headings and list
+items are what the event emits.  Counts over the whole corpus give an n-gram model of words with the
+event as one more token, and what words stand before and behind marks:
+
+- A blank line, a heading or a list item ends a sentence for certain; a mark with a lower-case word behind
+  it ends none; what lies inside quotation marks or brackets is part of its sentence.
+- Any other mark is weighed by the word before (an abbreviation is never seen at the end of a block, a
+  word that ends sentences as often as any other is) and the word behind (is it seen at the start of
+  blocks?).  Words outside the tables count by their shape.
+- Where a block has marks, a gap without one holds no event for certain.  A block without any mark, in
+  whatever script, is weighed at every gap by the n-gram model: P(end | before) P(behind | start) against
+  (1 - P(end | before)) P(behind | before).
+
+Forward-backward over all gaps of a block, with a price for very short sentences, gives posteriors; a
+boundary is put where its posterior is above one half.  Behind a gap that is certain to hold no event the
+chain starts anew, so such gaps are passed over: the posteriors of the others are the same.  Scripts
+without spaces take each character as a word.  The ideographic full stop, the danda and the Arabic
+question mark end a sentence wherever they stand outside quotations.
+
+Counts are gathered over all texts.  The ``TYPES`` most frequent words before and behind marks, and the
+n-grams in ``SLOTS`` hashed counters (less the median counter, which is what rare n-grams leave in each),
+go to the tasks, so their size is fixed.
 
 Defined cases: null, empty and blank texts have no sentences; closing quotation marks and brackets
-belong to the sentence that they end; positions are code points of the text as stored.
+belong to the sentence that they end; positions are code points of the text as stored; words of more
+than ``LONGEST`` characters count as one word.
 """
 
 from __future__ import annotations
@@ -26,24 +35,45 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tarnwell.llm.texts import slices
 
 TYPES = 20_000
 FLUSH = 200_000
+#: hashed counters of single words, and of pairs with the event as a word
+SLOTS = 1 << 18
+PART = 1024
+LONGEST = 64
+#: a heading's most characters
+HEADING = 100
+#: words (characters, in scripts without spaces) of a block without marks that may hold more than one
+#: sentence, and below which a sentence is very short
+FEWEST, SHORT = {False: 8, True: 14}, {False: 3, True: 5}
+#: log odds of an event at a gap in a block without marks, beside those of its words
+UNMARKED = 0.0
 
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _BULLET = re.compile(r"[^\S\n]*(?:([•‣◦▪●*–—-])|(\()?(\d{1,3}(?=[.)])|[a-zA-Z](?=\)))([.)])|(\d{1,3})(、))[^\S\n]+(?=\S)")
 _HEADING = re.compile(r"[^\S\n]*(?:#{1,6}\s|\d{1,3}(?:\.\d{1,3})+\.?\s)\S")
+_SPACE = re.compile(r"\s*")
 #: marks that may end a sentence, and what quotes or brackets
 _MARK = re.compile(r"[.!?…。！？｡．؟۔।॥]+|[«»„“”\"「」『』()\[\]（）]")
 _SURE = set("。！？｡؟۔।॥")
 _OPENS = {"«": "»", "„": "“", "“": "”", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "\"": "\""}
 _CLOSERS = "\"'”’»“)]」』）"
 _AFTER = re.compile(r"[\"'”’)\]」』）»]*")
-_WORD_BEFORE = re.compile(r"[^\s«»„“”\"「」『』()\[\]（）,;:]*$")
+_APART = frozenset(" \t\n\r\f\v\u00a0\u2028\u2029\u202f\u3000«»„“”\"「」『』()[]（）,;:")
+_SOLID = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+#: a word, or a character of a script without spaces
+_WORDS = re.compile(rf"[{_SOLID}]|[^\W_{_SOLID}]+(?:['’][^\W_{_SOLID}]+)*")
+#: the same, with what ends sentences: a full stop behind letters and before a space and a capital, any
+#: other mark, a blank line; a full stop elsewhere is doubtful
+_EVENTS = re.compile(rf"[{_SOLID}]|[^\W_{_SOLID}]+(?:['’][^\W_{_SOLID}]+)*|(?<=[^\W\d_]{{3}})\.[\"'”’»)\]]*\s+(?=[\"'“„«(¿¡]*[^\W\da-zß-ÿа-я_])|[.!?…。！？｡؟۔।॥]|\n[^\S\n]*\n")
+_ENDS = re.compile(r"[.!?…。！？｡．؟۔।॥]")
 _GLUED = re.compile(r"^.*[^\W\d_]{3,}\.(?=[^\W\d_])")
 _NEXT = re.compile(r"[\"'„“«¿¡(\[「『‘（]*(?:([^\W_]+)|(\S))")
 
@@ -108,9 +138,9 @@ def units(text: str, a: int, b: int) -> list[tuple[int, int, bool]]:
     k = 0
     first_end = starts[1] if len(starts) > 1 else b
     line = text[a:first_end].strip()
-    if _HEADING.match(text, a) and line[-1:] not in ".!?;,。" and len(line) < 100:
-        behind = text[first_end : first_end + 200].lstrip()
-        if behind[:1].isupper() or _BULLET.match(text, first_end) or not behind:
+    if _HEADING.match(text, a) and line[-1:] not in ".!?;,。" and len(line) < HEADING:
+        behind = _SPACE.match(text, first_end).end()
+        if text[behind : behind + 1].isupper() or _BULLET.match(text, first_end) or behind == len(text):
             out.append((a, first_end, True))
             k = 1
     if k >= len(starts):
@@ -145,7 +175,12 @@ def _trimmed(text: str, a: int, b: int) -> int:
 
 
 def _word_before(text: str, a: int, s: int) -> str:
-    w = _WORD_BEFORE.search(text, max(a, s - 40), s)[0].strip("\u200b\u200c\u200d\u2060\ufeff\xad'’‘")
+    at = s
+    while at > a and s - at <= LONGEST and text[at - 1] not in _APART:
+        at -= 1
+    if s - at > LONGEST:
+        return "<long>"
+    w = text[at:s].strip("\u200b\u200c\u200d\u2060\ufeff\xad'’‘")
     if "." in w:  # what stands before a full stop without space behind it is another sentence's
         w = _GLUED.sub("", w)
     return w
@@ -216,57 +251,112 @@ def _count(text: str, before: Counter, behind: Counter) -> None:
         for x, y, whole in units(text, a, b):
             if whole:
                 continue
-            n = _NEXT.match(text[x:y].lstrip()[:60])
+            n = _NEXT.match(text, _SPACE.match(text, x, y).end(), y)
             if n and n.group(1):
                 behind[n.group(1), True] += 1
             for end, w, nxt, sure in marks(text, x, y):
                 if sure or nxt is None:
                     continue
-                before[w.lower() if len(w) < 24 else "", shape_before(w) if w[:1] != "<" else w, False] += 1
+                before[w.lower(), shape_before(w) if w[:1] != "<" else w, False] += 1
                 behind[nxt, False] += 1
             e = _trimmed(text, x, y)
             while e > x and text[e - 1] in _CLOSERS:
                 e -= 1
             if e > x and text[e - 1] == "." and text[e - 2 : e - 1] != ".":
                 w = _word_before(text, x, e - 1)
-                before[w.lower() if len(w) < 24 else "", shape_before(w), True] += 1
+                before[w.lower(), shape_before(w) if w[:1] != "<" else w, True] += 1
+
+
+class Ids(dict):
+    """32-bit numbers of words, kept up to a bound; 1 is the event, 3 a doubtful mark."""
+
+    def __init__(self) -> None:
+        super().__init__(dict.fromkeys("!?…。！？｡؟۔।॥", 1))
+        self["."] = 3
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= FLUSH:
+            self.clear()
+            self.__init__()
+        h = self[w] = 1 if w[0] in ".\n" else (xxhash.xxh32_intdigest(w.lower()) | 2) + 2
+        return h
+
+
+def _pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(46)).astype(np.int64)
+
+
+def _word_slots(a: np.ndarray) -> np.ndarray:
+    return (a * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64)
+
+
+def _grams(texts: list[str], ids: Ids, single: np.ndarray, double: np.ndarray) -> None:
+    """Count the words and pairs of texts, each of which begins and ends with the event."""
+    flat = [1]
+    for t in texts:
+        flat += [ids[w] for w in _EVENTS.findall(t)]
+        flat.append(1)
+    x = np.array(flat, dtype=np.uint64)
+    keep = np.append(True, (x[1:] != 1) | (x[:-1] != 1))  # events in a row are one
+    x = x[keep]
+    single += np.bincount(_word_slots(x), minlength=SLOTS)
+    double += np.bincount(_pair_slots(x[:-1], x[1:]), minlength=SLOTS)
 
 
 def learn(docs: DataFrame, text: str = "text", top: int = TYPES) -> dict:
-    """The model's counts over all texts: at most ``top`` words before and ``top`` behind, and shapes."""
+    """The model's counts over all texts: at most ``top`` words before and ``top`` behind marks, shapes, and
+    the n-grams' counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: Counter = Counter()
         behind: Counter = Counter()
+        ids, single, double = Ids(), np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
+
+        def batch(side: list, word: list, shape: list, edge: list, n: list, part: list, counters: list) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+            cols = (side, word, shape, edge, n, part, counters)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["side", "word", "shape", "edge", "n", "part", "counters"])
 
         def passed() -> pa.RecordBatch:
-            rows = [("w", w, s, f, n) for (w, s, f), n in before.items()] + [("n", w, shape_behind(w), f, n) for (w, f), n in behind.items()]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int64())],
-                names=["side", "word", "shape", "edge", "n"],
-            )
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
+            rows = [("w", w, s, f, n, None, None) for (w, s, f), n in before.items()] + [("n", w, shape_behind(w), f, n, None, None) for (w, f), n in behind.items()]
+            return batch(*(list(zip(*rows, strict=True)) or [[]] * 7))
+
+        for whole in batches:
+            for b in slices(whole, [0]):
+                texts = [t for t in b.column(0).to_pylist() if t]
+                for t in texts:
                     _count(t, before, behind)
-            if len(before) + len(behind) > FLUSH:
-                yield passed()
-                before.clear(), behind.clear()
+                _grams(texts, ids, single, double)
+                if len(before) + len(behind) > FLUSH:
+                    yield passed()
+                    before.clear(), behind.clear()
         yield passed()
+        both = np.concatenate([single, double]).reshape(-1, PART)
+        some = np.flatnonzero(both.any(axis=1))
+        m = len(some)
+        yield batch(["c"] * m, [None] * m, [None] * m, [None] * m, [None] * m, some.tolist(), [both[k].tobytes() for k in some])
+
+    def summed(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(c, dtype=np.int64) for c in t["counters"].to_pylist()], axis=0)
+        return pa.table({"part": pa.array([t["part"][0].as_py()], pa.int32()), "counters": pa.array([total.tobytes()], pa.binary())})
 
-    counted = docs.select(text).mapInArrow(run, "side string, word string, shape string, edge boolean, n bigint")
+    schema = "side string, word string, shape string, edge boolean, n bigint, part int, counters binary"
+    counted = docs.select(text).mapInArrow(run, schema).persist()
     at, no = F.sum(F.when(F.col("edge"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("edge"), 0).otherwise(F.col("n")))
-    words = counted.groupBy("side", "word", "shape").agg(at.alias("at"), no.alias("not_at"))
-    words = words.persist()
+    words = counted.where("side <> 'c'").groupBy("side", "word", "shape").agg(at.alias("at"), no.alias("not_at")).persist()
     out: dict = {}
     for side in ("w", "n"):
         own = words.where(F.col("side") == side)
         shapes = own.groupBy("shape").agg(F.sum("at").alias("at"), F.sum("not_at").alias("not_at")).collect()
-        most = own.where("at + not_at > 4").orderBy(F.desc(F.col("at") + F.col("not_at")), "word").limit(top).collect()
+        most = own.orderBy(F.desc(F.col("at") + F.col("not_at")), "word").limit(top).collect()
         out[side] = {r.shape: (r["at"], r["not_at"]) for r in shapes} | {("", r.word): (r["at"], r["not_at"]) for r in most}
+    both = np.zeros((2 * SLOTS // PART, PART), dtype=np.int64)
+    for r in counted.where("side = 'c'").select("part", "counters").groupBy("part").applyInArrow(summed, "part int, counters binary").collect():  # 512 rows at most
+        both[r.part] = np.frombuffer(r.counters, dtype=np.int64)
     words.unpersist()
+    counted.unpersist()
+    out["grams"] = both.reshape(2, SLOTS).astype(np.float32)
     return out
 
 
@@ -290,6 +380,11 @@ class Model:
         self.seen = sum(v[1] for k, v in self.n.items() if isinstance(k, str)) + 1
         self.odds_w: dict[str, float] = {}
         self.odds_n: dict[str, float] = {}
+        # what rare words and pairs leave in each counter is the same everywhere
+        self.single, self.double = (np.maximum(x - np.median(x), 0.0) for x in counts["grams"])
+        self.words = max(1.0, float(self.single.sum()))
+        self.events = max(1.0, float(self.single[_word_slots(np.array([1], dtype=np.uint64))[0]]))
+        self.ids = Ids()
 
     def _ends(self, at: int, no: int) -> float:
         n = at + no
@@ -329,30 +424,65 @@ class Model:
         return b + f if b < 6 else b + max(f, -b - 1 if shape_before(w) == "<number>" and w[:1] != "<" else -5.0)
 
 
-def posteriors(odds: list[float], near: list[bool]) -> list[float]:
-    """Forward-backward over marks in order: state 1 is a boundary; ``near[k]`` says that fewer than two
-    words lie between marks k - 1 and k, where two boundaries in a row are unlikely."""
-    short = math.exp(-2.0)
-    f: list[tuple[float, float]] = []
-    for k, o in enumerate(odds):
-        p = 1 / (1 + math.exp(-o))
-        if k == 0:
-            v = (1 - p, p)
-        else:
-            a, b = f[-1]
-            v = ((a + b) * (1 - p), (a + b * (short if near[k] else 1.0)) * p)
-        z = sum(v)
-        f.append((v[0] / z, v[1] / z))
+    def gaps(self, words: list[str]) -> np.ndarray:
+        """Log odds of the event at each gap between words, by the n-gram model."""
+        x = np.array([self.ids[w] for w in words], dtype=np.uint64)
+        event = np.ones(1, dtype=np.uint64)
+        a, b = x[:-1], x[1:]
+        n = self.single[_word_slots(x)]
+        mean = self.events / self.words
+        # priors: of an end that of all words, of a word behind that of any word
+        end = (np.minimum(self.double[_pair_slots(a, event)], n[:-1]) + 20 * mean) / (n[:-1] + 20)
+        any_ = (n[1:] + 0.5) / (self.words + 1)
+        start = (np.minimum(self.double[_pair_slots(event, b)], n[1:]) + 20 * any_) / (self.events + 20)
+        behind = (np.minimum(self.double[_pair_slots(a, b)], np.minimum(n[:-1], n[1:])) + 5 * any_) / (n[:-1] + 5)
+        return np.log(end) + np.log(start) - np.log1p(-np.minimum(end, 0.999)) - np.log(behind)
+
+
+def _unmarked(text: str, a: int, b: int, model: Model) -> list[int]:
+    """The ends of sentences inside running text [a, b) that holds no mark at all."""
+    found = list(_WORDS.finditer(text, a, b))
+    solid = len(found) > 1 and sum(len(m[0]) == 1 and m[0] > "\u3000" for m in found) > len(found) / 2
+    if len(found) < FEWEST[solid]:
+        return []
+    odds = model.gaps([m[0] for m in found]) + UNMARKED
+    for k, (m, n) in enumerate(zip(found, found[1:], strict=False)):
+        between = text[m.end() : n.start()]
+        if between.strip() or not between and not solid:  # inside a word, or a comma and the like
+            odds[k] = -50.0
+    near = [True] * len(odds)
+    return [found[k].end() for k, p in enumerate(posteriors(odds.tolist(), near, SHORT[solid], True)) if p > 0.5]
+
+
+def posteriors(odds: list[float], near: list[bool], reach: int = 1, edges: bool = False) -> list[float]:
+    """Forward-backward over gaps in order.  The state counts the gaps since the last boundary, up to
+    ``reach``; a boundary within reach of another is unlikely, where ``near[k]`` says that gap k lies close
+    behind gap k - 1.  With ``edges`` the block's own ends are boundaries too."""
+    short = math.exp(-2.0 if reach == 1 else -4.0)
+    m = reach + 1  # state j: j gaps behind a boundary, the last one: farther
+
+    def price(k: int, j: int) -> float:
+        return short if near[k] and j < reach else 1.0
+
+    p = [1 / (1 + math.exp(-max(-60.0, min(60.0, o)))) for o in odds]
+    f: list[list[float]] = []
+    v = [0.0] * m
+    v[0 if edges else reach] = 1.0
+    for k in range(len(odds)):
+        new = [sum(x * price(k, j) for j, x in enumerate(v)) * p[k]] + [0.0] * reach
+        for j, x in enumerate(v):
+            new[min(j + 1, reach)] += x * (1 - p[k])
+        z = sum(new) or 1.0
+        v = [x / z for x in new]
+        f.append(v)
     out = [0.0] * len(odds)
-    g = (1.0, 1.0)
+    g = [short if edges and j < reach else 1.0 for j in range(m)]
     for k in range(len(odds) - 1, -1, -1):
-        a, b = f[k][0] * g[0], f[k][1] * g[1]
-        out[k] = b / (a + b)
-        p = 1 / (1 + math.exp(-odds[k]))
-        x, y = (1 - p) * g[0], p * g[1]
-        g = (x + y, x + y * (short if near[k] else 1.0))
-        z = sum(g)
-        g = (g[0] / z, g[1] / z)
+        both = [x * y for x, y in zip(f[k], g, strict=True)]
+        out[k] = both[0] / (sum(both) or 1.0)
+        g = [p[k] * price(k, j) * g[0] + (1 - p[k]) * g[min(j + 1, reach)] for j in range(m)]
+        z = sum(g) or 1.0
+        g = [x / z for x in g]
     return out
 
 
@@ -363,12 +493,14 @@ def ends(text: str, model: Model) -> list[int]:
         for x, y, whole in units(text, a, b):
             if not whole:
                 found = marks(text, x, y)
-                odds = [10.0 if sure else model.odds(w, n) for _, w, n, sure in found]
-                if any(abs(o) < 6 for o in odds):
+                if found:
+                    odds = [10.0 if sure else model.odds(w, n) for _, w, n, sure in found]
                     near = [False] + [len(text[p[0] : q[0]].split()) < 2 for p, q in zip(found, found[1:], strict=False)]
-                    out += [m[0] for m, p in zip(found, posteriors(odds, near), strict=True) if p > 0.5]
-                else:
-                    out += [m[0] for m, o in zip(found, odds, strict=True) if o > 0]
+                    # marks that no pair of which is close don't bear on one another
+                    likely = posteriors(odds, near) if any(near) else [0.5 + o for o in odds]
+                    out += [m[0] for m, p in zip(found, likely, strict=True) if p > 0.5]
+                elif not _ENDS.search(text, x, y):
+                    out += _unmarked(text, x, y, model)
             end = _trimmed(text, x, y)
             if end > x and (not out or out[-1] < end):
                 out.append(end)

@@ -472,3 +472,36 @@ def test_slices_are_bounded_and_whole():
 
 def test_items_keep_all_rows(spark):
     assert items(spark, SF, "page_record", "question_sample2").count() == spark.read.parquet(f"{SF}/page_record.parquet").count() + spark.read.parquet(f"{SF}/question_sample2.parquet").count()
+
+
+def test_sentences_of_unpunctuated_text(spark):
+    """Sentences seen with marks in the corpus are found in text without any."""
+    people, does, what = ["patients", "nurses", "families"], ["should measure", "often report", "must record"], ["blood pressure at home", "urinary protein each month", "body weight in the morning"]
+    lines = [f"The {p} {d} {w}." for p in people for d in does for w in what]
+    solid = ["血圧を測定する。", "患者に説明する。", "薬を減量する。", "尿蛋白を調べる。"]
+    docs = spark.createDataFrame([(k, " ".join(lines[k % 9 :] + lines[: k % 9])) for k in range(60)] + [(100 + k, "".join(solid[k % 4 :] + solid[: k % 4])) for k in range(60)], "doc_id long, text string")
+    model = sentences.Model(sentences.learn(docs))
+    for parts, sep in ([lines[3][:-1].lower(), lines[10][:-1].lower(), lines[22][:-1].lower()], " "), ([s[:-1] for s in solid], ""):
+        text = sep.join(parts)
+        ends, at = [], 0
+        for p in parts:
+            at = text.index(p, at) + len(p)
+            ends.append(at)
+        assert sentences.ends(text, model) == ends
+
+
+def test_posteriors_against_all_labelings():
+    odds, near = [0.4, -1.0, 2.0, 0.1, -0.3], [False, True, True, False, True]
+    short = 2.718281828459045**-2.0
+    total, at = 0.0, [0.0] * 5
+    for labels in itertools.product((0, 1), repeat=5):
+        p = 1.0
+        for k, y in enumerate(labels):
+            q = 1 / (1 + 2.718281828459045 ** -odds[k])
+            p *= q if y else 1 - q
+            if y and near[k] and labels[k - 1]:
+                p *= short
+        total += p
+        for k, y in enumerate(labels):
+            at[k] += p * y
+    assert sentences.posteriors(odds, near) == pytest.approx([x / total for x in at])
