@@ -1,17 +1,20 @@
 """Repair of text from scanned pages (problem 7): running lines, cut words, misread characters.
 
 Every line of a page is first classed by position and shape as running text or *furniture* (headers,
-footers, page numbers).  What remains is a stream without line ends, over which words are decoded
-jointly by dynamic programming: a step of the path keeps a word as it stands, joins it over a cut
-with or without its hyphen, merges or splits neighbours, or undoes confusions of characters.  A step
-costs the negative logarithm of its word's frequency plus a price for its operation.  Stretches in
-which every word is known and no line end is marked have one reading and are passed over, so decoding
-is local and cheap.  Paragraphs are then chosen by dynamic programming over
+footers, page numbers).  What remains is a stream of characters without line ends, over which words are decoded
+jointly by dynamic programming: from any place that a word may start, a word may end at the token's end,
+inside it (words run together), behind a cut with or without its hyphen, or behind a blank (a torn
+word), read as it stands or with a confusion of characters undone.  A word costs the negative logarithm
+of its frequency, and each operation its price.  Stretches in which every word is known and no line end
+is marked have one reading and are passed over, so decoding is local and cheap.
+Paragraphs are then chosen by dynamic programming over
 the lines, from blank lines, line lengths, final marks and initial letters.
 
 The lexicon holds the ``LEXICON`` most frequent words and compounds of the whole corpus with their
 counts; its size is fixed, so it can be sent to every task.  Words beyond it are names and the like;
-they are never taken for misread.
+they are never taken for misread.  What scanners confuse is learnt from it: characters of frequent words
+that are replaced by the same others in many rare words (``confusions``).  All thresholds are shares of
+the corpus, so a corpus of twice as many copies is read alike.
 
 Defined cases: null texts give null, empty and blank ones an empty text and no notes; look-alike and
 invisible characters are no noise here (problem 2 treats them); a cut may go on behind furniture and
@@ -39,14 +42,15 @@ FLUSH = 300_000
 CACHE = 200_000
 # Prices of the decoder, in nats beside the negative log frequencies.
 CONFUSED, UNKNOWN, HYPHEN, KEPT, MERGED, SPLIT = math.log(RATIO), 12.0, 1.0, 8.0, 3.0, 5.0
-#: both words of a run-together pair must make up at least this share of all words; 500 in 2.9 million
-COMMON = 1 / 5_800
-
-# What scanners take for what; each pair holds both ways.
-CONFUSIONS = [
-    ("c", "e"), ("f", "t"), ("i", "l"), ("0", "o"), ("5", "s"), ("n", "u"), ("cl", "d"), ("1", "l"), ("9", "g"),
-    ("ii", "u"), ("in", "m"), ("m", "rn"), ("b", "h"), ("vv", "w"), ("6", "b"), ("n", "ri"), ("1", "i"), ("8", "b"),
-]
+# Shares of all words: of a word that others may be read as, of one that words with more than one
+# confusion may be read as, of both words of a run-together pair, and of words that confusions are
+# learnt from.
+READ, FAR, COMMON, FREQUENT = 2.75e-6, 1.1e-5, 1 / 5_800, 2e-5
+#: a confusion shows in this share of the frequent words that it could show in, and in so many of them
+COVERED, SHOWN = 0.2, 5
+#: characters of a word at most
+WIDE = 40
+
 #: marks that a cut word may end with
 MARKS = "-‐\xad¬"
 
@@ -131,42 +135,80 @@ def _lone_number(lines: list[str], shown: list[int], at: int, out: set[int], pag
     return not _tabular(lines[before]) and not _tabular(lines[after])
 
 
-_PAIRS = re.compile("cl|ii|in|rn|vv")
-_PAIRED = {"cl": "d", "ii": "n", "in": "m", "rn": "m", "vv": "w"}
-_SINGLE = str.maketrans({"e": "c", "f": "t", "l": "i", "1": "i", "0": "o", "5": "s", "9": "g", "u": "n", "6": "h", "8": "h", "b": "h"})
-
-
-def skeleton(w: str) -> str:
-    """What all readings of a word by single confusions have in common, in most cases."""
-    return _PAIRS.sub(lambda m: _PAIRED[m[0]], w).translate(_SINGLE)
+def confusions(counts: dict[str, int]) -> list[tuple[str, str]]:
+    """What is taken for what, as (written, seen): strings of one or two characters such that many frequent
+    words that hold the one are also met, far more rarely, with the other in its place."""
+    total = sum(counts.values())
+    words = [w for w in counts if len(w) > 3 and "-" not in w]
+    same: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    for w in words:
+        for n in (1, 2):
+            for k in range(len(w) - n + 1):
+                same.setdefault((w[:k], w[k + n :]), []).append((w[k : k + n], counts[w]))
+    shown: Counter[tuple[str, str]] = Counter()
+    could: Counter[str] = Counter()
+    for w in words:
+        most = counts[w]
+        if most < FREQUENT * total or not w.isalpha():
+            continue
+        for n in (1, 2):
+            for k in range(len(w) - n + 1):
+                x = w[k : k + n]
+                could[x] += 1
+                for y, m in same[w[:k], w[k + n :]]:
+                    if x[0] != y[0] and x[-1] != y[-1] and len(x) + len(y) < 4 and m * RATIO <= most:
+                        shown[x, y] += 1
+    found = {(x, y) for (x, y), n in shown.items() if n >= SHOWN and n >= COVERED * could[x]}
+    return sorted(found | {(y, x) for x, y in found})
 
 
 class Lexicon:
     """Counts of the most frequent words, and readings of words by them."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], confused: list[tuple[str, str]] | None = None):
         self.counts = counts
         self.total = max(1, sum(counts.values()))
         self.known: dict[str, str | None] = {}
         self.lone: dict[str, bool] = {}
+        self.decoded: dict[tuple, list] = {}
+        confused = confusions(counts) if confused is None else confused
+        self.undo: dict[str, list[tuple[str, str]]] = {}
+        for x, y in confused:
+            self.undo.setdefault(y[0], []).append((y, x))
+        # characters that are taken for one another, in classes, and pairs as the class of what they are taken for
+        head: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while head.get(c, c) != c:
+                c = head[c]
+            return c
+
+        for x, y in confused:
+            if len(x) == len(y) == 1:
+                head[max(root(x), root(y))] = min(root(x), root(y))
+        self.single = str.maketrans({c: root(c) for c in head})
+        self.pairs = {max(p, key=len): root(min(p, key=len)) for p in confused if len(p[0]) != len(p[1])}
+        self.paired = re.compile("|".join(sorted(map(re.escape, self.pairs)))) if self.pairs else None
         #: the most frequent word of each skeleton
         self.skeletons: dict[str, str] = {}
         for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if n <= FAR * self.total:
+                break
             if len(w) > 5 and w.isalpha():
-                self.skeletons.setdefault(skeleton(w), w)
-        self.undo: dict[str, list[tuple[str, str]]] = {}
-        for a, b in CONFUSIONS:
-            for x, y in ((a, b), (b, a)):
-                self.undo.setdefault(x[0], []).append((x, y))
+                self.skeletons.setdefault(self.skeleton(w), w)
+
+    def skeleton(self, w: str) -> str:
+        """What all readings of a word by confusions have in common, in most cases."""
+        return (self.paired.sub(lambda m: self.pairs[m[0]], w) if self.paired else w).translate(self.single)
 
-    def cost(self, word: str) -> float:
-        return math.log(self.total / self.counts.get(word, 0.5))
+    def share(self, word: str) -> float:
+        return self.counts.get(word, 0) / self.total
 
     def readings(self, w: str) -> Iterator[str]:
         for k, c in enumerate(w):
-            for x, y in self.undo.get(c, ()):
-                if w.startswith(x, k):
-                    yield w[:k] + y + w[k + len(x) :]
+            for seen, written in self.undo.get(c, ()):
+                if w.startswith(seen, k):
+                    yield w[:k] + written + w[k + len(seen) :]
 
     def reading(self, word: str) -> str | None:
         """What a word is misread from, null if it stands for itself."""
@@ -183,15 +225,15 @@ class Lexicon:
         digits = any(c.isdigit() for c in w)
         if len(w) < 3 or w.isdigit() or (digits and not any(c.isalpha() for c in w)):
             return None
-        best, most = None, max(RATIO * own, RATIO)
+        best, most = None, max(RATIO * own, READ * self.total)
         for v in self.readings(w):
             n = self.counts.get(v, 0)
             if n > most and len(v) > 2 and v.isalpha():
                 best, most = v, n
         if best is None and own == 0 and len(w) > 5:
             # more than one confusion: words of one skeleton
-            v = self.skeletons.get(skeleton(w))
-            if v is not None and v != w and self.counts[v] > 4 * RATIO:
+            v = self.skeletons.get(self.skeleton(w))
+            if v is not None and v != w:
                 best = v
         return best
 
@@ -205,62 +247,88 @@ class Lexicon:
             return sum(map(self.price, word.split("-"))) + HYPHEN
         return UNKNOWN + 0.4 * len(word)
 
-    def decode(self, units: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
-        """The cheapest reading of a stretch of tokens, each given with what parts it from the next: a mark
-        at a line end, or a blank for any other white space.  Gives (start, stop, operation, word) steps; operations are
-        ``keep``, ``read`` (confusions undone), ``join`` (over a cut), ``compound`` (the mark belongs),
-        ``merge`` (a word torn by a blank) and ``split`` (two words run together)."""
-        n = len(units)
+    def decode(self, units: list[tuple[str, str]]) -> list[tuple[int, int, int, str, str]]:
+        """The cheapest reading of a stretch, given as tokens each with what parts it from the next: a mark at
+        a line end, or a blank for any other white space.  Gives (unit, place in it, next unit, operation,
+        word) steps; operations are ``keep``, ``read`` (confusions undone), ``join`` (over a cut),
+        ``compound`` (the mark belongs), ``merge`` (a word torn by a blank) and ``piece`` (of words run together)."""
+        key = tuple(units)
+        known = self.decoded.get(key)
+        if known is None:
+            if len(self.decoded) > CACHE // 4:
+                self.decoded.clear()
+            known = self.decoded[key] = self._decode(units)
+        return known
+
+    def _decode(self, units: list[tuple[str, str]]) -> list[tuple[int, int, int, str, str]]:
+        start, n = [], 0
+        for t, _ in units:
+            start.append(n)
+            n += len(t)
+        home = [u for u, (t, _) in enumerate(units) for _ in t]
         best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(math.inf, 0, "", "")] * n
         for i in range(n):
             so_far = best[i][0]
             if so_far == math.inf:
                 continue
-            for j, price, operation, word in self._steps(units, i):
-                if so_far + price < best[j][0]:
-                    best[j] = (so_far + price, i, operation, word)
+            u = home[i]
+            for far, price, operation, word in self._steps(units, u, i - start[u]):
+                if so_far + price < best[i + far][0]:
+                    best[i + far] = (so_far + price, i, operation, word)
         out, at = [], n
         while at:
             _, i, operation, word = best[at]
-            out.append((i, at, operation, word))
+            out.append((home[i], i - start[home[i]], home[at] if at < n else len(units), operation, word))
             at = i
         return out[::-1]
 
-    def _steps(self, units: list[tuple[str, str]], i: int) -> Iterator[tuple[int, float, str, str]]:
-        """Readings that start at token i: (next token, price, operation, word)."""
-        token, sep = units[i]
-        if sep in MARKS and sep and i + 1 < len(units):
-            yield from self._over_cut(units, i)
-            return
-        w = token.lower()
-        yield i + 1, self.price(w), "keep", token
-        fixed = self._fixed(token)
-        if fixed is not None:
-            yield i + 1, self.price(fixed) + CONFUSED, "read", fixed
-        if w not in self.counts and w == token and w.isalpha():
-            if i + 1 < len(units) and units[i + 1][0] not in self.counts:
-                whole = w + units[i + 1][0]
-                if self.counts.get(whole, 0) > RATIO and units[i + 1][1] not in MARKS:
-                    yield i + 2, self.price(whole) + MERGED, "merge", whole
-            for k in range(4, len(w) - 3) if len(w) > 7 else ():
-                if self.counts.get(w[:k], 0) > COMMON * self.total and self.counts.get(w[k:], 0) > COMMON * self.total:
-                    yield i + 1, self.price(w[:k]) + self.price(w[k:]) + SPLIT, "split", f"{token[:k]} {token[k:]}"
-
-    def _over_cut(self, units: list[tuple[str, str]], i: int) -> Iterator[tuple[int, float, str, str]]:
+    def _steps(self, units: list[tuple[str, str]], u: int, at: int) -> Iterator[tuple[int, float, str, str]]:
+        """Words that start at a place of a token: (characters, price, operation, word)."""
+        token, sep = units[u]
+        rest = token[at:]
+        w = rest.lower()
+        last = u + 1 == len(units)
+        cut = not last and sep != "" and sep in MARKS
+        if not cut:
+            if at == 0:
+                yield len(rest), self.price(w), "keep", token
+                fixed = self._fixed(token)
+                if fixed is not None:
+                    yield len(rest), self.price(fixed) + CONFUSED, "read", fixed
+            else:
+                for v, more in ((w, 0.0), (self.reading(w) or "", CONFUSED)):
+                    if self.share(v) > COMMON:
+                        yield len(rest), self.price(v) + more, "piece", v
+        if w not in self.counts and w == rest and w.isalpha():
+            if not cut and not last and units[u + 1][0] not in self.counts:
+                whole = w + units[u + 1][0]
+                if units[u + 1][1] not in MARKS or u + 2 == len(units):
+                    for v, more in ((whole, 0.0), (self.reading(whole) or "", CONFUSED)):
+                        if self.share(v) > READ:
+                            yield len(whole), self.price(v) + MERGED + more, "merge", v
+            if 7 < len(w) <= WIDE:
+                for k in range(4, len(w) - 3):
+                    for v, more in ((w[:k], 0.0), (self.reading(w[:k]) or "", CONFUSED)):
+                        if self.share(v) > COMMON:
+                            yield k, self.price(v) + SPLIT + more, "piece", v
+        if cut:
+            yield from self._over_cut(rest, sep, units[u + 1][0])
+
+    def _over_cut(self, left: str, mark: str, right: str) -> Iterator[tuple[int, float, str, str]]:
         """Both readings of a cut: one word, or a compound whose hyphen happens to end the line."""
-        (left, mark), (right, _) = units[i], units[i + 1]
+        far = len(left) + len(right)
         compound = f"{left}-{right}"
         kept = 0.0 if mark == "-" else KEPT
-        yield i + 2, self.price(compound.lower()) + kept, "compound", compound
+        yield far, self.price(compound.lower()) + kept, "compound", compound
         if left[-1].isdigit() or not right[0].isalpha():
             return
         if right[0].isupper() and not (left.isupper() and right.isupper()):
             return
         whole = left + right
-        yield i + 2, self.price(whole.lower()), "join", whole
+        yield far, self.price(whole.lower()), "join", whole
         fixed = self._fixed(whole)
         if fixed is not None:
-            yield i + 2, self.price(fixed) + CONFUSED, "join", fixed
+            yield far, self.price(fixed) + CONFUSED, "join", fixed
 
     def alone(self, w: str) -> bool:
         """Whether an unknown word has no other reading by itself."""
@@ -268,7 +336,7 @@ class Lexicon:
         if known is None:
             if len(self.lone) > CACHE:
                 self.lone.clear()
-            known = self.lone[w] = sum(1 for _ in self._steps([(w, " ")], 0)) == 1
+            known = self.lone[w] = sum(1 for _ in self._steps([(w, " ")], 0, 0)) == 1
         return known
 
     def _fixed(self, token: str) -> str | None:
@@ -351,16 +419,19 @@ class Page:
         close()
 
     def _apply(self, stretch: list[tuple[str, str]], place: list[int]) -> None:
-        for i, j, operation, word in self.lexicon.decode(stretch):
-            k, token = place[i], stretch[i][0]
+        pieces: dict[int, list[str]] = {}
+        for i, at, _, operation, word in self.lexicon.decode(stretch):
+            k, token = place[i], stretch[i][0][at:]
             if operation == "read":
                 self.misread.add(k)
                 self.fixes.setdefault(k, {})[token] = word
-            elif operation in ("merge", "split"):
-                self.fixes.setdefault(k, {})[" ".join(t for t, _ in stretch[i:j])] = word
+            elif operation == "piece":
+                pieces.setdefault(i, []).append(word)
+            elif operation == "merge":
+                self.fixes.setdefault(k, {})[f"{token} {stretch[i + 1][0]}"] = word
             elif operation == "join":
                 right = stretch[i + 1][0]
-                self.breaks[k] = (place[i + 1], word, token, right)
+                self.breaks[k] = (place[i + 1], f" {word}" if at else word, token, right)
                 plain = (token + right).lower()
                 if word.lower() != plain:  # which side of the cut holds the wrong characters
                     same = next((x for x, (p, q) in enumerate(zip(plain, word.lower(), strict=False)) if p != q), len(plain) - 1)
@@ -371,6 +442,10 @@ class Page:
                     if fixed is not None:
                         self.misread.add(place[side])
                         self.fixes.setdefault(place[side], {})[stretch[side][0]] = fixed
+        for i, words in pieces.items():
+            whole = stretch[i][0]
+            if sum(map(len, words)) >= len(whole) - 2:  # a piece that goes on over a cut is joined there
+                self.fixes.setdefault(place[i], {})[whole] = " ".join(words)
 
     def notes(self) -> list[tuple[int, str]]:
         return sorted([(k + 1, "break") for k in self.breaks] + [(k + 1, "furniture") for k in self.out] + [(k + 1, "misread") for k in self.misread])
@@ -460,8 +535,10 @@ def count_words(texts: DataFrame, columns: list[str], top: int = LEXICON) -> dic
 
 
 def _pages(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names: frozenset[str], schema: str, columns: list[tuple[str, pa.DataType]], make) -> DataFrame:
+    confused = confusions(lexicon)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, form = Lexicon(lexicon), LazyRewriter()
+        lex, form = Lexicon(lexicon, confused), LazyRewriter()
         for whole in batches:
             for b in slices(whole, list(range(3, whole.num_columns)), 500):
                 data = [b.column(j).to_pylist() for j in range(b.num_columns)]
