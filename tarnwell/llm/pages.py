@@ -1,7 +1,9 @@
 """Repair of text from scanned pages (problem 7): running lines, cut words, misread characters.
 
-Every line of a page is first classed by position and shape as running text or *furniture* (headers,
-footers, page numbers).  What remains is a stream of characters without line ends, over which words are decoded
+Every line of a page is first classed as running text or *furniture* (headers, footers, page numbers).
+Furniture recurs: a line's form - numbers, the document's title and publishers' names masked - that
+stands at the edges of pages of several documents, and hardly ever inside pages, is furniture wherever
+it stands (``forms``).  A line of digits only, which tables hold too, is classed by its place.  What remains is a stream of characters without line ends, over which words are decoded
 jointly by dynamic programming: from any place that a word may start, a word may end at the token's end,
 inside it (words run together), behind a cut with or without its hyphen, or behind a blank (a torn
 word), read as it stands or with a confusion of characters undone.  A word costs the negative logarithm
@@ -28,7 +30,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tarnwell.llm.lookalike import LazyRewriter
@@ -50,6 +54,11 @@ READ, FAR, COMMON, FREQUENT = 2.75e-6, 1.1e-5, 1 / 5_800, 2e-5
 COVERED, SHOWN = 0.2, 5
 #: characters of a word at most
 WIDE = 40
+#: a form of furniture stands on this share of all pages and in so many documents, and this share of its
+#: lines is among the first or last EDGE lines of a page
+PAGES, DOCUMENTS, OUTSIDE, EDGE = 0.01, 2, 0.8, 2
+#: characters of a line whose form is counted, at most
+LINE = 200
 
 #: marks that a cut word may end with
 MARKS = "-‐\xad¬"
@@ -60,62 +69,98 @@ _CUT = re.compile(rf"[{MARKS}]\s*\n\s*\S+")
 _WHOLE = re.compile(r"[^\W_]++(?:-[^\W_]++)*+(?!\0)")
 _UNSEEN = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
 
-# Shapes of furniture anywhere on a page.
-_ANYWHERE = re.compile(
-    r"page\s+\d+\s+(?:of|/)\s+\d+"
-    r"|(?:©|\(c\)|copyright)\s.*|.*\ball rights reserved\.?"
-    r"|(?:retrieved|downloaded|available|accessed)\s+(?:from|at)\s+\S+\.\S+(?:\s+\d+)?"
-    r"|S?\d+\s+.*\(\d{4}\)\s+\d+.*\bS?\d+\s*[–-]\s*S?\d+"
-    r"|(?:\w ){4,}\w+(?:\s+\d+)?"  # a spaced-out running title
-    r"|.*\s[–—-]\s+chapter\s+\d+"
-    r"|[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]",
-    re.I,
-)
-#: what a line must hold to match the above
-_HINT = re.compile(r"[\d©]|RESERVED|eserved|^\w \w |^\(c\)|^(?:[Rr]etrieved|[Dd]ownloaded|[Aa]vailable|[Aa]ccessed|[Cc]opyright) ")
-_BAR = re.compile(r"(?:\d{1,4}\s{2,}\|\s{2,}(\D[^|]*)|([^|]*\D)\s{2,}\|\s{2,}\d{1,4})")
-_CHAPTER = re.compile(r"(?:chapter|section|part)\s+\d+", re.I)
 _NUMBER = re.compile(r"\d{1,4}")
-_TITLE = re.compile(r"[A-Z][^.;!?]*:\s[^.;!?]*\bedition")
 _ROW = re.compile(r".*\|.*")
 _CAPTION = re.compile(r"(?:table|figure)\s+\d+", re.I)
 
 
-def furniture(lines: list[str], names: frozenset[str], title: str | None, page: int | None) -> set[int]:
+_DIGITS = re.compile(r"\d+")
+_DIGIT = re.compile(r"\d")
+
+
+class Forms:
+    """Forms of lines, and those that are furniture: ``furniture`` are masked lines, ``endings`` the words
+    that titles end with."""
+
+    def __init__(self, names: frozenset[str], furniture: frozenset[str] = frozenset(), endings: frozenset[str] = frozenset()):
+        self.listed, self.known, self.endings = names, furniture, endings
+        self.automaton = ahocorasick.Automaton()
+        for n in names:
+            self.automaton.add_word(n, len(n))
+        if names:
+            self.automaton.make_automaton()
+        #: a line whose numbers are masked is too long for any form if it is longer than this
+        self.longest = max(map(len, furniture), default=0) + max(map(len, names), default=0)
+        # A row may lack its title or have another: what looks like a title stands for it, too.
+        title = rf"[^.;!?|]+: [^.;!?|]+ (?:{'|'.join(sorted(map(re.escape, endings)))})" if endings else r"(?!)"
+        open_ = [re.escape(f).replace("\\~t", "~t").replace("\\~s", "~s").replace("~t", title).replace("~s", r"[^.;!?:|]+") for f in sorted(furniture) if "~t" in f or "~s" in f]
+        self.untitled = re.compile("|".join(open_)) if open_ else None
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where names stand as whole words, the longest at each place, from the left."""
+        if not self.listed:
+            return
+        some: dict[int, int] = {}
+        for last, n in self.automaton.iter(text):
+            a, b = last + 1 - n, last + 1
+            if not (a and (text[a - 1].isalnum() or text[a - 1] == "_")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_")):
+                some[a] = max(b, some.get(a, 0))
+        at = 0
+        for a in sorted(some):
+            if a >= at:
+                yield a, some[a]
+                at = some[a]
+
+    def named(self, text: str) -> bool:
+        return next(self.spans(text), None) is not None
+
+    def form(self, line: str, title: tuple[str, str] | None) -> str:
+        """The masked form of a casefolded line."""
+        if title is not None:
+            line = line.replace(title[0], "~t")
+            if len(title[1]) > 5:
+                line = line.replace(title[1], "~s")
+        out, at = [], 0
+        for a, b in self.spans(line):
+            out.append(line[at:a])
+            at = b
+        return _DIGITS.sub("#", "~p".join([*out, line[at:]]) if at else line)
+
+    def variable(self, line: str, title: tuple[str, str] | None, named: bool) -> bool:
+        """Whether a line holds anything that its form masks."""
+        return bool(_DIGIT.search(line)) or title is not None and title[1] in line or named and self.named(line)
+
+    def is_furniture(self, line: str, title: tuple[str, str] | None, named: bool) -> bool:
+        if line in self.known:
+            return True
+        digit, own = bool(_DIGIT.search(line)), title is not None and title[1] in line
+        if (own or digit or named and self.named(line)) and (own or len(line) <= self.longest or len(_DIGITS.sub("#", line)) <= self.longest) and self.form(line, title) in self.known:
+            return True
+        if self.untitled is None or not any(e in line for e in self.endings) and not (digit and self.named(line)):
+            return False
+        return self.untitled.fullmatch(self.form(line, None)) is not None
+
+
+def titled(title: str | None) -> tuple[str, str] | None:
+    """A title and what stands before its colon, casefolded."""
+    t = title.strip().casefold() if title else ""
+    return (t, t.split(":")[0]) if t else None
+
+
+def furniture(lines: list[str], forms: Forms, title: str | None, page: int | None) -> set[int]:
     """Numbers (from 0) of the furniture lines of one page; ``lines`` in consistent form, stripped."""
     shown = [k for k, s in enumerate(lines) if s]
     if not shown:
         return set()
-    out: set[int] = set()
-    heading = title.strip().casefold() if title and title.strip() else None
-    for k in shown:
-        s = lines[k]
-        if len(s) > 160:
-            continue
-        folded = s.casefold()
-        if _HINT.search(s) and _ANYWHERE.fullmatch(s) or _is_name(folded, names) or folded == heading or ": " in s and _TITLE.fullmatch(s):
-            out.add(k)
-        elif "|" in s and (m := _BAR.fullmatch(s)) and not any(c.islower() for c in (m.group(1) or m.group(2))):
-            out.add(k)
-    top = 0
-    while top < len(shown) and shown[top] in out:
-        top += 1
-    for k in shown[: top + 1][:3]:
-        if _CHAPTER.fullmatch(lines[k]):
-            out.add(k)
+    heading = titled(title)
+    named = forms.named("\n".join(lines).casefold())
+    out = {k for k in shown if not _NUMBER.fullmatch(lines[k]) and forms.is_furniture(lines[k].casefold(), heading, named)}
     for at, k in enumerate(shown):
-        before = shown[at - 1] if at else None
-        if _CHAPTER.fullmatch(lines[k]) and before is not None and before in out and k == before + 1:
-            out.add(k)
         if _NUMBER.fullmatch(lines[k]) and _lone_number(lines, shown, at, out, page):
             out.add(k)
     return out
 
 
-def _is_name(s: str, names: frozenset[str]) -> bool:
-    return s in names or (s[0].isdigit() or s[-1].isdigit()) and re.sub(r"(?:^\d{1,4}\s{2,}|\s{2,}\d{1,4}$)", "", s) in names
-
-
 def _tabular(s: str) -> bool:
     return bool(_ROW.fullmatch(s) or _CAPTION.match(s) or _NUMBER.fullmatch(s))
 
@@ -140,24 +185,26 @@ def confusions(counts: dict[str, int]) -> list[tuple[str, str]]:
     words that hold the one are also met, far more rarely, with the other in its place."""
     total = sum(counts.values())
     words = [w for w in counts if len(w) > 3 and "-" not in w]
-    same: dict[tuple[str, str], list[tuple[str, int]]] = {}
-    for w in words:
+    frequent = [w for w in words if counts[w] >= FREQUENT * total and w.isalpha()]
+
+    def gaps(w: str) -> Iterator[tuple[tuple[str, str], str]]:
         for n in (1, 2):
             for k in range(len(w) - n + 1):
-                same.setdefault((w[:k], w[k + n :]), []).append((w[k : k + n], counts[w]))
+                yield (w[:k], w[k + n :]), w[k : k + n]
+
+    same: dict[tuple[str, str], list[tuple[str, int]]] = {rest: [] for w in frequent for rest, _ in gaps(w)}
+    for w in words:
+        for rest, y in gaps(w):
+            if rest in same:
+                same[rest].append((y, counts[w]))
     shown: Counter[tuple[str, str]] = Counter()
     could: Counter[str] = Counter()
-    for w in words:
-        most = counts[w]
-        if most < FREQUENT * total or not w.isalpha():
-            continue
-        for n in (1, 2):
-            for k in range(len(w) - n + 1):
-                x = w[k : k + n]
-                could[x] += 1
-                for y, m in same[w[:k], w[k + n :]]:
-                    if x[0] != y[0] and x[-1] != y[-1] and len(x) + len(y) < 4 and m * RATIO <= most:
-                        shown[x, y] += 1
+    for w in frequent:
+        for rest, x in gaps(w):
+            could[x] += 1
+            for y, m in same[rest]:
+                if x[0] != y[0] and x[-1] != y[-1] and len(x) + len(y) < 4 and m * RATIO <= counts[w]:
+                    shown[x, y] += 1
     found = {(x, y) for (x, y), n in shown.items() if n >= SHOWN and n >= COVERED * could[x]}
     return sorted(found | {(y, x) for x, y in found})
 
@@ -170,6 +217,8 @@ class Lexicon:
         self.total = max(1, sum(counts.values()))
         self.known: dict[str, str | None] = {}
         self.lone: dict[str, bool] = {}
+        #: tokens that stand for themselves wherever they stand
+        self.sure: set[str] = set()
         self.decoded: dict[tuple, list] = {}
         confused = confusions(counts) if confused is None else confused
         self.undo: dict[str, list[tuple[str, str]]] = {}
@@ -363,14 +412,14 @@ _FIRST = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 class Page:
     """One text of a page: its notes and its repaired form."""
 
-    def __init__(self, text: str, lexicon: Lexicon, form: LazyRewriter, names: frozenset[str], title: str | None, page: int | None):
+    def __init__(self, text: str, lexicon: Lexicon, form: LazyRewriter, forms: Forms, title: str | None, page: int | None):
         self.raw = text.split("\n")
         self.lexicon = lexicon
         whole = form(text.replace("\xad\n", "-\n"))
         self.lines = [s.strip() for s in whole.split("\n")]
         if len(self.lines) != len(self.raw):
             self.lines = [form(s).strip() for s in self.raw]
-        self.out = furniture(self.lines, names, title, page)
+        self.out = furniture(self.lines, forms, title, page)
         self.running = [k for k, s in enumerate(self.lines) if s and k not in self.out]
         #: line -> (the line that goes on, the whole word, its left part, its right part)
         self.breaks: dict[int, tuple[int, str, str, str]] = {}
@@ -379,7 +428,7 @@ class Page:
 
     def _decode(self) -> None:
         """Cut the stream of running text into stretches of uncertain tokens, and decode each."""
-        counts, reading = self.lexicon.counts, self.lexicon.reading
+        counts, reading, sure = self.lexicon.counts, self.lexicon.reading, self.lexicon.sure
         self.fixes: dict[int, dict[str, str]] = {}
         stretch: list[tuple[str, str]] = []
         place: list[int] = []
@@ -402,6 +451,10 @@ class Page:
             if end is not None and tokens and _FIRST.match(self.lines[nxt]) and line.rstrip(MARKS + " ").endswith(tokens[-1]):
                 carried, before = (tokens.pop(), end[1]), k
             for at, t in enumerate(tokens):
+                if t in sure:
+                    if stretch:
+                        close()
+                    continue
                 n = counts.get(t)
                 if n is None and t.islower() and t.isalpha():  # a name, unless it can be merged or split
                     certain = self.lexicon.alone(t) and not (at + 1 < len(tokens) and t + tokens[at + 1] in counts)
@@ -410,6 +463,10 @@ class Page:
                 else:
                     certain = reading(t) is None and (n is not None or not t.islower() or len(t) < 3)
                 if certain:
+                    if n is not None or not (t.islower() and t.isalpha()):  # whatever stands beside it
+                        if len(sure) > CACHE:
+                            sure.clear()
+                        sure.add(t)
                     if stretch:
                         close()
                 else:
@@ -507,38 +564,82 @@ class Page:
         return out
 
 
-def count_words(texts: DataFrame, columns: list[str], top: int = LEXICON) -> dict[str, int]:
-    """The ``top`` most frequent words and compounds of all texts with their counts, cut words left out."""
+def _line_forms(texts: list[str], forms: Forms, title: tuple[str, str] | None) -> tuple[set[str], set[str]]:
+    """Forms of the lines at the edges of a page's texts, and of those inside that mask something."""
+    edge, inside = set(), set()
+    for t in texts:
+        t = t.casefold()
+        lines = [s for s in map(str.strip, t.split("\n")) if s]
+        named = forms.named(t)
+        for k, s in enumerate(lines):
+            if len(s) > LINE:
+                continue
+            if k < EDGE or k >= len(lines) - EDGE:
+                edge.add(forms.form(s, title))
+            elif forms.variable(s, title, named):
+                inside.add(forms.form(s, title))
+    return edge, inside
+
+
+def learn(texts: DataFrame, columns: list[str], names: frozenset[str], top: int = LEXICON) -> tuple[dict[str, int], Forms]:
+    """From all texts of (document_id, title, *columns): the ``top`` most frequent words and compounds with
+    their counts, cut words left out, and the forms of furniture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = LazyRewriter()
-        total: Counter[str] = Counter()
+        form, forms = LazyRewriter(), Forms(names)
+        total: Counter[tuple[str, str]] = Counter()
+        words: Counter[str] = Counter()
 
         def passed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"w": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+            rows = [("w", w, "", n) for w, n in words.items()] + [(k[0], k[1:], d, n) for (k, d), n in total.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            words.clear(), total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "w", "d", "n"])
 
         for whole in batches:
-            for b in slices(whole, list(range(whole.num_columns)), 500):
+            for b in slices(whole, list(range(2, whole.num_columns)), 500):
                 rows = [b.column(j).to_pylist() for j in range(b.num_columns)]
                 # a field that repeats another of its row says nothing new
-                some = [t for row in zip(*rows, strict=True) for t in dict.fromkeys(row) if t]
-                form.meet(some)
-                for t in some:
-                    total.update(_WHOLE.findall(_CUT.sub("\0", form(t.replace("\xad\n", "-\n"))).lower()))
-                if len(total) > FLUSH:
+                kept = [[t for t in dict.fromkeys(row) if t] for row in zip(*rows[2:], strict=True)]
+                form.meet([t for row in kept for t in row])
+                for doc, title, row in zip(rows[0], rows[1], kept, strict=True):
+                    same = [form(t.replace("\xad\n", "-\n")) for t in row]
+                    for t in same:
+                        words.update(_WHOLE.findall(_CUT.sub("\0", t).lower()))
+                    heading = titled(title)
+                    edge, inside = _line_forms(same, forms, heading)
+                    d = xxhash.xxh32_hexdigest(doc or "")
+                    total.update(("e" + k, d) for k in edge)
+                    total.update(("i" + xxhash.xxh3_64_hexdigest(k), "") for k in inside)
+                    if row:
+                        total["p", ""] += 1
+                    if heading is not None:
+                        total["t" + heading[0].rsplit(None, 1)[-1], ""] += 1
+                if len(total) + len(words) > FLUSH:
                     yield passed()
-                    total.clear()
         yield passed()
 
-    counted = texts.select(*columns).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in counted.orderBy(F.desc("n"), "w").limit(top).collect()}
-
-
-def _pages(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names: frozenset[str], schema: str, columns: list[tuple[str, pa.DataType]], make) -> DataFrame:
-    confused = confusions(lexicon)
+    counted = texts.select("document_id", "title", *columns).mapInArrow(run, "kind string, w string, d string, n bigint")
+    counted = counted.groupBy("kind", "w", "d").agg(F.sum("n").alias("n")).groupBy("kind", "w").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).persist()
+    words = {r.w: r.n for r in counted.where("kind = 'w'").orderBy(F.desc("n"), "w").limit(top).collect()}
+    pages = counted.where("kind = 'p'").agg(F.sum("n")).first()[0] or 0
+    # a page has few edge lines, so few forms can stand on that share of all pages
+    often = {r.w: r.n for r in counted.where((F.col("kind") == "e") & (F.col("n") >= PAGES * pages) & (F.col("docs") >= DOCUMENTS)).select("w", "n").collect()}
+    hashes = {xxhash.xxh3_64_hexdigest(w): w for w in often}
+    inside = {hashes[r.w]: r.n for r in counted.where((F.col("kind") == "i") & F.col("w").isin(*hashes)).collect()} if hashes else {}
+    titles = counted.where("kind = 't'").agg(F.sum("n")).first()[0] or 0
+    endings = [r.w for r in counted.where((F.col("kind") == "t") & (F.col("n") > 0.1 * titles)).collect()]
+    counted.unpersist()
+    known = frozenset(w for w, n in often.items() if n >= OUTSIDE * (n + inside.get(w, 0)))
+    return words, Forms(names, known, frozenset(endings))
+
+
+def _pages(texts: DataFrame, fields: list[str], lexicon: dict[str, int], forms: Forms, schema: str, columns: list[tuple[str, pa.DataType]], make, confused: list[tuple[str, str]] | None) -> DataFrame:
+    confused = confusions(lexicon) if confused is None else confused
+    given = (frozenset(forms.listed), forms.known, forms.endings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, form = Lexicon(lexicon, confused), LazyRewriter()
+        lex, form, forms_ = Lexicon(lexicon, confused), LazyRewriter(), Forms(*given)
         for whole in batches:
             for b in slices(whole, list(range(3, whole.num_columns)), 500):
                 data = [b.column(j).to_pylist() for j in range(b.num_columns)]
@@ -546,7 +647,7 @@ def _pages(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names:
                 rows: list[tuple] = []
                 for row, title, page, *values in zip(*data, strict=True):
                     # a field that repeats another of its row is read once
-                    read = {t: Page(t, lex, form, names, title, page) for t in set(values) if t}
+                    read = {t: Page(t, lex, form, forms_, title, page) for t in set(values) if t}
                     for f, t in zip(fields, values, strict=True):
                         make(rows, row, f, t, read.get(t))
                 made = list(zip(*rows, strict=True)) or [[]] * len(columns)
@@ -555,22 +656,23 @@ def _pages(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names:
     return texts.select("row_id", "title", "page", *fields).mapInArrow(run, schema)
 
 
-def notes(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names: frozenset[str]) -> DataFrame:
-    """(row_id, fld, line_no, kind) of every noisy line of the fields."""
+def notes(texts: DataFrame, fields: list[str], lexicon: dict[str, int], forms: Forms, confused: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(row_id, fld, line_no, kind) of every noisy line of the fields; confusions are learnt from the lexicon
+    unless they are given."""
 
     def make(rows: list[tuple], row: int, f: str, t: str | None, page: Page | None) -> None:
         if page is not None:
             rows += [(row, f, n, kind) for n, kind in page.notes()]
 
     columns = [("row_id", pa.int64()), ("fld", pa.string()), ("line_no", pa.int32()), ("kind", pa.string())]
-    return _pages(texts, fields, lexicon, names, "row_id bigint, fld string, line_no int, kind string", columns, make)
+    return _pages(texts, fields, lexicon, forms, "row_id bigint, fld string, line_no int, kind string", columns, make, confused)
 
 
-def repair(texts: DataFrame, fields: list[str], lexicon: dict[str, int], names: frozenset[str]) -> DataFrame:
+def repair(texts: DataFrame, fields: list[str], lexicon: dict[str, int], forms: Forms, confused: list[tuple[str, str]] | None = None) -> DataFrame:
     """(row_id, fld, repaired) of every field."""
 
     def make(rows: list[tuple], row: int, f: str, t: str | None, page: Page | None) -> None:
         rows.append((row, f, None if t is None else page.repaired() if page is not None else ""))
 
     columns = [("row_id", pa.int64()), ("fld", pa.string()), ("repaired", pa.string())]
-    return _pages(texts, fields, lexicon, names, "row_id bigint, fld string, repaired string", columns, make)
+    return _pages(texts, fields, lexicon, forms, "row_id bigint, fld string, repaired string", columns, make, confused)

@@ -76,11 +76,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 _FIELDS = ["text", "pymupdf_text", "pdfplumber_text"]
 
 
-def _page_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str, int], frozenset[str]]:
-    rows = table(spark, d, PAGES, "row_id", "title", "page", *_FIELDS)
+def _page_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], dict[str, int], pages.Forms]:
+    rows = table(spark, d, PAGES, "row_id", "document_id", "title", "page", *_FIELDS)
     # publisher_ref doesn't grow; it names the publishers that running lines show
-    names = frozenset(r.publisher_name.strip().casefold() for r in table(spark, d, "publisher_ref").collect() if r.publisher_name)
-    return rows, _FIELDS, pages.count_words(rows, _FIELDS), names
+    names = frozenset(n.strip().casefold() for r in table(spark, d, "publisher_ref").collect() for n in (r.publisher_name, r.publisher) if n and n.strip())
+    return rows, _FIELDS, *pages.learn(rows, _FIELDS, names)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -47,8 +47,8 @@ def test_nulls_in_any_column(spark):
     assert {(r.train_key, r.eval_key) for r in overlap.overlaps(o).collect()} == {(1, 1)}
     p = spark.createDataFrame([(i, None, g, x, x, None) for i in (None, 2**60 + 1) for g in (None, 3) for x in [*NULLS, PAGE]], "row_id long, title string, page int, text string, pymupdf_text string, pdfplumber_text string")
     fields = ["text", "pymupdf_text", "pdfplumber_text"]
-    assert {r.row_id for r in pages.notes(p, fields, {"people": 9}, frozenset()).collect()} == {None, 2**60 + 1}
-    assert pages.repair(p, fields, {}, frozenset()).count() == 3 * p.count()
+    assert {r.row_id for r in pages.notes(p, fields, {"people": 9}, pages.Forms(frozenset(), frozenset(["- # -"]))).collect()} == {None, 2**60 + 1}
+    assert pages.repair(p, fields, {}, pages.Forms(frozenset())).count() == 3 * p.count()
     d = spark.createDataFrame([(i, x) for i in (None, 2**60 + 1) for x in NULLS], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.ids) for r in tokens.encode(d).collect())[-1][0] == 2**60 + 1
     packed = packing.pack(tokens.lengths(d)).collect()
@@ -281,16 +281,17 @@ def page_rows(spark, *values):
 
 def test_page_notes(spark):
     lexicon = {"people": 500, "programme": 400, "committee": 300, "because": 300, "long-term": 90, "stopped": 100, "term": 50, "long": 60, "outcome": 80, "judged": 80, "anaemia": 90}
-    names = frozenset(["harbour kidney board"])
+    forms = pages.Forms(frozenset(["harbour kidney board"]), frozenset(["~p    #", "- # -"]))
+    confused = [("m", "rn"), ("rn", "m")]
     fields = ["text", "pymupdf_text", "pdfplumber_text"]
     rows = page_rows(spark, PAGE, None, "", "   \n ", "x" * 50_000)
-    got = {(r.line_no, r.kind) for r in pages.notes(rows, fields, lexicon, names).where("row_id = 0 and fld = 'text'").collect()}
+    got = {(r.line_no, r.kind) for r in pages.notes(rows, fields, lexicon, forms, confused).where("row_id = 0 and fld = 'text'").collect()}
     assert got == {(1, "furniture"), (3, "break"), (5, "misread"), (5, "break"), (13, "furniture")}
-    assert pages.notes(rows, fields, lexicon, names).where("row_id between 1 and 3").count() == 0
-    fixed = {(r.row_id, r.fld): r.repaired for r in pages.repair(rows, fields, lexicon, names).collect()}
+    assert pages.notes(rows, fields, lexicon, forms, confused).where("row_id between 1 and 3").count() == 0
+    fixed = {(r.row_id, r.fld): r.repaired for r in pages.repair(rows, fields, lexicon, forms, confused).collect()}
     assert fixed[0, "text"].startswith("People with anaemia were treated with the new programme and the committee judged the long-term outcome. The programme was stopped because of cost.")
     assert "12" not in fixed[0, "text"].split("Table")[0] and fixed[1, "text"] is None and fixed[2, "text"] == ""
-    assert pages.notes(rows.limit(0), fields, lexicon, names).count() == 0
+    assert pages.notes(rows.limit(0), fields, lexicon, forms, confused).count() == 0
 
 
 def test_misreadings_do_not_depend_on_size(spark):
@@ -299,14 +300,52 @@ def test_misreadings_do_not_depend_on_size(spark):
     lexicon = {"people": 32_338, "pe0ple": 157, "peop1e": 146, "most": 9_000, "were": 90_000, "seen": 2_000, "other": 9_000, "not": 50_000, "some": 9_000, "left": 2_000, "their": 20_000, "there": 5_000}
     for scale in (1, 10, 1000):
         larger = {w: n * scale for w, n in lexicon.items()}
-        got = {(r.line_no, r.kind) for r in pages.notes(rows, fields, larger, frozenset()).where("fld = 'text'").collect()}
+        got = {(r.line_no, r.kind) for r in pages.notes(rows, fields, larger, pages.Forms(frozenset()), [("o", "0"), ("l", "1")]).where("fld = 'text'").collect()}
         assert got == {(1, "misread"), (3, "misread")}
-        assert pages.repair(rows, fields, larger, frozenset()).where("fld = 'text'").first().repaired == "Most people were seen. Other people were not. Some people left their people there."
+        assert pages.repair(rows, fields, larger, pages.Forms(frozenset()), [("o", "0"), ("l", "1")]).where("fld = 'text'").first().repaired == "Most people were seen. Other people were not. Some people left their people there."
 
 
-def test_count_words(spark):
-    got = pages.count_words(page_rows(spark, PAGE, PAGE, None, ""), ["text", "pymupdf_text", "pdfplumber_text"])
+def test_learn(spark):
+    rows = page_rows(spark, PAGE, PAGE, None, "").selectExpr("*", "concat('d', row_id) as document_id")
+    got, forms = pages.learn(rows, ["text", "pymupdf_text", "pdfplumber_text"], frozenset(["harbour kidney board"]))
     assert got["people"] == 2 and "com" not in got and "mittee" not in got and got["the"] == 8
+    assert {"~p    #", "- # -"} <= forms.known and not any("people" in f for f in forms.known if f.startswith("name"))
+    empty = pages.learn(rows.limit(0), ["text"], frozenset())
+    assert empty[0] == {} and empty[1].known == frozenset()
+
+
+def test_furniture_recurs_over_documents(spark):
+    """A form at the edges of pages of several documents is furniture; body lines and forms inside pages aren't."""
+    def page(k):
+        return f"Northern Board – part {k}\n\nThe {'abcdefghij'[k]}{'xyzuvwrstq'[k]} group met.\nPoint {k}.2:\nMore {'klmnopqrst'[k]}{'abcdefghij'[k]} text stands here.\n\n{k}"
+
+    values = [(k, f"d{k}", f"Care of {'abcdefghij'[k]}: first edition", k, page(k)) for k in range(10)]
+    rows = spark.createDataFrame(values, "row_id long, document_id string, title string, page int, text string")
+    _, forms = pages.learn(rows, ["text"], frozenset(["northern board"]))
+    assert "~p – part #" in forms.known and "point #.#:" not in forms.known
+    got = {(r.row_id, r.line_no) for r in pages.notes(rows, ["text"], {}, forms).where("kind = 'furniture'").collect()}
+    assert got == {(k, n) for k in range(10) for n in (1, 7)}
+    doubled = rows.unionByName(rows)
+    assert pages.learn(doubled, ["text"], frozenset(["northern board"]))[1].known == forms.known
+
+
+def test_confusions_are_learnt_and_doubling_changes_nothing():
+    words = ["people", "pressure", "programme", "prescribe", "perfect", "chemical", "measure", "evidence", "exercise", "severe"]
+    counts = {w: 5000 + k for k, w in enumerate(words)} | {"bed": 4000, "bad": 3900}
+    counts |= {w[:k] + "c" + w[k + 1 :]: 3 for w in words for k, c in enumerate(w) if c == "e"}
+    confused = pages.confusions(counts)
+    assert confused == [("c", "e"), ("e", "c")]
+    twice = {w: 2 * n for w, n in counts.items()}
+    assert pages.confusions(twice) == confused
+    one, two = pages.Lexicon(counts), pages.Lexicon(twice)
+    for stretch in ([("pcople", " ")], [("mca", "-"), ("sure", " ")], [("severeexercise", " ")], [("evi", " "), ("dence", " ")], [("severe", "-"), ("exercise", " ")], [("pressurcexer", "-"), ("cise", " ")], [("unknowable", " ")]):
+        assert one.decode(stretch) == two.decode(stretch)
+    assert [s[3:] for s in one.decode([("pcople", " ")])] == [("read", "people")]
+    assert [s[3:] for s in one.decode([("mca", "-"), ("sure", " ")])] == [("join", "measure")]
+    assert [s[3:] for s in one.decode([("severeexercise", " ")])] == [("piece", "severe"), ("piece", "exercise")]
+    assert [s[3:] for s in one.decode([("evi", " "), ("dence", " ")])] == [("merge", "evidence")]
+    # run together and cut over a line end at once
+    assert [s[3:] for s in one.decode([("pressurccxer", "-"), ("cise", " ")])] == [("piece", "pressure"), ("join", "exercise")]
 
 
 # 8
