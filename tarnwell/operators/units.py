@@ -1,11 +1,13 @@
 """Quantities recorded in different units, brought to one unit per quantity (problem 6).
 
-``common_claims`` reads the unit of a claim from its unit column, else from its span, and converts.
-Where neither names a unit, the unit is inferred by a physical identity in logarithms,
-``ln value + ln factor(unit) - ln reference = 0``: the reference is another claim of the same chunk and
-quantity if one lies within the tolerance under some candidate unit, else the median of the quantity
-over all claims.  The candidate with the least residual is taken; candidates of another factor that
-fit about as well make it non-unique, which is flagged and leaves the claim without a common value.
+Every claim's unit is chosen by a physical identity in logarithms, ``ln value + ln factor(unit) - ln
+reference = 0``: of the units that the quantity can have, the one of least cost.  The cost is the
+residual of the identity, and ``EVIDENCE`` for a unit that the claim's unit column, or else its span,
+contradicts: a spelling is evidence, and yields where the quantity's values speak against it by more than
+that.  The reference is the median of the quantity over the claims as they are spelled; for a claim that
+names no unit, another claim of the same chunk and quantity within the tolerance goes before it.
+Candidates of another factor that fit about as well make a choice without spelling non-unique, which is
+flagged and leaves the claim without a common value.
 
 ``identity_units`` is the general form: for columns bound by a product identity (mass = density x
 volume), it chooses the combination of units with the least median log residual.
@@ -72,6 +74,8 @@ DIRECTIONS = {
     "equal": ["=", "equal", "equal to", "equals"],
 }
 TOLERANCE = 0.01
+#: what a unit costs that the claim's own spelling contradicts, in nats: its values must be 2,000 times off
+EVIDENCE = math.log(2000.0)
 #: Two candidate units whose log residuals differ by less are not told apart.
 APART = math.log(3.0)
 
@@ -121,7 +125,7 @@ def _bucket(v: Column, tolerance: float = TOLERANCE) -> Column:
 
 def common_claims(claims: DataFrame) -> DataFrame:
     """Every claim with ``direction``, ``unit_key``, ``common_value``, ``common_high``, ``common_unit``
-    and ``unit_source``: column, span, inferred, ambiguous or unknown."""
+    and ``unit_source``: column, span, contradicted (another unit than spelled), inferred, ambiguous or unknown."""
     parsed = claims.select(
         "claim_id", "quantity", "comparator", "value", "value_high", "unit", "document_id", "chunk_id",
         direction(F.col("comparator")).alias("direction"), unit_keys(F.col("unit"), span_unit(F.coalesce("span", F.lit("")))).alias("keys"),
@@ -136,7 +140,35 @@ def common_claims(claims: DataFrame) -> DataFrame:
     )
     base = cut(base)  # read four times below, parsed once
     known = base.where("factor is not null")
-    return _converted(known).unionByName(_converted(_inferred(base.where("factor is null"), known)))
+    medians = known.where("value > 0").groupBy("quantity").agg(F.percentile_approx(F.log(F.col("value") * F.col("factor")), 0.5, 10_000).alias("median"))
+    medians = medians.where(F.col("quantity").isin(*COMMON))  # a row for each quantity of the table above
+    return _converted(_weighed(known, medians)).unionByName(_converted(_inferred(base.where("factor is null"), known, medians)))
+
+
+def _candidates(quantity: Column) -> Column:
+    """The distinct factors of a quantity's units, each with the name of one of them."""
+    return F.create_map(*[
+        x for q, units in _factors().items()
+        for x in (F.lit(q), F.array(*[F.struct(F.lit(f).alias("f"), F.lit(min(u for u, g in units.items() if g == f)).alias("u")) for f in sorted(set(units.values()))]))
+    ])[quantity]
+
+
+def _weighed(known: DataFrame, medians: DataFrame) -> DataFrame:
+    """Claims that spell a unit, with the unit of least cost: no shuffle, a claim meets its quantity's median."""
+    own = F.col("factor")
+
+    def cost(c: Column) -> Column:
+        other = (c["f"] != own).cast("int")
+        return F.struct((F.abs(F.log("value") + F.log(c["f"]) - F.col("median")) + other * F.lit(EVIDENCE)).alias("cost"), other.alias("other"), c["f"].alias("f"), c["u"].alias("u"))
+
+    best = F.array_min(F.transform(_candidates(F.col("quantity")), cost))
+    w = known.join(F.broadcast(medians), "quantity", "left").withColumn("best", F.when((F.col("value") > 0) & F.col("median").isNotNull(), best))
+    changed = F.coalesce(F.col("best.other") == 1, F.lit(False))
+    return w.select(
+        *[c for c in known.columns if c not in ("factor", "unit_key", "unit_source")],
+        F.when(changed, F.col("best.f")).otherwise(own).alias("factor"), F.when(changed, F.col("best.u")).otherwise(F.col("unit_key")).alias("unit_key"),
+        F.when(changed, "contradicted").otherwise(F.col("unit_source")).alias("unit_source"),
+    )
 
 
 def _converted(df: DataFrame) -> DataFrame:
@@ -148,14 +180,11 @@ def _converted(df: DataFrame) -> DataFrame:
     )
 
 
-def _inferred(lost: DataFrame, known: DataFrame) -> DataFrame:
+def _inferred(lost: DataFrame, known: DataFrame, medians: DataFrame) -> DataFrame:
     """Claims without any unit, with the factor of the candidate that fits the identity best."""
-    candidates = F.create_map(*[
-        x for q, units in _factors().items()
-        for x in (F.lit(q), F.array(*[F.struct(F.lit(f).alias("f"), F.lit(min(u for u, g in units.items() if g == f)).alias("u")) for f in sorted(set(units.values()))]))
-    ])
+    candidates = _candidates(F.col("quantity"))
     c = (
-        lost.where("value > 0").select("claim_id", "chunk_id", "quantity", "value", F.explode(candidates[F.col("quantity")]).alias("c"))
+        lost.where("value > 0").select("claim_id", "chunk_id", "quantity", "value", F.explode(candidates).alias("c"))
         .select("claim_id", "chunk_id", "quantity", "c.f", "c.u", F.log(F.col("value") * F.col("c.f")).alias("ln"))
     )
     positive = known.where("value > 0").select("chunk_id", "quantity", (F.col("value") * F.col("factor")).alias("common"))
@@ -167,7 +196,6 @@ def _inferred(lost: DataFrame, known: DataFrame) -> DataFrame:
         .groupBy("claim_id", "f").agg(F.min(F.greatest(F.col("lo") - F.col("ln"), F.col("ln") - F.col("hi"), F.lit(0.0))).alias("residual"))
         .where(F.col("residual") <= math.log1p(TOLERANCE)).withColumn("peer", F.lit(0))
     )
-    medians = positive.groupBy("quantity").agg(F.percentile_approx(F.log("common"), 0.5, 10_000).alias("median"))
     overall = c.join(F.broadcast(medians), "quantity").select("claim_id", "f", F.abs(F.col("ln") - F.col("median")).alias("residual"), F.lit(1).alias("peer"))
     fits = overall.unionByName(beside).groupBy("claim_id", "f").agg(F.min(F.struct("peer", "residual")).alias("fit"))
     chosen = (
@@ -181,7 +209,7 @@ def _inferred(lost: DataFrame, known: DataFrame) -> DataFrame:
             ).alias("tied"),
         )
     )
-    named = F.filter(candidates[F.col("quantity")], lambda x: x["f"] == F.col("best"))
+    named = F.filter(candidates, lambda x: x["f"] == F.col("best"))
     return lost.drop("factor", "unit_key", "unit_source").join(chosen, "claim_id", "left").select(
         "*",
         F.when(~F.col("tied"), F.col("best")).alias("factor"),
@@ -244,3 +272,19 @@ def identity_units(df: DataFrame, by: list[str], columns: dict[str, tuple[float,
         *by, F.map_from_entries(F.col("all")[0]["units"]).alias("units"), F.col("all")[0]["residual"].alias("residual"),
         (F.coalesce(F.get("all", F.lit(1))["residual"], F.lit(math.inf)) - F.col("all")[0]["residual"] > apart).alias("unique"),
     )
+
+
+def spelled_units(claims: DataFrame, apart: float = 0.5) -> DataFrame:
+    """(quantity, spelling, unit, residual, unique): what each spelling of each quantity's unit column is by
+    the identity alone: over all claims that spell it so, the unit whose values fit the quantity's median
+    with the least median residual, by ``identity_units``, and whether no other unit fits about as well."""
+    c = common_claims(claims).where("common_value > 0 and value > 0")
+    medians = c.groupBy("quantity").agg(F.exp(F.percentile_approx(F.log("common_value"), 0.5, 10_000)).alias("reference")).where(F.col("quantity").isin(*COMMON))
+    rows = c.join(F.broadcast(medians), "quantity").select("quantity", F.coalesce(F.lower(F.trim("unit")), F.lit("")).alias("spelling"), "value", "reference")
+    out = None
+    for q, (_, units) in COMMON.items():
+        one = {min(u for u, g in units.items() if g == f): f for f in sorted(set(units.values()))}
+        fit = identity_units(rows.where(F.col("quantity") == q), ["quantity", "spelling"], {"value": (1.0, one), "reference": (-1.0, {"": 1.0})}, apart)
+        fit = fit.select("quantity", "spelling", F.col("units")["value"].alias("unit"), F.round("residual", 4).alias("residual"), "unique")
+        out = fit if out is None else out.unionByName(fit)
+    return out
