@@ -27,6 +27,17 @@ EXPANSIONS = {
     "dialysis": ["kidney", "replacement"],
     "stop": ["discontinue", "suspend"],
 }
+#: how texts name the quantities of claims, as patterns for lower-case text
+QUANTITIES = {
+    "acr": [r"\bacr\b", "albumin", r"mg ?/ ?(?:mmol|g)\b"],
+    "egfr": ["gfr", "filtration", r"ml ?/ ?min"],
+    "ferritin": ["ferritin", r"ng ?/ ?ml"],
+    "haemoglobin": ["ha?emoglobin", r"\bhb\b", r"\bg ?/ ?l\b"],
+    "kidney_failure_risk": ["kidney failure", "risk of failure"],
+    "potassium": ["potassium", "hyperkal", r"mmol ?/ ?l"],
+    "protein_intake": ["protein intake", "dietary protein", r"g ?/ ?kg"],
+    "systolic_blood_pressure": ["systolic", "blood pressure", r"mm ?hg"],
+}
 #: multiplicative priors by kind of chunk
 TYPE_PRIOR = {"recommendation_atom": 1.15, "practice_point": 1.10, "table_row": 1.05, "section_passage": 1.0, "figure_caption": 0.9, "appendix_passage": 0.85}
 #: quality rules of texts: name, pattern

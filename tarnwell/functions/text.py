@@ -17,7 +17,7 @@ STOPWORDS = (
     "before between during each any all some such only also more most other those these been being because while if per"
 ).split()
 SPELLED = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
     "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
     "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
@@ -131,7 +131,7 @@ def plain_number(v: Column) -> Column:
 def spelled_numbers(t: Column) -> Column:
     """Values of spelled numbers such as ``sixty-five`` or ``eleven``, in order."""
     tens, ones = [w for w, v in SPELLED.items() if v >= 20], [w for w, v in SPELLED.items() if v < 20]
-    digits = [w for w in ones if SPELLED[w] < 10]
+    digits = [w for w in ones if 0 < SPELLED[w] < 10]
     pattern = rf"\b(?:(?:{'|'.join(tens)})(?:[ -](?:{'|'.join(digits)}))?|{'|'.join(sorted(ones, key=len, reverse=True))})\b"
     value = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
     return F.transform(

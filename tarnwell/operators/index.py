@@ -24,6 +24,12 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def question_texts(gold: DataFrame, key: str, query: str, relevance: str) -> DataFrame:
+    """(cid, text): of each item that questions are graded for, the questions in the order of their keys."""
+    pairs = gold.where(F.col(query).isNotNull()).select(F.col(key).alias("k"), F.col(query).alias("q"), F.explode(F.map_keys(relevance)).alias("cid"))
+    return pairs.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]), " ").alias("text"))
+
+
 def vocabulary(counts: DataFrame, docs: DataFrame) -> DataFrame:
     """(term, df, idf) over all documents; one row of the corpus size joins by broadcast."""
     n = docs.agg(F.count("*").alias("n_docs"))

@@ -56,12 +56,13 @@ def bands(text: Column) -> Column:
     return F.concat(closed, low, high)
 
 
-def band_signal(values: Column, found: Column) -> Column:
-    """Mean over the values of 0.5 + 0.5 containing / all bands, where a band contains the value."""
+def band_signal(values: Column, found: Column, selectivity: float = 0.5) -> Column:
+    """Mean over the values of 1 - selectivity + selectivity containing / all bands, where a band contains
+    the value."""
 
     def one(v: Column) -> Column:
         n = F.size(F.filter(found, lambda b: (v >= b["lo"]) & (v <= b["hi"])))
-        return F.when(n > 0, 0.5 + 0.5 * n / F.size(found)).otherwise(0.0)
+        return F.when(n > 0, (1 - selectivity) + selectivity * n / F.size(found)).otherwise(0.0)
 
     total = F.aggregate(values, F.lit(0.0), lambda a, v: a + one(v))
     return F.when((F.size(values) == 0) | (F.size(found) == 0), 0.0).otherwise(F.least(total / F.size(values), F.lit(1.0)))

@@ -276,7 +276,7 @@ m AS (SELECT i.qid, CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END
 
 
 def _metrics(spark, d):
-    return metrics.ir_metrics(R.hybrid_search(spark, d).select("qid", "sample_id", "rank"), judged(spark, d), "qid", "sample_id")
+    return metrics.ir_metrics(R.run(spark, d).select("qid", "sample_id", "rank"), judged(spark, d), "qid", "sample_id")
 
 
 @query(f"WITH {METRICS} SELECT qid, round(ndcg, 4) AS ndcg FROM m")
@@ -320,7 +320,7 @@ def total_miss(spark, d):
 
 @query(f"""WITH {R.HYBRID}, {JUDGED} SELECT qid, array_to_string(list_sort(list(sample_id)), ',') AS missed FROM judged ANTI JOIN hybrid USING (qid, sample_id) WHERE grade > 0 GROUP BY qid""")
 def missed_list(spark, d):
-    m = judged(spark, d).where("grade > 0").join(R.hybrid_search(spark, d), ["qid", "sample_id"], "left_anti")
+    m = judged(spark, d).where("grade > 0").join(R.run(spark, d), ["qid", "sample_id"], "left_anti")
     return m.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("missed"))  # the judgements of one query
 
 
@@ -332,7 +332,7 @@ def collapsed_metrics(spark, d):
     f = R.chunks(spark, d).select("sample_id", T.fingerprint(F.col("text")).alias("fp"))
     jf = judged(spark, d).join(f, "sample_id").groupBy("qid", "fp").agg(F.max("grade").alias("grade"))
     w = Window.partitionBy("qid", "fp").orderBy("rank")
-    r = R.hybrid_search(spark, d).join(f, "sample_id").withColumn("rn", F.row_number().over(w))
+    r = R.run(spark, d).join(f, "sample_id").withColumn("rn", F.row_number().over(w))
     gain = F.when(F.col("rn") == 1, F.coalesce("grade", F.lit(0))).otherwise(0)
     return r.join(jf, ["qid", "fp"], "left").groupBy("qid").agg(F.round(F.sum(gain / F.log2(F.col("rank") + 1)), 4).alias("dcg"))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnwell.functions import lexicon as L, text as T
-from tarnwell.operators import fusion, index, signals
+from tarnwell.operators import encoders, fusion, index, search as path, signals
 from tarnwell.plans.text import quoted
-from tarnwell.runtime import cut
 from tarnwell.sources import table
+from tarnwell.sources.store import stored
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -61,11 +61,11 @@ SEARCH = f"{LEXICAL}, {_grams('qc', 'asked', 'qid', 'query')}, {_weights('qw', '
 
 
 def lexical(spark: SparkSession, d: str):
-    """Postings and vocabulary of the chunks."""
+    """Counts, vocabulary and postings of the chunks, written at first use."""
     docs = chunks(spark, d)
-    counts = index.term_counts(docs, "sample_id", "text")
-    vocab = index.vocabulary(counts, docs)
-    return counts, vocab, index.weigh(counts, vocab, "sample_id")
+    counts = stored(spark, "counts", [docs], lambda: index.term_counts(docs, "sample_id", "text"))
+    vocab = stored(spark, "vocabulary", [docs], lambda: index.vocabulary(counts, docs), "term")
+    return counts, vocab, stored(spark, "postings", [docs], lambda: index.weigh(counts, vocab, "sample_id"), "term")
 
 
 def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +141,7 @@ _EXPANSION = "array_to_string(list_filter([label, text2], lambda x: x IS NOT NUL
 SELECT cid, count(*) AS n_terms, round(sum(tf * idf), 4) AS mass FROM xd JOIN v USING (term) GROUP BY cid""")
 def expansion_tfidf(spark, d):
     """A second index over the questions that chunks answer."""
-    g = table(spark, d, "ckd_gold_eval", "case_key", "query", "relevance").where("query is not null")
-    pairs = g.select("case_key", "query", F.explode(F.map_keys("relevance")).alias("cid"))
-    texts = pairs.groupBy("cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_key", "query"))), lambda x: x["query"]), " ").alias("text"))
+    texts = index.question_texts(table(spark, d, "ckd_gold_eval", "case_key", "query", "relevance"), "case_key", "query", "relevance")
     counts = index.term_counts(texts, "cid", "text")
     vocab = index.vocabulary(counts, texts)
     return counts.join(vocab, "term").groupBy("cid").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("mass"))
@@ -175,7 +173,7 @@ def vectors(spark: SparkSession, d: str):
 @query(f"WITH {_VQ}, s AS (SELECT qid, vec_id, {_DOT.format('qv', 'embedding')} AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
 def dense_topk(spark, d):
     e, q = vectors(spark, d)
-    return _top(e.crossJoin(q).select("qid", "vec_id", signals.dot(F.col("qv"), F.col("embedding")).alias("score")), 10, "vec_id")
+    return _top(encoders.nearest(q.withColumnRenamed("qv", "v"), e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10), 10, "vec_id")
 
 
 _HYDE = f"""q AS (SELECT a.vec_id AS qid, a.embedding AS qv, b.embedding AS hv FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % {EVERY} = 0)"""
@@ -190,7 +188,7 @@ def _hyde(spark, d):
 @query(f"WITH {_HYDE}, s AS (SELECT qid, vec_id, greatest({_DOT.format('qv', 'embedding')}, {_DOT.format('hv', 'embedding')}) AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
 def hyde_max(spark, d):
     e, q = _hyde(spark, d)
-    return _top(e.crossJoin(q).select("qid", "vec_id", F.greatest(signals.dot(F.col("qv"), F.col("embedding")), signals.dot(F.col("hv"), F.col("embedding"))).alias("score")), 10, "vec_id")
+    return _top(encoders.nearest(q, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10, ("qv", "hv")), 10, "vec_id")
 
 
 @query(f"""WITH {_HYDE}, m AS (SELECT qid, list_transform(range(1, len(qv) + 1), lambda i: 0.7 * CAST(qv[i] AS DOUBLE) + 0.3 * CAST(hv[i] AS DOUBLE)) AS mv FROM q),
@@ -198,8 +196,9 @@ s AS (SELECT qid, vec_id, {_DOT.format('mv', 'embedding')} / sqrt({_DOT.format('
 def hyde_blend(spark, d):
     e, q = _hyde(spark, d)
     m = q.select("qid", F.zip_with("qv", "hv", lambda a, b: 0.7 * a.cast("double") + 0.3 * b.cast("double")).alias("mv"))
-    m = m.withColumn("norm", F.sqrt(signals.dot(F.col("mv"), F.col("mv"))))
-    return _top(e.crossJoin(m).select("qid", "vec_id", (signals.dot(F.col("mv"), F.col("embedding")) / F.col("norm")).alias("score")), 10, "vec_id")
+    norm = F.sqrt(signals.dot(F.col("mv"), F.col("mv")))
+    m = m.select("qid", T.let(norm, lambda n: F.transform("mv", lambda x: x / n)).alias("v"))
+    return _top(encoders.nearest(m, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10), 10, "vec_id")
 
 
 @query(f"""WITH q AS (SELECT vec_id // {EVERY * 4} AS q, vec_id AS qt, embedding AS v FROM embeddings WHERE vec_id % {EVERY} = 0),
@@ -214,14 +213,14 @@ def maxsim(spark, d):
 # Query understanding
 
 
-_QUANTITY = [("egfr", "egfr|filtration"), ("acr", "albumin-to-creatinine|\\bacr\\b"), ("pressure", "blood pressure"), ("potassium", "potassium"), ("haemoglobin", "haemoglobin")]
+_QUANTITIES = path.quantity_patterns()
 
 
-@query("SELECT case_key, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{n}'" for n, p in _QUANTITY) + " ELSE 'none' END AS quantity FROM ckd_gold_eval WHERE query IS NOT NULL")
+@query("SELECT case_key, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{n}'" for n, p in _QUANTITIES) + " ELSE 'none' END AS quantity FROM ckd_gold_eval WHERE query IS NOT NULL")
 def query_quantity(spark, d):
     low = F.lower("query")
     c = F.lit("none")
-    for n, p in reversed(_QUANTITY):
+    for n, p in reversed(_QUANTITIES):
         c = F.when(low.rlike(p), n).otherwise(c)
     return table(spark, d, "ckd_gold_eval").where("query is not null").select("case_key", c.alias("quantity"))
 
@@ -244,8 +243,8 @@ def metadata_signal(spark, d):
 
 
 def _pool(spark, d) -> DataFrame:
-    """Forty candidates a query; cut, since normalisation reads them twice."""
-    return cut(_top(lexical_scores(spark, d), 40).select("qid", "sample_id", "score"))
+    """Forty candidates a query."""
+    return _top(lexical_scores(spark, d), 40).select("qid", "sample_id", "score")
 
 
 def _meta(spark, d) -> DataFrame:
@@ -253,22 +252,36 @@ def _meta(spark, d) -> DataFrame:
     return p.withColumn("meta", signals.metadata(F.col("query"), F.col("text")))
 
 
-_BANDS = """list_concat(list_transform(range(1, len(r1) + 1), lambda i: {{'lo': r1[i], 'hi': r2[i]}}), list_concat(list_transform(lo, lambda z: {{'lo': CAST(0 AS DOUBLE), 'hi': z}}), list_transform(hi, lambda z: {{'lo': z, 'hi': CAST('Infinity' AS DOUBLE)}})))""".replace("{{", "{").replace("}}", "}")
+_CONFIG = path.Config()
+_WORDS = sorted(T.SPELLED)
+_TENS, _ONES = [w for w, v in T.SPELLED.items() if v >= 20], [w for w, v in T.SPELLED.items() if v < 20]
+SPELLED = rf"\b(?:(?:{'|'.join(_TENS)})(?:[ -](?:{'|'.join(w for w in _ONES if 0 < T.SPELLED[w] < 10)}))?|{'|'.join(sorted(_ONES, key=len, reverse=True))})\b"
+_SPELLED = f"list_transform(regexp_extract_all(lower({{0}}), '{SPELLED}', 0), lambda m: CAST(list_sum(list_transform(regexp_split_to_array(m, '[ -]'), lambda w: {[T.SPELLED[w] for w in _WORDS]}[list_position([{quoted(_WORDS)}], w)])) AS DOUBLE))".replace("{[", "[").replace("]}[", "][")
+_CONTEXT = "CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{p}'" for _, p in _QUANTITIES) + " END"
+_PART = f"""CASE WHEN n = 1 THEN '' WHEN i = 1 THEN right(p, {_CONFIG.context}) WHEN i = n THEN left(p, {_CONFIG.context}) WHEN length(p) <= {2 * _CONFIG.context} THEN p ELSE left(p, {_CONFIG.context}) || chr(10) || right(p, {_CONFIG.context}) END"""
+_BANDS = """list_concat(list_transform(range(1, len(r1) + 1), lambda i: {'lo': r1[i], 'hi': r2[i]}), list_concat(list_transform(lo, lambda z: {'lo': CAST(0 AS DOUBLE), 'hi': z}), list_transform(hi, lambda z: {'lo': z, 'hi': CAST('Infinity' AS DOUBLE)})))"""
 
 
 def _ext(p: str, g: int) -> str:
-    return f"list_transform(regexp_extract_all(lower(text), '{p}', {g}), lambda x: CAST(x AS DOUBLE))"
+    return f"list_transform(regexp_extract_all(near, '{p}', {g}), lambda x: CAST(x AS DOUBLE))"
 
 
-@query(f"""WITH {SEARCH}, {POOL}, x AS (SELECT qid, sample_id, {_NUMBERS.format('query')} AS vs, {_ext(signals.RANGE, 1)} AS r1, {_ext(signals.RANGE, 2)} AS r2, {_ext(signals.LOWER, 1)} AS lo, {_ext(signals.UPPER, 1)} AS hi
- FROM pool JOIN asked USING (qid) JOIN chunks USING (sample_id)), b AS (SELECT qid, sample_id, vs, {_BANDS} AS bands FROM x),
-v AS (SELECT qid, sample_id, len(vs) AS n, bands, unnest(vs) AS v FROM b WHERE len(bands) > 0),
-s AS (SELECT qid, sample_id, n, CASE WHEN len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) > 0 THEN 0.5 + 0.5 * len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) / len(bands) ELSE 0 END AS one FROM v)
-SELECT qid, sample_id, round(least(sum(one) / any_value(n), 1.0), 6) AS band FROM s GROUP BY qid, sample_id HAVING round(least(sum(one) / any_value(n), 1.0), 6) > 0""")
+def _band_sql(name: str, pool: str) -> str:
+    """(qid, sample_id, band) of the pool's pairs, in CTEs that start with ``name``."""
+    return f"""{name}_c AS (SELECT qid, sample_id, list_concat({_NUMBERS.format('query')}, {_SPELLED.format('query')}) AS vs, lower(text) AS text, {_CONTEXT} AS context FROM {pool} JOIN asked USING (qid) JOIN chunks USING (sample_id)),
+{name}_s AS (SELECT qid, sample_id, vs, text, context, CASE WHEN context IS NOT NULL THEN string_split_regex(text, context) END AS parts, len(CASE WHEN context IS NOT NULL THEN string_split_regex(text, context) END) AS n FROM {name}_c),
+{name}_n AS (SELECT qid, sample_id, vs, CASE WHEN context IS NULL THEN text ELSE array_to_string(list_transform(parts, lambda p, i: {_PART}), chr(10)) END AS near FROM {name}_s),
+{name}_x AS (SELECT qid, sample_id, vs, {_ext(signals.RANGE, 1)} AS r1, {_ext(signals.RANGE, 2)} AS r2, {_ext(signals.LOWER, 1)} AS lo, {_ext(signals.UPPER, 1)} AS hi FROM {name}_n),
+{name}_b AS (SELECT qid, sample_id, vs, {_BANDS} AS bands FROM {name}_x),
+{name} AS (SELECT qid, sample_id, CASE WHEN len(vs) = 0 OR len(bands) = 0 THEN 0.0 ELSE least(list_sum(list_transform(vs, lambda v: CASE WHEN len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) > 0
+  THEN {1 - _CONFIG.selectivity} + {_CONFIG.selectivity} * len(list_filter(bands, lambda b: v >= b.lo AND v <= b.hi)) / len(bands) ELSE 0.0 END)) / len(vs), 1.0) END AS band FROM {name}_b)"""
+
+
+@query(f"WITH {SEARCH}, {POOL}, {_band_sql('bd', 'pool')} SELECT qid, sample_id, round(band, 6) AS band FROM bd WHERE round(band, 6) > 0")
 def numeric_band(spark, d):
+    """Values of the query, in digits or words, in bands that a chunk states near the quantity asked for."""
     p = _pool(spark, d).join(asked(spark, d).select("qid", "query"), "qid").join(chunks(spark, d).select("sample_id", "text"), "sample_id")
-    b = p.select("qid", "sample_id", T.numbers(F.col("query")).alias("vs"), signals.bands(F.col("text")).alias("bands"))
-    return b.select("qid", "sample_id", F.round(signals.band_signal(F.col("vs"), F.col("bands")), 6).alias("band")).where("band > 0")
+    return p.select("qid", "sample_id", F.round(path.band(F.col("query"), F.col("text"), _CONFIG), 6).alias("band")).where("band > 0")
 
 
 # Fusion over the listed scores
@@ -387,19 +400,103 @@ def candidate_pool(spark, d):
     return topn_per_query(spark, d).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-# The search path: lexical pool, metadata, fusion, priors, top ten
+# The search path: see operators/search.py
+
+
+_XV = "xv AS (SELECT term, ln((1.0 + (SELECT count(*) FROM ex)) / (1.0 + count(*))) + 1 AS idf FROM xd GROUP BY term)"
+_SIGNED = "sum(CASE WHEN substr(md5(t), 3, 1) < '8' THEN 1.0 ELSE -1.0 END)"
+
+
+def _hashed_sql(name: str, source: str, key: str, text: str) -> str:
+    return f"""{name}_t AS (SELECT {key}, unnest({_TERMS.format(text)}) AS t FROM {source}), {name}_r AS (SELECT {key}, ('0x' || substr(md5(t), 1, 2))::INT % 64 AS dim, {_SIGNED} AS x FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT {key}, dim, coalesce(x / nullif(sqrt(sum(x * x) OVER (PARTITION BY {key})), 0), 0) AS x FROM {name}_r)"""
+
+
+def _named(source: str) -> str:
+    return f"SELECT qid, sample_id FROM (SELECT qid, sample_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, sample_id) AS r FROM {source}) WHERE r <= {_CONFIG.pool}"
+
+
+def _meta_sql(q: str) -> str:
+    want = _CONTENT.format(q)
+    return f"""0.40 * (CASE WHEN len({want}) = 0 THEN 0.0 ELSE CAST(len(list_filter({want}, lambda w: contains(lower(text), w))) AS DOUBLE) / len({want}) END) * (CASE WHEN length(text) > 600 THEN sqrt(600.0 / length(text)) ELSE 1.0 END)
+ + 0.15 * least(CAST(len(list_filter({_STATED}, lambda v: contains(lower(replace({q}, ' ', '')), v))) AS DOUBLE) / 3.0, 1.0)
+ + 0.10 * (CASE WHEN len({_NUMBERS.format(q)}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({_NUMBERS.format(q)}, {_NUMBERS.format('text')})) AS DOUBLE) / len(list_distinct({_NUMBERS.format(q)})) END)"""
+
+
+_W = _CONFIG.weights
+_JACCARD = f"(CASE WHEN len({_TERMS.format('query')}) + len({_TERMS.format('text')}) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct({_TERMS.format('query')}), list_distinct({_TERMS.format('text')}))) AS DOUBLE) / len(list_distinct(list_concat({_TERMS.format('query')}, {_TERMS.format('text')}))) END)"
+RANKED = f"""{SEARCH}, wider AS (SELECT qid, query, query || ' ' || array_to_string(list_sort({_ADDED}), ' ') AS wide FROM asked),
+ex AS (SELECT id AS cid, string_agg(query, ' ' ORDER BY case_key) AS text FROM (SELECT case_key, query, unnest(map_keys(relevance)) AS id FROM ckd_gold_eval WHERE query IS NOT NULL) GROUP BY id),
+{_grams('xd', 'ex', 'cid', 'text')}, {_XV}, xr AS (SELECT cid, term, tf * idf AS raw FROM xd JOIN xv USING (term)), xw AS (SELECT cid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cid)) AS w FROM xr),
+xqr AS (SELECT qid, term, tf * idf AS raw FROM qc JOIN xv USING (term)), xq AS (SELECT qid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY qid)) AS w FROM xqr),
+dq AS (SELECT qid, sample_id, sum(xq.w * xw.w) AS score FROM xq JOIN xw USING (term) JOIN chunks ON id = cid GROUP BY qid, sample_id),
+{_hashed_sql('dv', 'chunks', 'sample_id', 'text')}, {_hashed_sql('qv', 'asked', 'qid', 'query')}, dp AS (SELECT qid, sample_id, sum(qv.x * dv.x) AS score FROM qv JOIN dv USING (dim) GROUP BY qid, sample_id),
+dn AS (SELECT qid, sample_id, round(coalesce(dp.score, 0), 9) AS score FROM (SELECT qid, sample_id FROM asked, chunks) LEFT JOIN dp USING (qid, sample_id)),
+pool AS ({_named('lex')} UNION {_named('dq')} UNION {_named('dn')}), {_band_sql('bd', 'pool')},
+sg AS (SELECT qid, sample_id, coalesce(round(lex.score, 9), 0) AS tfidf, dn.score AS dense, coalesce(round(dq.score, 9), 0) AS asked_, band, round({_meta_sql('wide')} + 0.35 * band, 9) AS meta, {_JACCARD} AS jac, id, text, chunk_type
+ FROM pool JOIN wider USING (qid) JOIN chunks USING (sample_id) JOIN bd USING (qid, sample_id) LEFT JOIN lex USING (qid, sample_id) LEFT JOIN dn USING (qid, sample_id) LEFT JOIN dq USING (qid, sample_id)),
+sn AS (SELECT qid, sample_id, {_mm('tfidf', 'PARTITION BY qid')} AS tfidf, {_mm('dense', 'PARTITION BY qid')} AS dense, {_mm('asked_', 'PARTITION BY qid')} AS asked, band, meta, jac,
+ coalesce(CASE chunk_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_PRIOR.items())} END, 1.0)::DOUBLE AS prior_kind, 1.0 + {_CONFIG.band_prior} * band AS prior_band,
+ (CASE WHEN regexp_matches(lower(text), 'doi:|et al[.]') THEN 0.55 ELSE 1.0 END * CASE WHEN contains(lower(id), 'reference') THEN 0.65 ELSE 1.0 END)::DOUBLE AS prior_quality FROM sg),
+sf AS (SELECT *, round(({_W['tfidf']} * tfidf + {_W['dense']} * dense + {_W['asked']} * asked + {_W['meta']} * meta + {_W['band']} * band) / {sum(_W.values())} * prior_kind * prior_band * prior_quality, 9) AS fused FROM sn),
+sp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, sample_id) AS place FROM sf),
+sh AS (SELECT *, CASE WHEN place <= {_CONFIG.head} THEN jac END AS rr FROM sp WHERE place <= {_CONFIG.pool}),
+ranked AS (SELECT *, CASE WHEN place <= {_CONFIG.head} THEN (fused + {_CONFIG.rerank} * {_mm('rr', 'PARTITION BY qid')}) / {1 + _CONFIG.rerank} ELSE fused / {1 + _CONFIG.rerank} END AS score FROM sh)"""
+HYBRID = f"{RANKED}, hybrid AS ({_top_sql('ranked')})"
 
 
-HYBRID = f"""{SEARCH}, {POOL}, {META}, hs AS (SELECT qid, sample_id, pool.score AS lex, round(meta, 9) AS meta FROM pool JOIN meta USING (qid, sample_id)),
-hn AS (SELECT qid, sample_id, {_mm('lex', 'PARTITION BY qid')} AS lex, {_mm('meta', 'PARTITION BY qid')} AS meta FROM hs),
-hf AS (SELECT qid, sample_id, (0.6 * lex + 0.4 * meta) * coalesce(CASE chunk_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in L.TYPE_PRIOR.items())} END, 1.0) AS score FROM hn JOIN chunks USING (sample_id)),
-hybrid AS ({_top_sql('hf')})"""
+def asked_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, sample_id, score): the queries against the questions that chunks answer."""
+    gold = table(spark, d, "ckd_gold_eval", "case_key", "query", "relevance")
+    texts = index.question_texts(gold, "case_key", "query", "relevance")
+    counts = stored(spark, "asked-counts", [gold], lambda: index.term_counts(texts, "cid", "text"))
+    vocab = stored(spark, "asked-vocabulary", [gold], lambda: index.vocabulary(counts, counts.select("cid").distinct()), "term")
+    postings = stored(spark, "asked-postings", [gold], lambda: index.weigh(counts, vocab, "cid"), "term")
+    q = index.weigh(index.term_counts(asked(spark, d), "qid", "query"), vocab, "qid")
+    scores = index.cosine(q, postings, "qid", "cid")
+    return scores.join(chunks(spark, d).select(F.col("id").alias("cid"), "sample_id"), "cid").select("qid", "sample_id", "score")
+
+
+def ranked(spark: SparkSession, d: str, config: path.Config | None = None) -> DataFrame:
+    """All candidates of the search: see ``operators.search.search``."""
+    q = asked(spark, d).withColumn("wide", F.concat_ws(" ", "query", F.array_join(F.array_sort(signals.expand(F.col("query"), L.EXPANSIONS)), " "))).select("qid", "query", "wide")
+    docs = chunks(spark, d)
+    vectors = stored(spark, "vectors", [docs], lambda: encoders.encode(docs, "sample_id", "text"), "sample_id")
+    rounded = F.round("score", 9).alias("score")
+    scores = {"tfidf": lexical_scores(spark, d).select("qid", "sample_id", rounded), "asked": asked_scores(spark, d).select("qid", "sample_id", rounded)}
+    shown = docs.select("sample_id", F.col("id").alias("name"), "text", F.col("chunk_type").alias("kind"))
+    return path.search(q, shown, scores, "qid", "sample_id", (encoders.encode(q, "qid", "query", role="query"), vectors), config)
 
 
 @query(f"WITH {HYBRID} SELECT * FROM hybrid")
 def hybrid_search(spark, d):
-    m = _meta(spark, d).select("qid", "sample_id", F.col("score").alias("lex"), F.round("meta", 9).alias("meta"), "chunk_type")
-    scaled = fusion.minmax(m, "qid", ["lex", "meta"])
-    prior = F.create_map(*[F.lit(x) for kv in L.TYPE_PRIOR.items() for x in kv])[F.coalesce("chunk_type", F.lit("none"))]
-    score = fusion.fold_priors(0.6 * F.col("lex") + 0.4 * F.col("meta"), [F.coalesce(prior, F.lit(1.0))])
-    return _top(scaled.select("qid", "sample_id", score.alias("score")))
+    """The search up to the rerank: ten best of each query."""
+    return _top(ranked(spark, d))
+
+
+def run(spark: SparkSession, d: str) -> DataFrame:
+    """The search's results as a run, written once and read by what measures it."""
+    inputs = [chunks(spark, d), table(spark, d, "ckd_gold_eval"), table(spark, d, "heldout_chunkfirst")]
+    return stored(spark, "run", inputs, lambda: hybrid_search(spark, d))
+
+
+_PARTS = ["tfidf", "dense", "asked", "meta", "band", "prior_kind", "prior_band", "prior_quality"]
+
+
+@query(f"WITH {RANKED} SELECT qid, sample_id, CAST(place AS INT) AS place, round(fused, 6) AS fused, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PARTS) + " FROM ranked WHERE place <= 30")
+def search_explain(spark, d):
+    """What each candidate of the head owes to each signal and prior."""
+    r = ranked(spark, d).where("place <= 30")
+    return r.select("qid", "sample_id", "place", F.round("fused", 6).alias("fused"), *[F.col("explain")[c].alias(c) for c in _PARTS])
+
+
+@query()
+def search(spark, d):
+    """The whole search: the candidates diversified by section, repeated texts left out, each with its text."""
+    r = ranked(spark, d)
+    # the section of a chunk: its document and page, as its name tells
+    pool = r.select("qid", "sample_id", F.round("score", 6).alias("score"), F.regexp_extract("name", r"^(.*?_p[0-9]+)_", 1).alias("section"), T.stated_values(F.col("text")).alias("stated"), T.fingerprint(F.col("text"), 160).alias("fp"), "text")
+    best = Window.partitionBy("qid", "fp").orderBy(F.desc("score"), "sample_id")
+    once = pool.withColumn("n", F.row_number().over(best)).where("n = 1 or fp = ''")
+    picked = fusion.diversify(once, "qid", "sample_id", "section", "score", "stated")
+    return picked.join(chunks(spark, d).select("sample_id", "id", "text"), "sample_id").select("qid", "position", "sample_id", "id", F.round("worth", 6).alias("worth"), T.snippet(F.col("text")).alias("snippet"))
