@@ -57,3 +57,9 @@ SCOPES = {
     "dosing": r"\bdose|dosage|mg per day",
 }
 DOMAIN = r"kidney|renal|egfr|creatinine|albumin|dialysis|protein|potassium|haemoglobin|ferritin|pressure|urin|neph"
+#: questions that are refused, in this order, and what lifts the first
+REFUSED = {"emergency": r"unconscious|collaps|chest pain|seizure|bleeding heavily", "self_harm": r"kill myself|overdose on purpose", "record": r"my (?:test )?results|my record"}
+POST_ACUTE = r"after (?:the )?(?:discharge|recovery|emergency)|has recovered|last (?:week|month|year)|follow-up"
+SPECIALTIES = r"fracture|cataract|asthma|eczema|migraine"
+#: kinds of chunks that may be quoted
+QUOTABLE = ["recommendation_atom", "practice_point", "table_row", "section_passage"]

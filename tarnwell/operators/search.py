@@ -24,7 +24,9 @@ class Config:
     scaled: tuple[str, ...] = ("tfidf", "dense", "asked")
     band_prior: float = 0.40
     quality: bool = True
+    #: candidates that each signal names, and candidates kept after fusion
     pool: int = 120
+    cut: int = 120
     head: int = 30
     rerank: float = 1.0
     context: int = 70
@@ -99,7 +101,7 @@ def fuse(pool: DataFrame, by: str, config: Config, priors: dict[str, Column]) ->
 def rerank(fused: DataFrame, by: str, key: str, score: Column, config: Config) -> DataFrame:
     """The candidates left after the cut, the head of each query blended with a second score."""
     order = Window.partitionBy(by).orderBy(F.desc("fused"), key)
-    kept = fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.pool)
+    kept = fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= config.cut)
     head = F.col("place") <= config.head
     kept = kept.withColumn("rerank", F.when(head, score))
     second = scale(F.col("rerank"), Window.partitionBy(by))
@@ -120,15 +122,16 @@ def search(queries: DataFrame, docs: DataFrame, scores: dict[str, DataFrame], qk
     pool = named[0]
     for one in named[1:]:
         pool = pool.unionByName(one)
-    pool = pool.distinct()
-    for name, s in scores.items():
-        pool = pool.join(s.select(qkey, key, F.col("score").alias(name)), [qkey, key], "left")
+    # texts are read where the pool is spread evenly, whatever its size in bytes
+    pool = pool.distinct().repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     pool = pool.join(docs, key).join(queries, qkey)
     if vectors is not None:
         q, v = vectors
         pool = pool.join(v, key).join(q.withColumnRenamed("v", "qv"), qkey).withColumn("dense", F.round(signals.dot(F.col("qv"), F.col("v")), 9)).drop("qv", "v")
     pool = pool.withColumn("band", band(F.col("query"), F.col("text"), config))
     pool = pool.withColumn("meta", F.round(signals.metadata(F.col("wide"), F.col("text")) + 0.35 * F.col("band"), 9))
+    for name, s in scores.items():
+        pool = pool.join(s.select(qkey, key, F.col("score").alias(name)), [qkey, key], "left")
     prior = F.create_map(*[F.lit(x) for kv in L.TYPE_PRIOR.items() for x in kv])[F.coalesce("kind", F.lit("none"))]
     priors = {
         "kind": F.coalesce(prior, F.lit(1.0)), "band": 1.0 + config.band_prior * F.col("band"),

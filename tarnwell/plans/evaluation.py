@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwell.functions import lexicon as L, text as T
-from tarnwell.operators import fusion, metrics
+from tarnwell.operators import metrics, search as path
 from tarnwell.plans import retrieval as R
 from tarnwell.plans.text import SQUEEZE
 from tarnwell.sources import table
+from tarnwell.sources.store import stored
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -337,38 +338,128 @@ def collapsed_metrics(spark, d):
     return r.join(jf, ["qid", "fp"], "left").groupBy("qid").agg(F.round(F.sum(gain / F.log2(F.col("rank") + 1)), 4).alias("dcg"))
 
 
-@query("""SELECT should_abstain, count(*) AS n, round(avg(cardinality(relevance)), 6) AS mean_judged FROM ckd_gold_eval GROUP BY should_abstain""")
+@query(f"""WITH {R.HYBRID}, g AS (SELECT case_key AS qid, should_abstain FROM ckd_gold_eval UNION ALL SELECT case_key, should_abstain FROM heldout_chunkfirst)
+SELECT should_abstain, count(*) AS n, round(avg(score), 6) AS mean_top FROM hybrid JOIN g USING (qid) WHERE rank = 1 GROUP BY should_abstain""")
 def abstention_separation(spark, d):
-    return table(spark, d, "ckd_gold_eval").groupBy("should_abstain").agg(F.count("*").alias("n"), F.round(F.avg(F.size("relevance")), 6).alias("mean_judged"))
+    """How far the best scores of questions without an answer lie below those of the others."""
+    own = ["case_key", "should_abstain"]
+    g = table(spark, d, "ckd_gold_eval", *own).unionByName(table(spark, d, "heldout_chunkfirst", *own)).withColumnRenamed("case_key", "qid")
+    return R.run(spark, d).where("rank = 1").join(g, "qid").groupBy("should_abstain").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_top"))
+
+
+@query(f"""WITH {R.RANKED}, h AS ({R._top_sql('ranked', 20)}), {JUDGED}, f AS (SELECT qid, count(*) FILTER (rank <= 10) AS f10, count(*) AS f20 FROM h JOIN judged USING (qid, sample_id) WHERE grade > 0 GROUP BY qid), r AS (SELECT qid, count(*) AS n FROM judged WHERE grade > 0 GROUP BY qid)
+SELECT qid, round(coalesce(f10, 0) / n, 6) AS recall10, round(coalesce(f20, 0) / n, 6) AS recall20 FROM r LEFT JOIN f USING (qid)""")
+def recall_at_20(spark, d):
+    j = judged(spark, d).where("grade > 0")
+    hit = R.run(spark, d, 20).join(j, ["qid", "sample_id"]).groupBy("qid").agg(F.count_if(F.col("rank") <= 10).alias("a"), F.count("*").alias("b"))
+    r = j.groupBy("qid").agg(F.count("*").alias("n")).join(hit, "qid", "left")
+    return r.select("qid", F.round(F.coalesce("a", F.lit(0)) / F.col("n"), 6).alias("recall10"), F.round(F.coalesce("b", F.lit(0)) / F.col("n"), 6).alias("recall20"))
+
+
+#: variants of the search: weights of its signals, weight and depth of the rerank
+_USUAL = path.Config()
+_ON = {**_USUAL.weights, "rerank": _USUAL.rerank, "head": float(_USUAL.head)}
+VARIANTS = {"usual": _ON} | {f"no_{s}": {**_ON, s: 0.0} for s, w in _USUAL.weights.items() if w} | {"with_band": {**_ON, "band": 0.30}, "no_rerank": {**_ON, "rerank": 0.0}}
+SWEEP = {"usual": _ON} | {f"tfidf_{k}": {**_ON, "tfidf": k / 10, "dense": 0.6 - k / 10} for k in range(1, 6)} | {f"meta_{k}": {**_ON, "meta": k / 10} for k in (0, 1, 5, 7)}
+SWEEP |= {f"asked_{k}": {**_ON, "asked": k / 100} for k in (5, 30, 50)} | {f"band_{k}": {**_ON, "band": k / 100} for k in (10, 25, 50)} | {f"head_{k}": {**_ON, "head": float(k)} for k in (0, 10, 50)} | {f"rerank_{k}": {**_ON, "rerank": k / 10} for k in (0, 5, 20)}
+
+
+def _variants_sql(variants: dict[str, dict[str, float]]) -> str:
+    rows = ", ".join(f"('{n}', " + ", ".join(f"{v[c]}::DOUBLE" for c in _ON) + ")" for n, v in variants.items())
+    on = "PARTITION BY name, qid"
+    return f"""{R.RANKED}, {JUDGED}, v(name, {", ".join(f"w_{c}" for c in _ON)}) AS (VALUES {rows}),
+vf AS (SELECT name, w_rerank, w_head, qid, sample_id, jac, round((w_tfidf * tfidf + w_dense * dense + w_asked * asked + w_meta * meta + w_band * band) / (w_tfidf + w_dense + w_asked + w_meta + w_band) * prior_kind * prior_band * prior_quality, 9) AS fused FROM sn, v),
+vp AS (SELECT *, row_number() OVER ({on} ORDER BY fused DESC, sample_id) AS place FROM vf), vh AS (SELECT *, CASE WHEN place <= w_head THEN jac END AS rr FROM vp),
+vs AS (SELECT name, qid, sample_id, round(CASE WHEN place <= w_head THEN (fused + w_rerank * {R._mm('rr', on)}) / (1 + w_rerank) ELSE fused / (1 + w_rerank) END, 6) AS score FROM vh),
+vt AS (SELECT name, qid, sample_id, row_number() OVER ({on} ORDER BY score DESC, sample_id) AS rank FROM vs), vg AS (SELECT name, qid, sum(grade / log2(rank + 1)) AS dcg FROM vt JOIN judged USING (qid, sample_id) WHERE rank <= 10 GROUP BY ALL),
+videal AS (SELECT qid, sum(grade / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, sample_id) AS r FROM judged) WHERE r <= 10 GROUP BY qid HAVING sum(grade) > 0),
+vm AS (SELECT name, qid, coalesce(dcg, 0) / ideal AS ndcg FROM videal CROSS JOIN (SELECT name FROM v) LEFT JOIN vg USING (name, qid))"""
+
+
+def _scaled(spark, d):
+    """The candidates' scaled signals, priors and overlap, written once: variants differ in how they weigh them."""
+    r = R.ranked(spark, d, path.Config(cut=1_000_000, head=1_000_000))
+    cols = ["qid", "sample_id", "tfidf", "dense", "asked", "meta", "band", "prior_kind", "prior_band", "prior_quality"]
+    return stored(spark, "signals", [R.chunks(spark, d), table(spark, d, "ckd_gold_eval"), table(spark, d, "heldout_chunkfirst")], lambda: r.select(*cols, F.col("rerank").alias("jac")))
+
+
+def variant_metrics(spark, d, variants: dict[str, dict[str, float]]) -> DataFrame:
+    """(name, qid, ndcg) of every variant in one plan: a table of configurations meets the scaled signals."""
+    config = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(float(v[c])).alias(c) for c in _ON]) for n, v in variants.items()]))
+    f = _scaled(spark, d).withColumn("v", config).withColumn("name", F.col("v.name"))
+    signals_ = list(_USUAL.weights)
+    fused = sum(F.col(f"v.{c}") * F.col(c) for c in signals_) / sum(F.col(f"v.{c}") for c in signals_) * F.col("prior_kind") * F.col("prior_band") * F.col("prior_quality")
+    by = ["name", "qid"]
+    p = f.withColumn("fused", F.round(fused, 9)).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("fused"), "sample_id")))
+    head = F.col("place") <= F.col("v.head")
+    p = p.withColumn("rr", F.when(head, F.col("jac")))
+    second = path.scale(F.col("rr"), Window.partitionBy(*by))
+    p = p.withColumn("score", F.round(F.when(head, F.col("fused") + F.col("v.rerank") * second).otherwise(F.col("fused")) / (1 + F.col("v.rerank")), 6))
+    t = p.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "sample_id"))).where("rank <= 10").select("name", "qid", "sample_id", "rank")
+    j = judged(spark, d)
+    dcg = t.join(j, ["qid", "sample_id"]).groupBy(*by).agg(F.sum(F.col("grade") / F.log2(F.col("rank") + 1)).alias("dcg"))
+    best = j.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "sample_id"))).where("r <= 10")
+    ideal = best.groupBy("qid").agg(F.sum(F.col("grade") / F.log2(F.col("r") + 1)).alias("ideal"), F.sum("grade").alias("g")).where("g > 0")
+    every = ideal.select("qid", "ideal", F.explode(F.array(*map(F.lit, variants))).alias("name"))
+    return every.join(dcg, by, "left").select("name", "qid", (F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg"))
+
+
+@query(f"""WITH {_variants_sql(VARIANTS)}, x AS (SELECT m.name, m.qid, m.ndcg, u.ndcg AS usual FROM vm m JOIN vm u ON u.qid = m.qid AND u.name = 'usual')
+SELECT name, round(avg(ndcg), 6) AS ndcg, round(avg(ndcg - usual), 6) AS delta, CASE WHEN max(abs(ndcg - usual)) < 1e-9 THEN 'inert' ELSE 'matters' END AS status FROM x GROUP BY name""")
+def ablation(spark, d):
+    """What each component of the search is worth in nDCG."""
+    m = variant_metrics(spark, d, VARIANTS)
+    u = m.where("name = 'usual'").select("qid", F.col("ndcg").alias("usual"))
+    delta = F.col("ndcg") - F.col("usual")
+    return m.join(u, "qid").groupBy("name").agg(
+        F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg(delta), 6).alias("delta"), F.when(F.max(F.abs(delta)) < 1e-9, "inert").otherwise("matters").alias("status"),
+    )
 
 
-_CONFIGS = [("even", 0.5, 0.5), ("usual", 0.42, 0.58), ("no_tfidf", 0.0, 1.0), ("no_dense", 1.0, 0.0)]
+_SLICED = "c AS (SELECT case_key AS qid, lower(trim(slice)) AS slice FROM ckd_gold_eval UNION ALL SELECT case_key, 'heldout' FROM heldout_chunkfirst), s AS (SELECT name, CASE WHEN slice = 'dev' THEN 'dev' ELSE 'evaluation' END AS slice, round(avg(ndcg), 6) AS ndcg FROM vm JOIN c USING (qid) WHERE slice IS NOT NULL GROUP BY ALL)"
 
 
-@query(f"""WITH {R.SCALED}, c(name, wt, wd) AS (VALUES {", ".join(f"('{n}', {a}, {b})" for n, a, b in _CONFIGS)}), f AS (SELECT name, query_id, chunk_id, round((wt * tfidf + wd * dense) / (wt + wd), 9) AS fused FROM scaled, c),
-t AS (SELECT name, query_id, chunk_id, row_number() OVER (PARTITION BY name, query_id ORDER BY fused DESC, chunk_id) AS r FROM f), p AS (SELECT query_id, id AS chunk_id, rank FROM {PACK})
-SELECT name, round(avg(CASE WHEN p.rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS in_pack FROM t LEFT JOIN p USING (query_id, chunk_id) WHERE r <= 5 GROUP BY name""")
-def ablation(spark, d):
-    """Every variant of the fusion weights in one plan: a table of configurations joins the scaled scores."""
-    scaled = fusion.minmax(R.listed(spark, d), "query_id", ["tfidf", "dense"])
-    configs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("wt"), F.lit(b).alias("wd")) for n, a, b in _CONFIGS]))
-    f = scaled.select("query_id", "chunk_id", "tfidf", "dense", configs.alias("c"))
-    f = f.select("query_id", "chunk_id", "c.name", F.round((F.col("c.wt") * F.col("tfidf") + F.col("c.wd") * F.col("dense")) / (F.col("c.wt") + F.col("c.wd")), 9).alias("fused"))
-    t = f.withColumn("r", F.row_number().over(Window.partitionBy("name", "query_id").orderBy(F.desc("fused"), "chunk_id"))).where("r <= 5")
-    p = table(spark, d, PACK).select("query_id", F.col("id").alias("chunk_id"), F.lit(1).alias("hit"))
-    return t.join(p, ["query_id", "chunk_id"], "left").groupBy("name").agg(F.round(F.avg(F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)), 6).alias("in_pack"))
+def _sliced(spark, d):
+    c = table(spark, d, "ckd_gold_eval").select(F.col("case_key").alias("qid"), F.lower(F.trim("slice")).alias("slice")).unionByName(table(spark, d, "heldout_chunkfirst").select(F.col("case_key").alias("qid"), F.lit("heldout").alias("slice")))
+    m = variant_metrics(spark, d, SWEEP).join(c.where("slice is not null"), "qid")
+    return m.groupBy("name", F.when(F.col("slice") == "dev", "dev").otherwise("evaluation").alias("slice")).agg(F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
-@query()
+@query(f"WITH {_variants_sql(SWEEP)}, {_SLICED} SELECT * FROM s")
+def sweeps(spark, d):
+    """A grid over weights, band weight, rerank depth and rerank weight, for the split that chooses and those that confirm."""
+    return _sliced(spark, d)
+
+
+@query(f"WITH {_variants_sql(SWEEP)}, {_SLICED}, b AS (SELECT arg_min(name, (-ndcg, name)) AS name FROM s WHERE slice = 'dev') SELECT name, slice, ndcg FROM s JOIN b USING (name)")
+def sweep_choice(spark, d):
+    """The variant that the training split chooses, with what the evaluation splits say of it."""
+    s = _sliced(spark, d)
+    b = s.where("slice = 'dev'").agg(F.min_by("name", F.struct(-F.col("ndcg"), "name")).alias("name"))  # one row
+    return s.join(F.broadcast(b), "name").select("name", "slice", "ndcg")
+
+
+def _bootstrap_sql(values: str, key: str, value: str, resamples: int = 3_000) -> str:
+    weight = " + ".join(f"(u > {c!r})::INT" for c in metrics.POISSON)
+    return f"""bu AS (SELECT {value} AS v, r, (('0x' || substr(md5({key} || '|' || r || '|17'), 1, 7))::BIGINT + 0.5) / {float(1 << 28)} AS u FROM {values}, range(1, {resamples + 1}) t(r)),
+bm AS (SELECT r, sum(v * ({weight})) / sum({weight}) AS m FROM bu GROUP BY r), bs AS (SELECT (SELECT avg({value}) FROM {values}) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm)"""
+
+
+@query(f"WITH {METRICS}, {_bootstrap_sql('m', 'qid', 'ndcg')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM bs")
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap(_metrics(spark, d).select("qid", "ndcg"), "qid", "ndcg")
+    b = metrics.bootstrap(_metrics(spark, d).select("qid", "ndcg"), "qid", "ndcg")
+    return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query()
+_PAIR = {"usual": _ON, "lexical": {**_ON, "dense": 0.0, "asked": 0.0, "rerank": 0.0}}
+
+
+@query(f"WITH {_variants_sql(_PAIR)}, g AS (SELECT a.qid, a.ndcg - b.ndcg AS gain FROM vm a JOIN vm b ON b.qid = a.qid AND a.name = 'usual' AND b.name = 'lexical'), {_bootstrap_sql('g', 'qid', 'gain')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS significant FROM bs")
 def paired_bootstrap(spark, d):
-    """Interval of the difference between recall and precision at five per query."""
-    m = _metrics(spark, d).select("qid", (F.col("recall") - F.col("p5")).alias("gain"))
-    return metrics.bootstrap(m, "qid", "gain").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+    """Interval of the gain of the usual search over the lexical one, query by query."""
+    m = variant_metrics(spark, d, _PAIR).groupBy("qid").pivot("name", list(_PAIR)).agg(F.first("ndcg"))
+    b = metrics.bootstrap(m.select("qid", (F.col("usual") - F.col("lexical")).alias("gain")), "qid", "gain")
+    return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
 
 
 @query(f"""SELECT query_id, array_to_string(list_filter([CASE WHEN count(*) FILTER (citation IS NULL) > 0 THEN 'quote_without_citation' END, CASE WHEN max(score) < 0.2 THEN 'low_confidence' END,
@@ -436,24 +527,37 @@ def run_comparison(spark, d):
     return r.groupBy("query_id").agg(F.round(F.avg(F.col("rb").cast("double") - F.col("ra")), 6).alias("shift"), F.max(F.abs(F.col("rb") - F.col("ra"))).cast("bigint").alias("most"))
 
 
-@query("""SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, count(*) AS flagged FROM question_sample2 WHERE chunk_type = 'table_row'""")
+@query("""WITH k AS (SELECT md5(text) AS h, min(lang) AS known FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1), n AS (SELECT d.*, coalesce(d.lang, k.known) AS filled FROM documents d LEFT JOIN k ON k.h = md5(d.text)),
+a AS (SELECT doc_id, text, source, n_chars, doc_kind, publisher FROM documents), b AS (SELECT doc_id, text, source, n_chars, doc_kind, publisher FROM n)
+SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS lost, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS added, count(*) FILTER (lang IS NULL AND filled IS NOT NULL) AS filled, count(*) FILTER (lang IS NOT NULL AND filled <> lang) AS overwritten FROM n""")
 def backfill_invariant(spark, d):
-    """A flag is filled in, and the old columns are asserted to be the same both ways."""
-    q = table(spark, d, "question_sample2")
-    filled = q.withColumn("is_row", F.coalesce(F.col("chunk_type") == "table_row", F.lit(False)))
-    kept = filled.drop("is_row")
-    lost, added = q.exceptAll(kept).agg(F.count("*").alias("lost")), kept.exceptAll(q).agg(F.count("*").alias("added"))
-    return lost.crossJoin(added).crossJoin(filled.agg(F.count_if("is_row").alias("flagged")))  # one row each
-
-
-@query()
+    """Missing languages are filled in from copies of the text and the table is written; read back, it must
+    hold the old columns of all rows, nothing else, and no language that was there may have changed."""
+    docs = table(spark, d, "documents")
+    h = F.md5("text")
+    k = docs.where("text is not null and lang is not null").groupBy(h.alias("h")).agg(F.min("lang").alias("known"))
+    made = docs.join(k, h == k.h, "left").withColumn("filled", F.coalesce("lang", "known")).drop("h", "known")
+    n = stored(spark, "backfilled", [docs], lambda: made)
+    own = [F.col(c) for c in ("doc_id", "text", "source", "n_chars", "doc_kind", "publisher")]
+    a, b = docs.select(*own), n.select(*own)
+    lost, added = a.exceptAll(b).agg(F.count("*").alias("lost")), b.exceptAll(a).agg(F.count("*").alias("added"))
+    counts = n.agg(F.count_if(F.col("lang").isNull() & F.col("filled").isNotNull()).alias("filled"), F.count_if(F.col("filled") != F.col("lang")).alias("overwritten"))
+    return lost.crossJoin(added).crossJoin(counts)  # one row each
+
+
+@query(f"""WITH {R.HYBRID}, {JUDGED}, need AS (SELECT qid, list_distinct(flatten(list({R._STATED}))) AS need FROM judged JOIN chunks USING (sample_id) WHERE grade = 2 GROUP BY qid),
+have AS (SELECT qid, list_distinct(flatten(list({R._STATED}))) AS have FROM hybrid JOIN chunks USING (sample_id) WHERE rank <= 3 GROUP BY qid)
+SELECT h.qid, CASE WHEN need IS NULL OR len(need) = 0 THEN 'skipped' WHEN len(list_intersect(need, have)) = len(need) THEN 'correct' WHEN len(list_intersect(need, have)) > 0 THEN 'partial' ELSE 'missing' END AS status, CAST(coalesce(len(need), 0) AS INT) AS needed FROM have h LEFT JOIN need n USING (qid)""")
 def answer_correctness(spark, d):
-    """Share of the key values of a claim's evidence that a claim's own text repeats."""
-    c = table(spark, d, "claim", "claim_id", "chunk_id", "span").where("span is not null")
-    e = table(spark, d, PACK).select(F.col("id").alias("chunk_id"), T.stated_values(F.col("raw_text")).alias("need"))
-    j = c.join(e, "chunk_id", "left").select("claim_id", "need", T.stated_values(F.col("span")).alias("have"))
-    status = F.when(F.col("need").isNull() | (F.size("need") == 0), "skipped").when(F.size(F.array_except("need", "have")) == 0, "correct").when(F.size(F.array_intersect("need", "have")) > 0, "partial").otherwise("missing")
-    return j.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """Whether the three best results, taken as the answer, state the values of the chunks that answer a question."""
+    stated = R.chunks(spark, d).select("sample_id", T.stated_values(F.col("text")).alias("stated"))
+    union = F.array_distinct(F.flatten(F.collect_list("stated")))  # values of a few chunks of one query
+    need = judged(spark, d).where("grade = 2").join(stated, "sample_id").groupBy("qid").agg(union.alias("need"))
+    have = R.run(spark, d).where("rank <= 3").join(stated, "sample_id").groupBy("qid").agg(union.alias("have"))
+    j = have.join(need, "qid", "left")
+    common = F.size(F.array_intersect("need", "have"))
+    status = F.when(F.col("need").isNull() | (F.size("need") == 0), "skipped").when(common == F.size("need"), "correct").when(common > 0, "partial").otherwise("missing")
+    return j.select("qid", status.alias("status"), F.coalesce(F.size("need"), F.lit(0)).alias("needed"))
 
 
 @query()

@@ -440,7 +440,7 @@ sn AS (SELECT qid, sample_id, {_mm('tfidf', 'PARTITION BY qid')} AS tfidf, {_mm(
  (CASE WHEN regexp_matches(lower(text), 'doi:|et al[.]') THEN 0.55 ELSE 1.0 END * CASE WHEN contains(lower(id), 'reference') THEN 0.65 ELSE 1.0 END)::DOUBLE AS prior_quality FROM sg),
 sf AS (SELECT *, round(({_W['tfidf']} * tfidf + {_W['dense']} * dense + {_W['asked']} * asked + {_W['meta']} * meta + {_W['band']} * band) / {sum(_W.values())} * prior_kind * prior_band * prior_quality, 9) AS fused FROM sn),
 sp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, sample_id) AS place FROM sf),
-sh AS (SELECT *, CASE WHEN place <= {_CONFIG.head} THEN jac END AS rr FROM sp WHERE place <= {_CONFIG.pool}),
+sh AS (SELECT *, CASE WHEN place <= {_CONFIG.head} THEN jac END AS rr FROM sp WHERE place <= {_CONFIG.cut}),
 ranked AS (SELECT *, CASE WHEN place <= {_CONFIG.head} THEN (fused + {_CONFIG.rerank} * {_mm('rr', 'PARTITION BY qid')}) / {1 + _CONFIG.rerank} ELSE fused / {1 + _CONFIG.rerank} END AS score FROM sh)"""
 HYBRID = f"{RANKED}, hybrid AS ({_top_sql('ranked')})"
 
@@ -474,10 +474,10 @@ def hybrid_search(spark, d):
     return _top(ranked(spark, d))
 
 
-def run(spark: SparkSession, d: str) -> DataFrame:
-    """The search's results as a run, written once and read by what measures it."""
+def run(spark: SparkSession, d: str, depth: int = 10) -> DataFrame:
+    """The search's results down to ``depth`` (20 at most) as a run, written once and read by what measures it."""
     inputs = [chunks(spark, d), table(spark, d, "ckd_gold_eval"), table(spark, d, "heldout_chunkfirst")]
-    return stored(spark, "run", inputs, lambda: hybrid_search(spark, d))
+    return stored(spark, "run", inputs, lambda: _top(ranked(spark, d), 20)).where(F.col("rank") <= depth)
 
 
 _PARTS = ["tfidf", "dense", "asked", "meta", "band", "prior_kind", "prior_band", "prior_quality"]

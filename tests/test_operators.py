@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 
 from tarnwell.functions import text as T
 from tarnwell.operators import fusion, metrics, relational
@@ -71,7 +72,41 @@ def test_verify_answer():
     assert metrics.verify_answer("Stop below 30 mL/min/1.73 m².", ev) == ["no_citation"]
     assert metrics.verify_answer("At 5.5 mmol/L [2].", ev) == ["value 5.5 mmol/L"]
     assert metrics.verify_answer(None, ev) == ["empty"]
-    assert metrics.verify_answer("x [9]", ev) == ["no_citation"]
+    assert metrics.verify_answer("x [9]", ev) == ["citation 9", "no_citation"]
+
+
+EVIDENCE = [
+    "Aim for a systolic pressure of < 120 mm Hg by standard office measurement.",
+    "Clinic systolic below 140 mmHg (range 120 to 139 mmHg) and diastolic below 90 mmHg where ACR is under 70 mg/mmol.",
+    "With ACR above 70 mg/mmol keep systolic below 130 mmHg.",
+    "Stage C: filtration 30 - 44",
+    "Stage D: filtration 15 - 29",
+]
+
+
+@pytest.mark.parametrize("answer, question, ok", [
+    ("A systolic target of < 120 mm Hg is advised [1]; another body says below 140 mmHg for an ACR under 70 mg/mmol [2].", None, True),
+    ("The target is <120mmHg [1].", None, True),
+    ("Treat to below 132 mm Hg [1].", None, False),  # stated nowhere
+    ("Intensify above 700 mg/g [3].", None, False),  # converted
+    ("Keep it below 135 mmHg [1][2].", None, False),  # between two stated values
+    ("Aim below 130 mmHg [1].", None, False),  # stated by another source than the cited one
+    ("The target is < 120 mm Hg [8].", None, False),  # no such evidence
+    ("Pressure should be lowered.", None, False),  # nothing cited
+    ("Under 70 mg/mmol the range is 120 to 139 mmHg [2].", None, True),
+    ("Stage C spans 30 to 49 [4].", None, False),  # another range
+    ("Recommendations 1.6.1 to 1.6.2 set < 120 mm Hg [1].", None, True),  # numbers of sections are no range
+    ("Stage D means 15 - 29 ml/min per 1.73 m2 [5].", None, True),  # the unit stands in the table's head
+    ("Stage D means 15 - 29 ml/min per 1.73 m2 [4].", None, False),  # cited to another row
+    ("Keep diastolic below 85 mmHg [2].", None, False),
+    ("A rate of 38 ml/min falls in stage C [4].", "My patient has a rate of 38, what stage is it?", True),
+    ("Aim for 38 ml/min [4].", "My patient has a rate of 38, what stage is it?", False),  # recommended, not placed
+    ("A rate of 38 ml/min falls in stage C [4].", None, False),  # not in the question
+    ("A rate of 50 ml/min falls in stage C [4].", "Is 50 in stage C?", False),  # outside the range
+    ("The range is 120 to 139 mmHg [2]. Then 139 mmHg is safe. Take 128 mmHg [2].", None, False),  # only its own sentence counts
+])
+def test_verify_cases(answer, question, ok):
+    assert (metrics.verify_answer(answer, EVIDENCE, question) == []) is ok
 
 
 def test_bootstrap_covers_mean(spark):
