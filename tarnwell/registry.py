@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnwell.operators import units
 from tarnwell.sources import table
 
-PLANS = ("text", "retrieval", "evaluation", "corpus", "relational")
+PLANS = ("text", "retrieval", "evaluation", "answers", "corpus", "relational")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
