@@ -21,6 +21,8 @@ SPELLED = {
     "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
     "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
+#: letters and digits beyond ASCII, which word boundaries of other engines take for none
+BEYOND = r"[^\x00-\x7F\p{P}\p{Z}\p{S}]"
 UNITS = r"mL/min/1\.73 m²|mg/mmol|mmol/L|µmol/L|mg/g|mmHg|g/L|ng/mL|mg|%|weeks|months|years|days"
 
 
@@ -135,7 +137,7 @@ def spelled_numbers(t: Column) -> Column:
     pattern = rf"\b(?:(?:{'|'.join(tens)})(?:[ -](?:{'|'.join(digits)}))?|{'|'.join(sorted(ones, key=len, reverse=True))})\b"
     value = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
     return F.transform(
-        F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0)),
+        F.regexp_extract_all(F.regexp_replace(F.lower(t), BEYOND, "_"), F.lit(pattern), F.lit(0)),
         lambda m: F.aggregate(F.split(m, "[ -]"), F.lit(0), lambda a, w: a + value[w]).cast("double"),
     )
 

@@ -91,12 +91,13 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), dims)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int, columns: tuple[str, ...] = ("v",), block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int, columns: tuple[str, ...] = ("v",), block: int = BLOCK, digits: int = 9) -> DataFrame:
     """(qkey, key, score): the ``n`` best of (key, v) for each query by dot product, over all vectors.
 
     The stated query set is held in blocks of at most ``block`` rows; each batch of vectors meets a block in
     one matrix product and passes on its own best only.  With several query ``columns`` the best of their
-    products counts.  Ties at the cut go to smaller keys; null vectors take no part."""
+    products counts.  Scores are rounded to ``digits``; all that tie at the cut are given, for the caller to settle
+    by key; null vectors take no part."""
     qs = queries.select(qkey, *columns).where(" and ".join(f"{c} is not null" for c in columns))
     kinds = dict(qs.dtypes)[qkey], dict(vectors.dtypes)[key]
     schema = f"`{qkey}` {kinds[0]}, `{key}` {kinds[1]}, score double"
@@ -116,7 +117,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int,
                 score = sides[0] @ v.T
                 for s in sides[1:]:
                     score = np.maximum(score, s @ v.T)
-                score = np.round(score, 9)
+                score = np.round(score, digits)
                 keys = b.column(0).to_numpy(zero_copy_only=False)
                 if b.num_rows > n:
                     # all that reach the n-th best score: ties are settled by key at the end
@@ -131,6 +132,42 @@ def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int,
     return out
 
 
+def maxsim(queries: DataFrame, vectors: DataFrame, qkey: str, token: str, key: str) -> DataFrame:
+    """(qkey, key, score): late interaction of query tokens (qkey, token, v) and (key, v): for each query
+    token its best dot product with any vector of the key, summed.
+
+    The stated query tokens, at most BLOCK of them at once, meet each batch of vectors in one matrix
+    product; a batch passes on one row for each token and key that it holds."""
+    qs = queries.select(qkey, token, "v")
+    kinds = dict(qs.dtypes), dict(vectors.dtypes)[key]
+    schema = f"`{qkey}` {kinds[0][qkey]}, `{token}` {kinds[0][token]}, `{key}` {kinds[1]}, best double"
+    out = None
+    blocks = max(1, -(-qs.count() // BLOCK))
+    for k in range(blocks):
+        own = qs if blocks == 1 else qs.where(F.pmod(F.xxhash64(qkey, token), F.lit(blocks)) == k)
+        rows = own.collect()  # at most about BLOCK rows, whatever the vectors
+        side = np.array([list(r.v) for r in rows], dtype=np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], rows=rows, side=side) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not rows:
+                    continue
+                score = side @ _matrix(b.column(1), side.shape[1]).T
+                keys, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                order = np.argsort(first, kind="stable")
+                best = np.maximum.reduceat(score[:, order], np.flatnonzero(np.diff(first[order], prepend=-1)), axis=1)
+                n, m = best.shape
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[qkey] for r in rows for _ in range(m)]), pa.array([r[token] for r in rows for _ in range(m)]), pa.array(np.tile(keys, n)), pa.array(best.ravel())],
+                    names=[qkey, token, key, "best"],
+                )
+
+        one = vectors.select(key, "v").where("v is not null").mapInArrow(run, schema)
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy(qkey, token, key).agg(F.max("best").alias("best"))
+    return best.groupBy(qkey, key).agg(F.sum("best").alias("score"))
+
+
 def overlap_rerank(query: Column, text: Column) -> Column:
     """The stand-in of a cross-encoder: the share of distinct terms that query and text have in common."""
     return T.jaccard(F.array_distinct(T.terms(query)), F.array_distinct(T.terms(text)))

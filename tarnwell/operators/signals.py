@@ -67,10 +67,3 @@ def band_signal(values: Column, found: Column, selectivity: float = 0.5) -> Colu
     total = F.aggregate(values, F.lit(0.0), lambda a, v: a + one(v))
     return F.when((F.size(values) == 0) | (F.size(found) == 0), 0.0).otherwise(F.least(total / F.size(values), F.lit(1.0)))
 
-
-def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q, d, score): late interaction of token vectors (q, qt, v) and (d, v): for each query token its
-    best document token, summed.  The query set is stated and small beside the documents."""
-    pairs = docs.withColumnRenamed("v", "dv").crossJoin(queries)
-    best = pairs.groupBy("q", "d", "qt").agg(F.max(dot(F.col("v"), F.col("dv"))).alias("best"))
-    return best.groupBy("q", "d").agg(F.sum("best").alias("score"))

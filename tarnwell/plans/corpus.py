@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from tarnwell.functions import text as T
-from tarnwell.operators import fusion, index, signals
+from tarnwell.operators import encoders, fusion, index, signals
 from tarnwell.plans import evaluation as E, retrieval as R
 from tarnwell.plans.text import SQUEEZE, pages
 from tarnwell.runtime import ensure_checkpoint_dir
@@ -233,9 +233,13 @@ def embedding_ablation(spark, d):
     """Precision at five by label for shorter vectors, all lengths in one plan."""
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     q = e.where(F.col("vec_id") % R.EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    j = e.crossJoin(q).where("vec_id <> qid").select("qid", "vec_id", (F.col("ql") == F.col("label")).alias("same"), "qv", "embedding", F.explode(F.array(*map(F.lit, _DIMS))).alias("dims"))
-    s = j.select("dims", "qid", "vec_id", "same", F.round(signals.dot(F.slice("qv", F.lit(1), F.col("dims")), F.slice("embedding", F.lit(1), F.col("dims"))), 6).alias("score"))
-    t = s.withColumn("r", F.row_number().over(Window.partitionBy("dims", "qid").orderBy(F.desc("score"), "vec_id"))).where("r <= 5")
+    s = None
+    for n in _DIMS:  # the best six, of which one may be the query itself
+        cut = lambda c, n=n: F.slice(c, 1, n)
+        one = encoders.nearest(q.select("qid", cut("qv").alias("v")), e.select("vec_id", cut("embedding").alias("v")), "qid", "vec_id", 6, digits=6).withColumn("dims", F.lit(n))
+        s = one if s is None else s.unionByName(one)
+    t = s.where("vec_id <> qid").withColumn("r", F.row_number().over(Window.partitionBy("dims", "qid").orderBy(F.desc("score"), "vec_id"))).where("r <= 5")
+    t = t.join(q.select("qid", "ql"), "qid").join(e.select("vec_id", "label"), "vec_id").withColumn("same", F.col("ql") == F.col("label"))
     return t.groupBy("dims").agg(F.round(F.avg(F.when(F.col("same"), 1.0).otherwise(0.0)), 6).alias("precision"))
 
 

@@ -119,10 +119,16 @@ def band_lookup(spark, d):
 @query("""WITH n AS (SELECT document_id, page, row_id, md5(text) AS own, lag(md5(text)) OVER w AS before, lead(md5(text)) OVER w AS after, lag(page) OVER w AS p0, lead(page) OVER w AS p1 FROM page_record WINDOW w AS (PARTITION BY document_id ORDER BY page, row_id))
 SELECT row_id, CASE WHEN p0 >= page - 1 THEN before END AS before, CASE WHEN p1 <= page + 1 THEN after END AS after FROM n""")
 def neighbour_context(spark, d):
-    w = Window.partitionBy("document_id").orderBy("page", "row_id")
+    """The texts before and behind each parse of a page, on the page itself or the next one.  Parses are ordered
+    within a page, and pages meet by number, so a document of any size is spread over its pages."""
     n = table(spark, d, "page_record", "document_id", "page", "row_id", "text").withColumn("h", F.md5("text"))
-    n = n.select("row_id", "page", F.lag("h").over(w).alias("b"), F.lead("h").over(w).alias("a"), F.lag("page").over(w).alias("p0"), F.lead("page").over(w).alias("p1"))
-    return n.select("row_id", F.when(F.col("p0") >= F.col("page") - 1, F.col("b")).alias("before"), F.when(F.col("p1") <= F.col("page") + 1, F.col("a")).alias("after"))
+    w = Window.partitionBy("document_id", "page").orderBy("row_id")
+    own = n.withColumns({"first": F.row_number().over(w) == 1, "last": F.lead("row_id").over(w).isNull(), "b": F.lag("h").over(w), "a": F.lead("h").over(w)})
+    ends = n.groupBy("document_id", "page").agg(F.max_by("h", "row_id").alias("last_h"), F.min_by("h", "row_id").alias("first_h"))
+    before = ends.select(F.col("document_id").alias("d0"), (F.col("page") + 1).alias("p0"), F.col("last_h").alias("h0"))
+    behind = ends.select(F.col("document_id").alias("d1"), (F.col("page") - 1).alias("p1"), F.col("first_h").alias("h1"))
+    j = own.join(before, F.col("document_id").eqNullSafe(F.col("d0")) & (F.col("page") == F.col("p0")), "left").join(behind, F.col("document_id").eqNullSafe(F.col("d1")) & (F.col("page") == F.col("p1")), "left")
+    return j.select("row_id", F.when(F.col("first"), F.col("h0")).otherwise(F.col("b")).alias("before"), F.when(F.col("last"), F.col("h1")).otherwise(F.col("a")).alias("after"))
 
 
 @query(f"""SELECT query_id, string_agg('[' || rank || '] ' || coalesce(citation, 'no source') || ': ' || substr({SQUEEZE.format('raw_text')}, 1, 80), E'\\n' ORDER BY rank, id) AS prompt FROM {PACK} GROUP BY query_id""")

@@ -79,9 +79,9 @@ def tfidf_weights(spark, d):
     return lexical(spark, d)[2].select("sample_id", "term", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM vocab WHERE df > 1")
+@query(f"WITH {LEXICAL} SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def vocabulary(spark, d):
-    return lexical(spark, d)[1].where("df > 1").select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical(spark, d)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _top_sql(source: str, n: int = 10, key: str = "sample_id") -> str:
@@ -173,7 +173,7 @@ def vectors(spark: SparkSession, d: str):
 @query(f"WITH {_VQ}, s AS (SELECT qid, vec_id, {_DOT.format('qv', 'embedding')} AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
 def dense_topk(spark, d):
     e, q = vectors(spark, d)
-    return _top(encoders.nearest(q.withColumnRenamed("qv", "v"), e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10), 10, "vec_id")
+    return _top(encoders.nearest(q.withColumnRenamed("qv", "v"), e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10, digits=6), 10, "vec_id")
 
 
 _HYDE = f"""q AS (SELECT a.vec_id AS qid, a.embedding AS qv, b.embedding AS hv FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % {EVERY} = 0)"""
@@ -188,7 +188,7 @@ def _hyde(spark, d):
 @query(f"WITH {_HYDE}, s AS (SELECT qid, vec_id, greatest({_DOT.format('qv', 'embedding')}, {_DOT.format('hv', 'embedding')}) AS score FROM q, embeddings) {_top_sql('s', 10, 'vec_id')}")
 def hyde_max(spark, d):
     e, q = _hyde(spark, d)
-    return _top(encoders.nearest(q, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10, ("qv", "hv")), 10, "vec_id")
+    return _top(encoders.nearest(q, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10, ("qv", "hv"), digits=6), 10, "vec_id")
 
 
 @query(f"""WITH {_HYDE}, m AS (SELECT qid, list_transform(range(1, len(qv) + 1), lambda i: 0.7 * CAST(qv[i] AS DOUBLE) + 0.3 * CAST(hv[i] AS DOUBLE)) AS mv FROM q),
@@ -198,7 +198,7 @@ def hyde_blend(spark, d):
     m = q.select("qid", F.zip_with("qv", "hv", lambda a, b: 0.7 * a.cast("double") + 0.3 * b.cast("double")).alias("mv"))
     norm = F.sqrt(signals.dot(F.col("mv"), F.col("mv")))
     m = m.select("qid", T.let(norm, lambda n: F.transform("mv", lambda x: x / n)).alias("v"))
-    return _top(encoders.nearest(m, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10), 10, "vec_id")
+    return _top(encoders.nearest(m, e.withColumnRenamed("embedding", "v"), "qid", "vec_id", 10, digits=6), 10, "vec_id")
 
 
 @query(f"""WITH q AS (SELECT vec_id // {EVERY * 4} AS q, vec_id AS qt, embedding AS v FROM embeddings WHERE vec_id % {EVERY} = 0),
@@ -207,7 +207,7 @@ SELECT q, d, round(sum(best), 6) AS score FROM b GROUP BY q, d""")
 def maxsim(spark, d):
     e, q = vectors(spark, d)
     tokens = q.select(F.expr(f"qid div {EVERY * 4}").alias("q"), F.col("qid").alias("qt"), F.col("qv").alias("v"))
-    return signals.maxsim(tokens, e.select(F.col("label").alias("d"), F.col("embedding").alias("v"))).select("q", "d", F.round("score", 6).alias("score"))
+    return encoders.maxsim(tokens, e.select(F.col("label").alias("d"), F.col("embedding").alias("v")), "q", "qt", "d").select("q", "d", F.round("score", 6).alias("score"))
 
 
 # Query understanding
@@ -256,7 +256,7 @@ _CONFIG = path.Config()
 _WORDS = sorted(T.SPELLED)
 _TENS, _ONES = [w for w, v in T.SPELLED.items() if v >= 20], [w for w, v in T.SPELLED.items() if v < 20]
 SPELLED = rf"\b(?:(?:{'|'.join(_TENS)})(?:[ -](?:{'|'.join(w for w in _ONES if 0 < T.SPELLED[w] < 10)}))?|{'|'.join(sorted(_ONES, key=len, reverse=True))})\b"
-_SPELLED = f"list_transform(regexp_extract_all(lower({{0}}), '{SPELLED}', 0), lambda m: CAST(list_sum(list_transform(regexp_split_to_array(m, '[ -]'), lambda w: {[T.SPELLED[w] for w in _WORDS]}[list_position([{quoted(_WORDS)}], w)])) AS DOUBLE))".replace("{[", "[").replace("]}[", "][")
+_SPELLED = f"list_transform(regexp_extract_all(regexp_replace(lower({{0}}), '{T.BEYOND.replace('{', '{{').replace('}', '}}')}', '_', 'g'), '{SPELLED}', 0), lambda m: CAST(list_sum(list_transform(regexp_split_to_array(m, '[ -]'), lambda w: {[T.SPELLED[w] for w in _WORDS]}[list_position([{quoted(_WORDS)}], w)])) AS DOUBLE))".replace("{[", "[").replace("]}[", "][")
 _CONTEXT = "CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{p}') THEN '{p}'" for _, p in _QUANTITIES) + " END"
 _PART = f"""CASE WHEN n = 1 THEN '' WHEN i = 1 THEN right(p, {_CONFIG.context}) WHEN i = n THEN left(p, {_CONFIG.context}) WHEN length(p) <= {2 * _CONFIG.context} THEN p ELSE left(p, {_CONFIG.context}) || chr(10) || right(p, {_CONFIG.context}) END"""
 _BANDS = """list_concat(list_transform(range(1, len(r1) + 1), lambda i: {'lo': r1[i], 'hi': r2[i]}), list_concat(list_transform(lo, lambda z: {'lo': CAST(0 AS DOUBLE), 'hi': z}), list_transform(hi, lambda z: {'lo': z, 'hi': CAST('Infinity' AS DOUBLE)})))"""

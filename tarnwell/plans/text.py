@@ -203,16 +203,15 @@ def heading_level(spark, d):
     return headings(lines(spark, d))
 
 
-@query(r"""WITH w AS (SELECT region.r_regionkey AS k, v.t FROM region JOIN (VALUES ('at sixty-five or eleven years'), ('from twenty to thirty-two of forty five'), ('no numbers'), ('nineteen ninety')) v(t) ON true),
-n(w, v) AS (VALUES ('one',1),('two',2),('three',3),('four',4),('five',5),('six',6),('seven',7),('eight',8),('nine',9),('ten',10),('eleven',11),('twelve',12),('thirteen',13),('fourteen',14),('fifteen',15),('sixteen',16),('seventeen',17),('eighteen',18),('nineteen',19),('twenty',20),('thirty',30),('forty',40),('fifty',50),('sixty',60),('seventy',70),('eighty',80),('ninety',90)),
-m AS (SELECT k, t, unnest(regexp_extract_all(lower(t), '\b(?:(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:[ -](?:one|two|three|four|five|six|seven|eight|nine))?|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|eleven|twelve|three|seven|eight|four|five|nine|one|two|six|ten)\b', 0)) AS m FROM w),
-s AS (SELECT k, t, m, unnest(regexp_split_to_array(m, '[ -]')) AS part FROM m)
-SELECT k, t, CAST(sum(v) AS DOUBLE) AS total FROM s JOIN n ON n.w = s.part GROUP BY k, t""")
+_SPELLED = r"\b(?:(?:" + "|".join(w for w, v in T.SPELLED.items() if v >= 20) + ")(?:[ -](?:" + "|".join(w for w, v in T.SPELLED.items() if 0 < v < 10) + "))?|" + "|".join(sorted((w for w, v in T.SPELLED.items() if v < 20), key=len, reverse=True)) + r")\b"
+
+
+@query(f"""WITH n(w, v) AS (VALUES {", ".join(f"('{w}', {v})" for w, v in T.SPELLED.items())}), m AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '{T.BEYOND}', '_', 'g'), '{_SPELLED}', 0)) AS m FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, m, row_number() OVER () AS i FROM m), s AS (SELECT doc_id, i, unnest(regexp_split_to_array(m, '[ -]')) AS part FROM i)
+SELECT d.doc_id, count(DISTINCT i) AS n, coalesce(CAST(sum(v) AS DOUBLE), 0) AS total FROM documents d LEFT JOIN (s JOIN n ON n.w = s.part) x ON x.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id""")
 def spelled_numbers(spark, d):
-    texts = ["at sixty-five or eleven years", "from twenty to thirty-two of forty five", "no numbers", "nineteen ninety"]
-    t = table(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.explode(F.array(*map(F.lit, texts))).alias("t"))
-    n = t.select("k", "t", F.explode(T.spelled_numbers(F.col("t"))).alias("v"))
-    return n.groupBy("k", "t").agg(F.sum("v").alias("total"))
+    v = T.spelled_numbers(F.col("text"))
+    return docs(spark, d).where("text is not null").select("doc_id", v.alias("v")).select("doc_id", F.size("v").cast("bigint").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)? ?(?:{T.UNITS})', 0), lambda x: lower(replace(x, ' ', ''))))), '; ') AS stated
@@ -335,22 +334,23 @@ def embedding_audit(spark, d):
     return whole.crossJoin(same)  # one row each
 
 
-@query(f"""WITH p AS (SELECT row_id, regexp_extract_all(lower(text), '[a-z0-9]+', 0) AS w, regexp_extract_all(lower(coalesce(pdfplumber_text, '')), '[a-z0-9]+', 0) AS f FROM page_record WHERE text IS NOT NULL)
-SELECT row_id, round(CAST(len(list_filter(w, lambda x: list_contains(f, x))) AS DOUBLE) / len(w), 6) AS overlap FROM p WHERE len(w) > 0""")
+@query("""WITH w AS (SELECT row_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS w, 1 AS a, 0 AS b FROM page_record WHERE text IS NOT NULL UNION ALL SELECT row_id, unnest(regexp_extract_all(lower(pdfplumber_text), '[a-z0-9]+', 0)), 0, 1 FROM page_record WHERE text IS NOT NULL AND pdfplumber_text IS NOT NULL),
+c AS (SELECT row_id, w, sum(a) AS a, sum(b) AS b FROM w GROUP BY ALL) SELECT row_id, round(CAST(sum(least(a, b)) AS DOUBLE) / sum(a), 6) AS overlap FROM c GROUP BY row_id HAVING sum(a) > 0""")
 def word_overlap(spark, d):
-    def words(c):
-        return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    """The share of a text's words, counted as often as they occur, that another reading of the page has, too."""
+    def words(c, a, b):
+        found = F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))).alias("w")
+        return p.select("row_id", found, F.lit(a).alias("a"), F.lit(b).alias("b"))
 
-    p = pages(spark, d).where("text is not null").select("row_id", words("text").alias("w"), words("pdfplumber_text").alias("f")).where(F.size("w") > 0)
-    # lengths of the matched multiset, by counting distinct words once
-    found = F.filter("w", lambda x: F.array_contains("f", x))
-    return p.select("row_id", F.round(F.size(found) / F.size("w"), 6).alias("overlap"))
+    p = pages(spark, d).where("text is not null")
+    c = words("text", 1, 0).unionByName(words("pdfplumber_text", 0, 1)).groupBy("row_id", "w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    g = c.groupBy("row_id").agg(F.sum(F.least("a", "b")).alias("both"), F.sum("a").alias("n")).where("n > 0")
+    return g.select("row_id", F.round(F.col("both") / F.col("n"), 6).alias("overlap"))
 
 
-@query("SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)hyperkalaemia|potassium') AND lang = 'en' ORDER BY doc_id LIMIT 200")
+@query("SELECT doc_id, source, CAST(length(text) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '(?i)hyperkalaemia|potassium')")
 def regex_search(spark, d):
-    hits = docs(spark, d).where(F.col("text").rlike("(?i)hyperkalaemia|potassium") & (F.col("lang") == "en"))
-    return hits.orderBy("doc_id").limit(200).select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    return docs(spark, d).where(F.col("text").rlike("(?i)hyperkalaemia|potassium")).select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
 
 
 @query("""WITH r AS (SELECT sample_id, chunk_type, row_number() OVER (PARTITION BY chunk_type ORDER BY sha1('17:' || id), sample_id) AS rn FROM question_sample2 WHERE chunk_type IS NOT NULL)

@@ -122,3 +122,48 @@ def test_streams_equal_batch(spark):
     batch = {tuple(r) for r in plan.tumbling_windows(spark, sf).collect()}
     streamed = {(r.start.replace(tzinfo=None), r.event_type, r.n, r.total) for r in plan.stream_windows(spark, sf).collect()}
     assert streamed and streamed <= {(s.replace(tzinfo=None), t, n, v) for s, t, n, v in batch}
+
+
+def test_band_near_its_quantity(spark):
+    from tarnwell.operators import search
+
+    far = "x" * 100
+    rows = [
+        ("Is an eGFR of 38 low?", f"GFR 30-44 is stage C. {far} ages 30-50 {far}", 1.0),
+        ("Is an eGFR of 38 low?", f"{far} ages 30-50 {far}", 0.0),  # no mention of the quantity near the band
+        ("A child of thirty-eight?", "ages 30-50", 1.0),  # no quantity asked for: all bands count
+        ("Is an eGFR of 38 low?", "GFR 30-44, 45-59, 60-89, 15-29", 0.5 + 0.5 / 4),
+        ("Is an eGFR of 38 low?", "GFR under 40", 1.0),
+        ("Is it low?", "GFR 30-44", 0.0),
+        (None, "GFR 30-44", None),
+    ]
+    df = spark.createDataFrame([(k, q, t) for k, (q, t, _) in enumerate(rows)], "k int, q string, t string")
+    got = {r.k: r.b for r in df.select("k", search.band(df.q, df.t, search.Config()).alias("b")).collect()}
+    assert [got[k] for k in range(len(rows) - 1)] == [w for _, _, w in rows[:-1]]
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    from tarnwell.operators import encoders
+
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(300, 8)).round(1), rng.normal(size=(7, 8)).round(1)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None)], "id long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)] + [(77, None)], "qid long, v array<double>")
+    for block in (4_096, 3):
+        found = encoders.nearest(queries, vectors, "qid", "id", 5, block=block).collect()
+        for k in range(7):
+            mine = sorted((-r.score, r.id) for r in found if r.qid == k)[:5]
+            score = np.round(v @ q[k], 9)
+            assert mine == sorted(zip((-score).tolist(), range(300), strict=True))[:5]
+    assert encoders.nearest(queries.limit(0), vectors, "qid", "id", 5).count() == 0
+    assert encoders.encoder("unknown").query_prefix == "" and encoders.encoder("hashed-dual").query_prefix == "query: "
+
+
+def test_encode_defines_empty_texts(spark):
+    from tarnwell.operators import encoders
+
+    df = spark.createDataFrame([(1, "kidney kidney"), (2, ""), (3, None)], "k int, t string")
+    got = {r.k: r.v for r in encoders.encode(df, "k", "t").collect()}
+    assert abs(sum(x * x for x in got[1]) - 1) < 1e-9 and not any(got[2]) and not any(got[3]) and len(got[2]) == 64

@@ -7,11 +7,11 @@ import pytest
 from tarnwell import registry
 
 SF = "/root/testdata/sf0.001"
-#: a stated query set against all rows, or a one-row aggregate beside another
-LOOPS = {"dense_topk", "hyde_max", "hyde_blend", "maxsim", "embedding_ablation", "embedding_audit", "band_lookup", "backfill_invariant", "bootstrap_ci", "paired_bootstrap"}
+#: a one-row aggregate beside another, or bands that do not grow
+LOOPS = {"embedding_audit", "band_lookup", "backfill_invariant", "bootstrap_ci", "paired_bootstrap"}
 CHECKED = [
     "tokenize", "tfidf_weights", "tfidf_search", "bm25", "convex_fusion", "rrf_fusion", "rerank_blend", "claim_agreement", "premise_supported", "band_containment", "point_in_box", "asof_join", "nearest_event",
-    "best_prefix_match", "reannotate", "resolve_refs", "top_orders", "local_suppliers", "hash_join", "p6_found", "weight_sweep", "ablation", "dense_topk", "maxsim",
+    "best_prefix_match", "reannotate", "resolve_refs", "top_orders", "local_suppliers", "hash_join", "p6_found", "weight_sweep", "ablation", "dense_topk", "maxsim", "hyde_max", "hyde_blend", "embedding_ablation", "hybrid_search", "search", "build_answer", "sweeps", "neighbour_context",
 ]
 
 
