@@ -5,9 +5,13 @@ successive merge gadgets: in order of rank, the merge (a, b) -> c adds the arc c
 every state that ends in a.  A sequence of tokens is the encoding of its bytes exactly if the automaton
 reads it.  The gadgets are kept as two split tables (left and right part of each token); whether an arc
 is blocked is worked out from them at first use and then kept in the transition table, as a table of
-all 50,000 x 50,000 arcs would be useless.  A word is encoded by following, from each position, the arc
-of the longest token that is not blocked, stepping to its next shorter prefix where it is, and back
-where no arc is left.  Decoding emits the bytes that label the arcs.
+all 50,000 x 50,000 arcs would be useless.
+
+The automaton is deterministic: behind each prefix of a word there is one state, the last token of that
+prefix's encoding.  A word is encoded in one pass over its bytes: a pattern automaton of all tokens
+names those that end at each byte, longest first, and the one whose arc is open in the state where it
+begins is the next state.  Nothing is ever taken back.  Following the states from the end gives the
+encoding.  Decoding emits the bytes that label the arcs.
 
 Texts are split by the tokenizer's own pattern, first at white space into coarse pieces (a run of white
 space with what follows), which is exact since no word crosses from other characters into white space.
@@ -23,6 +27,7 @@ import base64
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,7 +62,12 @@ class Automaton:
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.labels = {i: b for b, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.size = {i: len(b) for b, i in self.ids.items()}
+        #: all tokens, read as characters of one byte
+        self.tokens = ahocorasick.Automaton()
+        for label, c in self.ids.items():
+            self.tokens.add_word(label.decode("latin-1"), c)
+        self.tokens.make_automaton()
         self.split = regex.compile(PATTERN).findall
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
@@ -65,8 +75,6 @@ class Automaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         for label, c in sorted(self.ids.items(), key=lambda x: x[1]):
             self._gadget(label, c)
-        #: next shorter token that is a prefix
-        self.shorter = {c: self._prefix(label) for label, c in self.ids.items()}
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -81,12 +89,6 @@ class Automaton:
         self.left[c], self.right[c] = parts
         self.merged[parts[0], parts[1]] = c
 
-    def _prefix(self, label: bytes) -> int:
-        for n in range(len(label) - 1, 0, -1):
-            if (t := self.ids.get(label[:n])) is not None:
-                return t
-        return -1
-
     def open(self, u: int, v: int) -> bool:
         """Whether the arc v is open in state u."""
         known = self.arcs.get((u, v))
@@ -117,46 +119,26 @@ class Automaton:
 
     def _read(self, word: bytes, below: int | None = None) -> list[int]:
         """The path whose labels spell ``word``; with ``below``, of the automaton before that token."""
-        ids, n = self.ids, len(word)
-        dead: set[int] = set()
-        path: list[int] = []
-        at = 0
-        t = self._longest_at(word, 0, below)
-        while at < n:
-            while t >= 0:
-                end = at + len(self.labels[t])
-                if end not in dead and (not path or self.open(path[-1], t) if below is None else not path or self._unblocked(path[-1], t)):
-                    break
-                t = self._shorter_below(t, below)
-            if t >= 0:
-                path.append(t)
-                at += len(self.labels[t])
-                t = self._longest_at(word, at, below) if at < n else -1
-            else:
-                if not path:
-                    raise ValueError("no path: the rank file lacks a byte")
-                dead.add(at)
-                t = path.pop()
-                at -= len(self.labels[t])
-                t = self._shorter_below(t, below)
-        return path
-
-    def _longest_at(self, word: bytes, at: int, below: int | None) -> int:
-        for n in range(min(self.longest, len(word) - at), 0, -1):
-            t = self.ids.get(word[at : at + n])
-            if t is not None and (below is None or n == 1 or t < below):
-                return t
-        return -1
-
-    def _shorter_below(self, t: int, below: int | None) -> int:
-        if below is None:
-            return self.shorter[t]
-        label = self.labels[t]
-        for n in range(len(label) - 1, 0, -1):
-            s = self.ids.get(label[:n])
-            if s is not None and (n == 1 or s < below):
-                return s
-        return -1
+        n = len(word)
+        state = [-1] * (n + 1)
+        size, is_open = self.size, self.open if below is None else self._unblocked
+        for end, t in self.tokens.iter(word.decode("latin-1")):
+            if state[end + 1] >= 0:
+                continue
+            k = size[t]
+            if below is not None and t >= below and k > 1:
+                continue
+            start = end + 1 - k
+            if not start or state[start] >= 0 and is_open(state[start], t):
+                state[end + 1] = t
+        path, at = [], n
+        while at:
+            t = state[at]
+            if t < 0:
+                raise ValueError("no path: the rank file lacks a byte")
+            path.append(t)
+            at -= size[t]
+        return path[::-1]
 
     def word(self, w: str) -> tuple[int, ...]:
         known = self.words.get(w)
