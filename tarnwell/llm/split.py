@@ -1,7 +1,8 @@
 """Cutting oversized texts at natural boundaries (problem 1): structure-tree packing.
 
-A text is parsed into a tree: sections under headings, blocks parted by blank lines, lines (list items
-are lines of their own), sentences, words.  A node that fits is a unit.  A larger one is replaced by
+A text is parsed into a tree: sections under headings (numbered, named, of markup or in capitals), blocks
+parted by blank lines or the ends of markup's blocks, list items with the lines that belong to them,
+lines, sentences, words.  A node that fits is a unit.  A larger one is replaced by
 the packing of its children: sibling units are merged from the left while they fit, and only nodes that
 are too large are descended into.  A run without any natural boundary longer than the limit is cut by
 force.  Each piece starts with up to ``overlap`` last characters of the one before, from a word start.
@@ -20,10 +21,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tarnwell.llm.texts import slices
+
 LIMIT, OVERLAP = 2_000, 200
 
-_BLANK = re.compile(r"\n[^\S\n]*\n\s*")
-_HEADING = re.compile(r"(?:#{1,6}\s|(?:chapter|appendix|section|part|table|figure)\s+\d+|(\d+(?:\.\d+)*)\.?\s+\S)", re.I)
+#: words that name headings, in the languages of the corpus; pass others for others
+NAMES = (
+    "appendix chapter figure part section table abbildung abschnitt anhang kapitel tabelle teil annexe chapitre partie tableau "
+    "anexo capítulo parte sección tabla глава раздел таблица"
+).split()
+
+_BLANK = re.compile(r"\n[^\S\n]*\n\s*|</(?:p|div|section|article|ul|ol|li|table|tr|h[1-6])>\s*", re.I)
+_HEADING = re.compile(rf"(?:#{{1,6}}\s|<h([1-6])\b|(?:{'|'.join(NAMES)})\s+\d+|(\d+(?:\.\d+)*)\.?\s+\S)", re.I)
+_ITEM = re.compile(r"^[^\S\n]*(?:[-*•‣◦▪–]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|<li\b[^>]*>)[^\S\n]*(?=\S)", re.M)
+_LINE_END = re.compile(r"\n\s*")
 _SENTENCE = re.compile(r"[.!?。！？]+[\"'”’»)\]]*\s*")
 #: where a word ends: behind white space, or behind a mark that ends a sentence
 _WORD = re.compile(r"[^\s.!?。！？]*(?:[.!?。！？]|\s+|$)")
@@ -52,7 +63,9 @@ def _level(text: str, a: int, b: int) -> int | None:
         return None
     m = _HEADING.match(s)
     if m:
-        return m.group(1).count(".") + 1 if m.group(1) else (len(s) - len(s.lstrip("#"))) or 0
+        if m.group(1):
+            return int(m.group(1))
+        return m.group(2).count(".") + 1 if m.group(2) else (len(s) - len(s.lstrip("#"))) or 0
     return 0 if s.isupper() and len(s) > 8 else None
 
 
@@ -79,8 +92,11 @@ def _sections(text: str, blocks: list[tuple[int, int]]) -> list:
 
 def _parts(text: str, a: int, b: int, depth: int) -> tuple[list[tuple[int, int]], str]:
     if depth == 0:
-        return _cuts(re.compile(r"\n\s*"), text, a, b), LINE
+        starts = [m.start() for m in _ITEM.finditer(text, a, b) if m.start() > a and text[m.start() - 1] == "\n"]
+        return list(zip([a, *starts], [*starts, b], strict=True)), LINE
     if depth == 1:
+        return _cuts(_LINE_END, text, a, b), LINE
+    if depth == 2:
         return _cuts(_SENTENCE, text, a, b), SENTENCE
     return _cuts(_WORD, text, a, b), WORD
 
@@ -99,7 +115,7 @@ def _merge(units: list[tuple[int, int, str]], room: int) -> list[tuple[int, int,
 def _pack_span(text: str, a: int, b: int, end: str, depth: int, room: int, limit: int) -> list[tuple[int, int, str]]:
     if b - a <= room:
         return [(a, b, end)]
-    if depth > 2:  # one word
+    if depth > 3:  # one word
         if b - a <= limit:
             return [(a, b, end)]
         core = a + len(text[a:b].rstrip())
@@ -159,7 +175,7 @@ def split_oversized(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     start, stop, ends_with, piece).  Without ``bodies`` the pieces' characters are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, [2])):
             rows = [
                 (src, i, n, h, x, y, k, text[h:y] if bodies else None)
                 for src, i, text in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)

@@ -92,6 +92,16 @@ def test_split_kinds(spark):
     checked("word" * 499 + "abcd." + "y" * 2000 + "." + " " * 3000)
 
 
+def test_list_items_and_markup_are_nodes():
+    items = [f"- item {k} begins here\n  and goes on with {'words ' * 12}to its end\n" for k in range(8)]
+    text = "Intro line\n" + "".join(items)
+    for h, a, b, kind in split.pieces(text, 260, 0):
+        assert a == 0 or text[a:].startswith("- item")  # an item that fits is never torn
+    assert split._level("<h2>Title</h2>", 0, 14) == 2 and split._level("Kapitel 3", 0, 9) == 0 and split._level("3.1 Scope", 0, 9) == 2
+    marked = "<p>" + "one two. " * 12 + "</p><p>" + "three four. " * 9 + "</p>"
+    assert [marked[a:b].startswith("<p>") for _, a, b, _ in split.pieces(marked, 130, 0)] == [True, True]
+
+
 # 2
 
 
