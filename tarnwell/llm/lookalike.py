@@ -165,7 +165,7 @@ class Rewriter:
         if self.ascii_safe and text.isascii():
             return text
         text = unicodedata.normalize("NFC", text)
-        for _ in range(8 if self.ready else 0):  # a letter with n accents needs n rounds; more than 8 don't show
+        for _ in range(len(text) + 2 if self.ready else 0):  # until stable: a letter with n accents needs n rounds
             new = self.stretch.sub(self._rewritten, text)
             if new == text:
                 break

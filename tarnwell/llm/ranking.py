@@ -63,20 +63,29 @@ def median_ranks(scores: DataFrame, group: str, item: str, weights: dict[str, fl
     if not hot:
         out = _by_windows(rows, list(weights.values()), positions)
     else:
-        is_hot = F.coalesce(F.col("g").isin(hot), F.lit(False))
-        hot_part = _by_buckets(rows.where(is_hot), list(weights.values()))
-        if positions:
-            hot_part = _positions_by_buckets(hot_part)
+        named = [g for g in hot if g is not None]
+        is_hot = (F.coalesce(F.col("g").isin(named), F.lit(False)) if named else F.lit(False)) | (F.col("g").isNull() if None in hot else F.lit(False))
+        hot_part = _hot(rows.where(is_hot & F.col("g").isNotNull()), weights, positions) if named else None
+        if None in hot:  # joins know no null: the group is ranked under another name
+            kind = F.col("g").cast(dict(rows.dtypes)["g"])
+            nameless = _hot(rows.where("g is null").withColumn("g", F.lit("0").cast(dict(rows.dtypes)["g"])), weights, positions)
+            nameless = nameless.withColumn("g", F.when(F.lit(False), kind))
+            hot_part = nameless if hot_part is None else hot_part.unionByName(nameless)
         out = _by_windows(rows.where(~is_hot), list(weights.values()), positions).unionByName(hot_part)
     return out.withColumnsRenamed({"g": group, "item": item})
 
 
+def _hot(rows: DataFrame, weights: dict[str, float], positions: bool) -> DataFrame:
+    part = _by_buckets(rows, list(weights.values()))
+    return _positions_by_buckets(part) if positions else part
+
+
 def _hot_groups(rows: DataFrame, hot_rows: int) -> list:
     """Groups above the limit.  The limit grows with the table so that there are 10,000 at most."""
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     big = sizes.where(F.col("n") > hot_rows)  # the window below sees these only
-    return [r.g for r in big.withColumn("total", total).where("n * 10000 > total").select("g").collect() if r.g is not None]
+    return [r.g for r in big.withColumn("total", total).where("n * 10000 > total").select("g").collect()]
 
 
 def _by_windows(rows: DataFrame, weights: list[float], positions: bool) -> DataFrame:

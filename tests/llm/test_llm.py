@@ -554,3 +554,18 @@ def test_posteriors_against_all_labelings():
         for k, y in enumerate(labels):
             at[k] += p * y
     assert sentences.posteriors(odds, near) == pytest.approx([x / total for x in at])
+
+
+def test_hot_null_group_is_ranked_alike(spark):
+    rows = [(g, f"i{k % 40:02}", float(k * 7 % 23), float(k * 5 % 11) if k % 3 else None) for g in (None, "q") for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, item string, a double, b double")
+    usual = {tuple(r) for r in ranking.median_ranks(df, "g", "item", {"a": 1.0, "b": 1.0}, positions=True).collect()}
+    for limit in (10, 0):
+        assert {tuple(r) for r in ranking.median_ranks(df, "g", "item", {"a": 1.0, "b": 1.0}, positions=True, hot_rows=limit).collect()} == usual
+    assert {r[0] for r in usual} == {None, "q"}
+
+
+def test_many_accents_reach_a_stable_form():
+    w = lookalike.Rewriter(lookalike.build_rules(lookalike.usual_counts({chr(c) for c in range(0x20, 0x370)})))
+    text = "a" + "́̀̂" * 20 + "b"
+    assert w(w(text)) == w(text)
