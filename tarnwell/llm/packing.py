@@ -6,9 +6,9 @@ shares of the full ones, have the largest dot product with the item's own shares
 ``weights``, among those that keep every capacity; none means a new container.  With ``norm`` the least
 residual norm after placing is taken instead.
 
-The attention capacity is three quarters of the squared token capacity unless one is given: a container
-of one long text and small rests reaches it before its tokens are used up.  An item whose own cost is
-above it stands alone.  (On 10,000 documents fill is 0.9974 with it and 0.9990 without; half of the
+The attention capacity is the squared token capacity, which never binds, unless one is given.  The queries
+give three quarters of it (``ATTENTION``): a container of one long text and small rests reaches it before
+its tokens are used up.  An item whose own cost is above it stands alone.  (On 10,000 documents fill is 0.9974 with it and 0.9990 without; half of the
 square leaves 0.969.)
 
 The work is parted by a hash of the key into blocks of about ``block_items`` items, each packed by
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 TOKENS = 2_048
 DOCUMENTS = 256
 BLOCK_ITEMS = 10_000
-#: attention capacity as a share of the squared token capacity
+#: the queries' attention capacity, as a share of the squared token capacity
 ATTENTION = 0.75
 WEIGHTS = (1.0, 0.05, 0.2)
 
 
 def best_fit(sizes: np.ndarray, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int | None = None, weights: tuple = WEIGHTS, norm: bool = False) -> np.ndarray:
     """Container number of each item; ``sizes`` must fall and be at most ``tokens``."""
-    full = np.array([tokens, documents, int(ATTENTION * tokens * tokens) if attention is None else attention], dtype=np.float64)
+    full = np.array([tokens, documents, tokens * tokens if attention is None else attention], dtype=np.float64)
     w = np.asarray(weights, dtype=np.float64)
     out = np.empty(len(sizes), dtype=np.int64)
     rest = np.empty((1024, 3))

@@ -101,7 +101,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(tokens.lengths(table(spark, d, "documents")))
+    capacity = packing.TOKENS
+    return packing.pack(tokens.lengths(table(spark, d, "documents")), attention=int(packing.ATTENTION * capacity * capacity))
 
 
 def p9_fill(spark: SparkSession, d: str) -> DataFrame:
