@@ -43,7 +43,7 @@ def bootstrap(values: DataFrame, key: str, value: str, resamples: int = 3_000, s
     u = (drawn.cast("double") + 0.5) / float(1 << 28)
     rows = values.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).select(value, "r", u.alias("u"))
     weight = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    means = rows.withColumn("w", weight).groupBy("r").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"))
+    means = rows.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col(value) * F.col("w")), F.sum("w")).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     return values.agg(F.avg(value).alias("mean")).crossJoin(ends)  # one row each
 

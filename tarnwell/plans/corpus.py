@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from tarnwell.functions import text as T
 from tarnwell.operators import encoders, fusion, index, signals
 from tarnwell.plans import evaluation as E, retrieval as R
-from tarnwell.plans.text import SQUEEZE, pages
+from tarnwell.plans.text import PREFIX, SQUEEZE, pages
 from tarnwell.runtime import ensure_checkpoint_dir
 from tarnwell.sources import read_jsonl, table, write_report
 from tarnwell.streaming import jobs
@@ -55,9 +55,8 @@ def recommendation_atoms(spark, d):
     ).select("row_id", "atom", "label", F.when(F.size("x") > 0, F.md5(F.array_join(F.transform(F.array_sort("x"), lambda s: s["line"]), " "))).alias("body_md5"), "n_lines")
 
 
-@query("""WITH p AS (SELECT row_id, document_id, page, text FROM page_record WHERE text IS NOT NULL AND text <> ''), j AS (SELECT a.row_id, b.row_id AS other, least(length(a.text), length(b.text)) AS shorter,
- CAST(coalesce(list_max(list_filter(range(1, least(length(a.text), length(b.text)) + 1), lambda k: substr(a.text, 1, k) = substr(b.text, 1, k))), 0) AS BIGINT) AS prefix
- FROM p a JOIN p b ON a.document_id = b.document_id AND a.page = b.page AND a.row_id <> b.row_id WHERE length(a.text) < 900),
+@query(f"""WITH p AS (SELECT row_id, document_id, page, text FROM page_record WHERE text IS NOT NULL AND text <> ''), j AS (SELECT a.row_id, b.row_id AS other, least(length(a.text), length(b.text)) AS shorter, {PREFIX.format(a='a.text', b='b.text')} AS prefix
+ FROM p a JOIN p b ON a.document_id = b.document_id AND a.page = b.page AND a.row_id <> b.row_id),
 k AS (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY prefix DESC) AS r, count(*) OVER (PARTITION BY row_id, prefix) AS ties FROM j WHERE prefix >= 30)
 SELECT row_id, other, prefix FROM k WHERE r = 1 AND ties = 1 AND prefix >= 0.5 * shorter""")
 def best_prefix_match(spark, d):
@@ -295,7 +294,7 @@ SQL["stream_cards"] = "SELECT user_id, event_id, CASE event_type WHEN 'error' TH
 # Caches, upserts and slots
 
 
-@query(r"""WITH v AS (SELECT DISTINCT doc_id, lower(replace(x, ' ', '')) AS k, x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)', 0)) AS x FROM documents WHERE lang = 'en'))
+@query(r"""WITH v AS (SELECT DISTINCT doc_id, lower(replace(x, ' ', '')) AS k, x FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?(?: ?- ?[0-9]+(?:\.[0-9]+)?)? ?(?:mL/min/1\.73 m²|mg/mmol|mmol/L|mg/g|mmHg|g/L|mg|%|weeks|months|years|days)', 0)) AS x FROM documents))
 SELECT doc_id, k AS key, min(x) AS spelling FROM v GROUP BY doc_id, k""")
 def key_values(spark, d):
     """Values and ranges with units per document, one spelling of each."""

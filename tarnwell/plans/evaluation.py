@@ -105,7 +105,7 @@ def resolve_refs(spark, d):
     return j.withColumn("sub", F.row_number().over(w)).where("sub <= 2").select("query_id", "id", "ref", "chunk_id", "sub")
 
 
-@query("""WITH b AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 50 = 0), r AS (SELECT r_regionkey * 80000.0 AS lo, r_regionkey * 80000.0 + 120000 AS hi, r_regionkey AS pos FROM region),
+@query("""WITH b AS (SELECT o_orderkey, o_totalprice FROM orders), r AS (SELECT r_regionkey * 80000.0 AS lo, r_regionkey * 80000.0 + 120000 AS hi, r_regionkey AS pos FROM region),
 k AS (SELECT o_orderkey, pos, row_number() OVER (PARTITION BY o_orderkey ORDER BY hi - lo, pos) AS rn FROM b JOIN r ON o_totalprice BETWEEN lo AND hi) SELECT o_orderkey, pos FROM k WHERE rn = 1""")
 def band_lookup(spark, d):
     """Narrowest band that contains a value; the bands are five rows that don't grow."""
@@ -209,7 +209,8 @@ def citation_check(spark, d):
     return c.select("query_id", F.size(F.filter("c", lambda x: x.between(1, F.col("n")))).cast("bigint").alias("valid"), F.size("c").cast("bigint").alias("cited"))
 
 
-@query("""SELECT claim_id, contains(lower(regexp_replace(span, '\\s+', '', 'g')), lower(regexp_replace(printf('%g', value) || unit, '\\s+', '', 'g'))) AS supported FROM claim WHERE value IS NOT NULL AND unit IS NOT NULL AND span IS NOT NULL AND value = floor(value) AND value < 100000""")
+@query(r"""WITH c AS (SELECT claim_id, span, unit, CASE WHEN contains(value::VARCHAR, 'e') THEN regexp_replace(CAST(value AS DECIMAL(38, 15))::VARCHAR, '\.?0+$', '') ELSE regexp_replace(value::VARCHAR, '\.0$', '') END AS v FROM claim WHERE value IS NOT NULL AND unit IS NOT NULL AND span IS NOT NULL)
+SELECT claim_id, contains(lower(regexp_replace(span, '\s+', '', 'g')), lower(regexp_replace(v || unit, '\s+', '', 'g'))) AS supported FROM c""")
 def value_support(spark, d):
     c = table(spark, d, "claim").where("value is not null and unit is not null and span is not null")
     need = metrics.squeezed(F.concat(T.plain_number(F.col("value")), "unit"))
@@ -448,7 +449,7 @@ def sweep_choice(spark, d):
 def _bootstrap_sql(values: str, key: str, value: str, resamples: int = 3_000) -> str:
     weight = " + ".join(f"(u > {c!r})::INT" for c in metrics.POISSON)
     return f"""bu AS (SELECT {value} AS v, r, (('0x' || substr(md5({key} || '|' || r || '|17'), 1, 7))::BIGINT + 0.5) / {float(1 << 28)} AS u FROM {values}, range(1, {resamples + 1}) t(r)),
-bm AS (SELECT r, sum(v * ({weight})) / sum({weight}) AS m FROM bu GROUP BY r), bs AS (SELECT (SELECT avg({value}) FROM {values}) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm)"""
+bm AS (SELECT r, sum(v * ({weight})) / nullif(sum({weight}), 0) AS m FROM bu GROUP BY r), bs AS (SELECT (SELECT avg({value}) FROM {values}) AS mean, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm)"""
 
 
 @query(f"WITH {METRICS}, {_bootstrap_sql('m', 'qid', 'ndcg')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM bs")

@@ -57,9 +57,11 @@ def chunk_normalize(spark, d):
 _SCORE = "len(list_filter(regexp_extract_all(lower({0}), '[a-z]{{3,}}', 0), lambda w: w IN (" + quoted(L.COMMON_WORDS) + ")))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN reverse(text) ELSE text END AS t FROM documents WHERE text IS NOT NULL AND lang = 'en'
-  AND regexp_matches(text, '^[ -~\\n\\t]*$'))
-SELECT doc_id, md5(CASE WHEN length(t) >= 12 AND {_SCORE.format('reverse(t)')} > {_SCORE.format('t')} THEN reverse(t) ELSE t END) AS repaired_md5 FROM d""")
+_MIRROR = "array_to_string(list_reverse(string_split({0}, '')), '')"  # by characters, not by what shows as one
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_MIRROR.format('text')} ELSE text END AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT *, {_MIRROR.format('t')} AS m FROM d)
+SELECT doc_id, md5(CASE WHEN length(t) >= 12 AND {_SCORE.format('m')} > {_SCORE.format('t')} THEN m ELSE t END) AS repaired_md5 FROM m""")
 def mirror_repair(spark, d):
     t = docs(spark, d).where("text is not null")
     t = t.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("t"))
@@ -86,8 +88,11 @@ def fingerprint_dups(spark, d):
     return f.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("""WITH p AS (SELECT row_id, text AS a, pymupdf_text AS b FROM page_record WHERE text IS NOT NULL AND pymupdf_text IS NOT NULL)
-SELECT row_id, CAST(coalesce(list_max(list_filter(range(1, least(least(length(a), length(b)), 65535) + 1), lambda k: substr(a, 1, k) = substr(b, 1, k))), 0) AS BIGINT) AS prefix FROM p WHERE length(a) < 1200""")
+#: length of the common beginning of {a} and {b}, in SQL: the first place where their characters differ
+PREFIX = """CASE WHEN least(length({a}), length({b})) = 0 THEN CAST(0 AS BIGINT) ELSE CAST(coalesce(nullif(list_position(list_transform(list_zip(string_split({a}, '')[1:least(length({a}), length({b}))], string_split({b}, '')[1:least(length({a}), length({b}))]), lambda z: z[1] = z[2]), false), 0), least(length({a}), length({b})) + 1) - 1 AS BIGINT) END"""
+
+
+@query(f"SELECT row_id, {PREFIX.format(a='text', b='pymupdf_text')} AS prefix FROM page_record WHERE text IS NOT NULL AND pymupdf_text IS NOT NULL")
 def common_prefix(spark, d):
     p = pages(spark, d).where("text is not null and pymupdf_text is not null")
     return p.select("row_id", T.common_prefix(F.col("text"), F.col("pymupdf_text")).cast("bigint").alias("prefix"))
