@@ -144,7 +144,48 @@ p AS (SELECT e.slice, e.k AS ek, t.k AS tk, len(list_intersect(e.w, t.w)) AS i,
 SELECT slice, least(ek, tk) AS key_a, greatest(ek, tk) AS key_b FROM p WHERE i >= 0.7 * (n - i) - 1e-9"""
 
 
+_P4_REPORT = _P4.replace("SELECT slice, least(ek, tk)", "SELECT slice, least(ek, tk)").rsplit("SELECT slice", 1)[0].rstrip() + """,
+s AS (SELECT case_key AS k, regexp_replace(lower(slice), '^\\s+|\\s+$', '', 'g') AS slice, 'ckd_gold_eval' AS source, regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+', 0) AS w FROM ckd_gold_eval WHERE query IS NOT NULL
+ UNION ALL SELECT case_key, 'heldout', 'heldout_chunkfirst', regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+', 0) FROM heldout_chunkfirst WHERE query IS NOT NULL),
+e AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS t FROM s WHERE slice IN ('test', 'heldout') AND len(w) > 0), t AS (SELECT w, len(w) AS n, array_to_string(w, ' ') AS t FROM s WHERE slice = 'dev' AND len(w) > 0),
+er AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT k, w, unnest(range(1, n - 3)) AS i FROM e WHERE n >= 5)), tr AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS run FROM (SELECT w, unnest(range(1, n - 3)) AS i FROM t WHERE n >= 5)),
+c AS (SELECT k, count(DISTINCT i + o) AS covered FROM er JOIN tr USING (run), range(5) r(o) GROUP BY k), x AS (SELECT ek AS k, max((i >= n - i)::INT) AS exact FROM p WHERE i >= 0.7 * (n - i) - 1e-9 GROUP BY ek)
+SELECT slice, source, count(*) AS records, count(exact) AS overlapping, CAST(coalesce(sum(exact), 0) AS BIGINT) AS exact, round(avg(CASE WHEN n < 5 THEN (e.t IN (SELECT t FROM t))::INT::DOUBLE ELSE coalesce(covered, 0)::DOUBLE / n END), 6) AS mean_coverage
+FROM e LEFT JOIN x USING (k) LEFT JOIN c USING (k) GROUP BY slice, source"""
+
+
+def _shown_sql(text: str) -> str:
+    """The consistent form of a text in SQL: the fixed classes written out, accents composed before and after."""
+    import unicodedata
+
+    looks = set("".join(lookalike.LOOKS)) | set("".join(lookalike.LOOKS.values()))
+    every = [chr(c) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000]
+    kept = {c for c in every if c in looks or lookalike._plain(c) or c.isspace() or unicodedata.category(c) in lookalike.INVISIBLE or unicodedata.normalize("NFD", c)[0] in looks}
+    ascii_ = {chr(c) for c in range(0x20, 0x7F)} | {"\t", "\n", "\r"}
+    rules = {s: r for s, r in lookalike.build_rules(lookalike.usual_counts(ascii_ | kept)).items() if len(s) == 1}
+    one = {s: r for s, r in rules.items() if len(r) == 1}
+    gone = [s for s, r in rules.items() if not r]
+    quote = lambda t: t.replace("'", "''")
+    out = f"nfc_normalize({text})"
+    for s, r in rules.items():
+        if len(r) > 1:
+            out = f"replace({out}, '{quote(s)}', '{quote(r)}')"
+    return f"nfc_normalize(translate({out}, '{quote(''.join([*one, *gone]))}', '{quote(''.join(one.values()))}'))"
+
+
+def _p2_sql() -> str:
+    return f"""WITH t AS (SELECT 'page_record' AS src, row_id AS id, text FROM page_record UNION ALL SELECT 'pregnancy_scope_evidence_pack', ev_id, raw_text FROM pregnancy_scope_evidence_pack), s AS (SELECT src, id, text, {_shown_sql('text')} AS shown FROM t WHERE text IS NOT NULL)
+SELECT a.src, a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.src = b.src AND a.shown = b.shown AND a.id < b.id AND a.text <> b.text WHERE trim(a.shown, ' ' || chr(9) || chr(10) || chr(13)) <> ''"""
+
+
+def _p5_sql() -> str:
+    return f"""WITH t AS (SELECT 'pregnancy_scope_evidence_pack' AS src, ev_id AS id, raw_text AS text FROM pregnancy_scope_evidence_pack UNION ALL SELECT 'question_sample2', sample_id, text FROM question_sample2),
+w AS (SELECT src, id, list_distinct(regexp_extract_all(lower({_shown_sql('text')}), '[\\p{{L}}\\p{{N}}]+', 0)) AS w FROM t WHERE text IS NOT NULL),
+p AS (SELECT a.src, a.id AS id_a, b.id AS id_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.src = b.src AND a.id < b.id AND len(a.w) > 0 AND len(b.w) > 0 AND least(len(a.w), len(b.w)) >= 0.7 * greatest(len(a.w), len(b.w)) - 1e-9)
+SELECT src, id_a, id_b FROM p WHERE i >= 0.7 * (n - i) - 1e-9"""
+
+
 def oracle_sql() -> dict[str, str]:
     best = _P3 + " SELECT query_id, arg_min(chunk_id, (median_rank, mean_rank, chunk_id)) AS chunk_id FROM m WHERE n = 3 GROUP BY query_id"
     ranking = _P3 + """ SELECT query_id, chunk_id, median_rank, round(mean_rank, 6) AS mean_rank, CAST(n AS BIGINT) AS n_scores, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, chunk_id) AS position FROM m"""
-    return {"p1_found": _P1, "p3_found": best, "p3_ranking": ranking, "p4_found": _P4}
+    return {"p1_found": _P1, "p2_found": _p2_sql(), "p3_found": best, "p3_ranking": ranking, "p4_found": _P4, "p4_report": _P4_REPORT, "p5_found": _p5_sql()}
