@@ -91,6 +91,17 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), dims)
 
 
+def _held(queries: DataFrame, keys: list[str], block: int) -> Iterator[list]:
+    """The rows of a stated query set, about ``block`` of them at once."""
+    rows = queries.limit(block + 1).collect()
+    if len(rows) <= block:
+        yield rows
+        return
+    blocks = -(-queries.count() // block)
+    for k in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == k).collect()
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int, columns: tuple[str, ...] = ("v",), block: int = BLOCK, digits: int = 9) -> DataFrame:
     """(qkey, key, score): the ``n`` best of (key, v) for each query by dot product, over all vectors.
 
@@ -102,10 +113,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, n: int,
     kinds = dict(qs.dtypes)[qkey], dict(vectors.dtypes)[key]
     schema = f"`{qkey}` {kinds[0]}, `{key}` {kinds[1]}, score double"
     out = None
-    blocks = max(1, -(-qs.count() // block))
-    for k in range(blocks):
-        own = qs if blocks == 1 else qs.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == k)
-        rows = own.collect()  # at most about ``block`` rows, whatever the vectors
+    for rows in _held(qs, [qkey], block):
         ids = [r[qkey] for r in rows]
         sides = [np.array([list(r[c]) for r in rows], dtype=np.float64) for c in columns]
 
@@ -142,10 +150,7 @@ def maxsim(queries: DataFrame, vectors: DataFrame, qkey: str, token: str, key: s
     kinds = dict(qs.dtypes), dict(vectors.dtypes)[key]
     schema = f"`{qkey}` {kinds[0][qkey]}, `{token}` {kinds[0][token]}, `{key}` {kinds[1]}, best double"
     out = None
-    blocks = max(1, -(-qs.count() // BLOCK))
-    for k in range(blocks):
-        own = qs if blocks == 1 else qs.where(F.pmod(F.xxhash64(qkey, token), F.lit(blocks)) == k)
-        rows = own.collect()  # at most about BLOCK rows, whatever the vectors
+    for rows in _held(qs, [qkey, token], BLOCK):
         side = np.array([list(r.v) for r in rows], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows, side=side) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnwell.runtime import ensure_checkpoint_dir
 
-_written: dict[str, str] = {}
+_written: dict[str, DataFrame] = {}
 
 
 def stored(spark: SparkSession, name: str, inputs: list[DataFrame], build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
@@ -27,5 +27,5 @@ def stored(spark: SparkSession, name: str, inputs: list[DataFrame], build: Calla
         if by:
             made = made.repartitionByRange(by).sortWithinPartitions(by)
         made.write.mode("overwrite").parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+        _written[key] = spark.read.schema(made.schema).parquet(path)
+    return _written[key]
