@@ -1,14 +1,66 @@
-"""The search's plan, and its results held against the tables."""
+"""The search takes all queries of both gold tables: held against those tables and its own results."""
+
+import math
+
+import pytest
 
 from tarnwell import registry
-from tests.test_oracle import SF
+from tests.test_oracle import SF, con  # noqa: F401
 
 
 def rows(spark, name):
     return [r.asDict() for r in registry.queries()[name](spark, SF).collect()]
 
 
+@pytest.fixture(scope="module")
+def cases(con):  # noqa: F811
+    own = "case_key, query, relevance, lower(trim(slice)) AS slice"
+    return con.sql(f"select * from (select {own} from ckd_gold_eval union all select {own} from heldout_chunkfirst) where query is not null").df().to_dict("records")
+
+
+@pytest.fixture(scope="module")
+def hits(spark, cases, con):  # noqa: F811
+    """Of each case with a relevant chunk: the grades of its ten results in order, and all its grades."""
+    keys = dict(con.sql("select id, sample_id from question_sample2").fetchall())
+    found = {}
+    for r in sorted(rows(spark, "hybrid_search"), key=lambda r: r["rank"]):
+        found.setdefault(r["qid"], []).append(r["sample_id"])
+    out = {}
+    for c in cases:
+        grades = {keys[i]: g for i, g in dict(c["relevance"]).items() if i in keys}
+        if any(grades.values()):
+            out[c["case_key"]] = [grades.get(s, 0) for s in found[c["case_key"]]], sorted(grades.values(), reverse=True)
+    assert len(out) > 20
+    return out
+
+
+def gain(grades):
+    return sum(g / math.log2(k + 2) for k, g in enumerate(grades[:10]))
+
+
+@pytest.fixture(scope="module")
+def ndcg(hits):
+    return {q: gain(got) / gain(best) for q, (got, best) in hits.items()}
+
+
+def mean(values):
+    values = list(values)
+    return sum(values) / len(values)
+
+
+def near(a, b):
+    return abs(a - b) < 2e-6
+
+
+def every(cases):
+    return sorted(c["case_key"] for c in cases)
+
+
 def test_pairs_stay_in_their_task(spark):
     """One exchange, of the queries, and no join of pairs: what a search shuffles grows with the queries."""
     text = registry.queries()["hybrid_search"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_hybrid_search_of_all_queries(spark, cases):
+    assert sorted({r["qid"] for r in rows(spark, "hybrid_search")}) == every(cases)
