@@ -64,3 +64,7 @@ def test_pairs_stay_in_their_task(spark):
 
 def test_hybrid_search_of_all_queries(spark, cases):
     assert sorted({r["qid"] for r in rows(spark, "hybrid_search")}) == every(cases)
+
+
+def test_abstention_separation_of_all_queries(spark, cases):
+    assert sum(r["n"] for r in rows(spark, "abstention_separation")) == len(cases)
