@@ -68,3 +68,7 @@ def test_hybrid_search_of_all_queries(spark, cases):
 
 def test_abstention_separation_of_all_queries(spark, cases):
     assert sum(r["n"] for r in rows(spark, "abstention_separation")) == len(cases)
+
+
+def test_answer_correctness_of_all_queries(spark, cases):
+    assert sorted(r["qid"] for r in rows(spark, "answer_correctness")) == every(cases)
