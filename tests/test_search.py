@@ -85,3 +85,8 @@ def test_build_answer_of_all_queries(spark, cases):
 
 def test_gate_order_of_all_queries(spark, cases):
     assert sorted(r["qid"] for r in rows(spark, "gate_order")) == every(cases)
+
+
+def test_metrics_grouping_sets_of_all_queries(spark, ndcg):
+    total = next(r for r in rows(spark, "metrics_grouping_sets") if r["g1"] and r["g2"] and r["g3"])
+    assert total["n"] == len(ndcg) and abs(total["ndcg"] - mean(ndcg.values())) < 1e-4
