@@ -90,3 +90,9 @@ def test_gate_order_of_all_queries(spark, cases):
 def test_metrics_grouping_sets_of_all_queries(spark, ndcg):
     total = next(r for r in rows(spark, "metrics_grouping_sets") if r["g1"] and r["g2"] and r["g3"])
     assert total["n"] == len(ndcg) and abs(total["ndcg"] - mean(ndcg.values())) < 1e-4
+
+
+def test_missed_list_of_all_queries(spark, hits):
+    missed = {r["qid"]: len(r["missed"].split(",")) for r in rows(spark, "missed_list")}
+    left = {q: sum(g > 0 for g in best) - sum(g > 0 for g in got) for q, (got, best) in hits.items()}
+    assert missed == {q: n for q, n in left.items() if n}
