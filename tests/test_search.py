@@ -96,3 +96,9 @@ def test_missed_list_of_all_queries(spark, hits):
     missed = {r["qid"]: len(r["missed"].split(",")) for r in rows(spark, "missed_list")}
     left = {q: sum(g > 0 for g in best) - sum(g > 0 for g in got) for q, (got, best) in hits.items()}
     assert missed == {q: n for q, n in left.items() if n}
+
+
+def test_precision_ceiling_of_all_queries(spark, hits):
+    r = rows(spark, "precision_ceiling")[0]
+    assert near(r["p5"], mean(sum(g > 0 for g in got[:5]) / 5 for got, _ in hits.values()))
+    assert near(r["ceiling"], mean(min(sum(g > 0 for g in best), 5) / 5 for _, best in hits.values()))
