@@ -102,3 +102,9 @@ def test_precision_ceiling_of_all_queries(spark, hits):
     r = rows(spark, "precision_ceiling")[0]
     assert near(r["p5"], mean(sum(g > 0 for g in got[:5]) / 5 for got, _ in hits.values()))
     assert near(r["ceiling"], mean(min(sum(g > 0 for g in best), 5) / 5 for _, best in hits.values()))
+
+
+def test_recall_at_20_of_all_queries(spark, hits):
+    recall = {r["qid"]: r["recall10"] for r in rows(spark, "recall_at_20")}
+    assert set(recall) == set(hits)
+    assert all(near(recall[q], sum(g > 0 for g in got) / sum(g > 0 for g in best)) for q, (got, best) in hits.items())
