@@ -108,3 +108,8 @@ def test_recall_at_20_of_all_queries(spark, hits):
     recall = {r["qid"]: r["recall10"] for r in rows(spark, "recall_at_20")}
     assert set(recall) == set(hits)
     assert all(near(recall[q], sum(g > 0 for g in got) / sum(g > 0 for g in best)) for q, (got, best) in hits.items())
+
+
+def test_success_at_k_of_all_queries(spark, hits):
+    success = {r["k"]: r["success"] for r in rows(spark, "success_at_k")}
+    assert all(near(success[k], mean(any(got[:k]) for got, _ in hits.values())) for k in (1, 3, 5, 10))
