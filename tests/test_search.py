@@ -66,6 +66,10 @@ def test_hybrid_search_of_all_queries(spark, cases):
     assert sorted({r["qid"] for r in rows(spark, "hybrid_search")}) == every(cases)
 
 
+def test_metadata_signal_of_all_queries(spark, cases):
+    assert sorted({r["qid"] for r in rows(spark, "metadata_signal")}) == every(cases)
+
+
 def test_bootstrap_ci_of_all_queries(spark, ndcg):
     r = rows(spark, "bootstrap_ci")[0]
     assert near(r["mean"], mean(ndcg.values())) and r["lo"] < r["mean"] < r["hi"]
