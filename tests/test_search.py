@@ -70,6 +70,15 @@ def test_metadata_signal_of_all_queries(spark, cases):
     assert sorted({r["qid"] for r in rows(spark, "metadata_signal")}) == every(cases)
 
 
+def test_paired_bootstrap_of_all_queries(spark, ndcg):
+    from tarnwell.plans import evaluation
+
+    pairs = evaluation.variant_metrics(spark, SF, evaluation._PAIR, True).collect()
+    usual, lexical = ({r.qid: r.ndcg for r in pairs if r["name"] == n} for n in ("usual", "lexical"))
+    assert set(usual) == set(lexical) == set(ndcg) and all(near(usual[q], ndcg[q]) for q in ndcg)
+    assert near(rows(spark, "paired_bootstrap")[0]["mean"], mean(usual[q] - lexical[q] for q in ndcg))
+
+
 def test_bootstrap_ci_of_all_queries(spark, ndcg):
     r = rows(spark, "bootstrap_ci")[0]
     assert near(r["mean"], mean(ndcg.values())) and r["lo"] < r["mean"] < r["hi"]
