@@ -70,6 +70,10 @@ def test_metadata_signal_of_all_queries(spark, cases):
     assert sorted({r["qid"] for r in rows(spark, "metadata_signal")}) == every(cases)
 
 
+def test_ablation_of_all_queries(spark, ndcg):
+    assert near(next(r["ndcg"] for r in rows(spark, "ablation") if r["name"] == "usual"), mean(ndcg.values()))
+
+
 def test_paired_bootstrap_of_all_queries(spark, ndcg):
     from tarnwell.plans import evaluation
 
