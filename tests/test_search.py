@@ -74,6 +74,11 @@ def test_ablation_of_all_queries(spark, ndcg):
     assert near(next(r["ndcg"] for r in rows(spark, "ablation") if r["name"] == "usual"), mean(ndcg.values()))
 
 
+def test_sweeps_of_all_queries(spark, cases, ndcg):
+    dev = [ndcg[c["case_key"]] for c in cases if c["slice"] == "dev" and c["case_key"] < 500_000_000 and c["case_key"] in ndcg]
+    assert near(next(r["ndcg"] for r in rows(spark, "sweeps") if r["name"] == "usual" and r["slice"] == "dev"), mean(dev))
+
+
 def test_paired_bootstrap_of_all_queries(spark, ndcg):
     from tarnwell.plans import evaluation
 
