@@ -135,3 +135,14 @@ def test_recall_at_20_of_all_queries(spark, hits):
 def test_success_at_k_of_all_queries(spark, hits):
     success = {r["k"]: r["success"] for r in rows(spark, "success_at_k")}
     assert all(near(success[k], mean(any(got[:k]) for got, _ in hits.values())) for k in (1, 3, 5, 10))
+
+
+@pytest.mark.parametrize("name", ["ndcg"])
+def test_stated_queries_read_the_sliced_run(spark, name):
+    """No postings of all pairs are joined for them: only the stored index and run are written."""
+    from tarnwell.sources import store
+
+    store._written.clear()
+    rows(spark, name)
+    made = {df.inputFiles()[0].rsplit("/", 2)[1].rsplit("-", 1)[0] for df in store._written.values()}
+    assert "index" in made and not made & {"counts", "postings", "asked-postings", "vectors", "signals"}
