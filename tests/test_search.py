@@ -137,7 +137,7 @@ def test_success_at_k_of_all_queries(spark, hits):
     assert all(near(success[k], mean(any(got[:k]) for got, _ in hits.values())) for k in (1, 3, 5, 10))
 
 
-@pytest.mark.parametrize("name", ["ndcg", "ir_metrics", "collapsed_metrics", "headline_metrics"])
+@pytest.mark.parametrize("name", ["ndcg", "ir_metrics", "collapsed_metrics", "headline_metrics", "search"])
 def test_stated_queries_read_the_sliced_run(spark, name):
     """No postings of all pairs are joined for them: only the stored index and run are written."""
     from tarnwell.sources import store
